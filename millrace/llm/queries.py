@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, decontaminate, langid, quality, rules, toxicity
 from .common import held_out, read
 
 
@@ -21,9 +21,79 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], ids=False)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.apply_rules(read(spark, sf_dir, "documents"), ["doc_id"])
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select("doc_id", *metrics, failed.alias("base_failed"), "kept")
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM docs
+), starts AS (
+  SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8
+), windows AS (
+  SELECT rid, i, array_to_string(w[i:i+7], ' ') AS s FROM starts
+), twice AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, s) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
+), metrics AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(t, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_upper,
+    length(regexp_replace(t, '[^\p{L}]', '', 'g'))::BIGINT AS n_letters
+  FROM words LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words
+    OR (n_letters >= 20 AND 100 * n_upper > 50 * n_letters)
+    OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
+    OR (n_words >= 20 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))) AS kept
+FROM metrics
+"""
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = quality.word_vectors(docs)
+    network = quality.fit(docs, read(spark, sf_dir, "labels"), vectors)
+    scored = quality.score(docs.withColumn("held_out", held_out(F.col("doc_id"))), vectors, network, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, benchmark, ["doc_id"]).withColumn("n_hit", decontaminate.n_hit())
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "n_near",
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op5_bpe": op5_bpe}
+    return {f.__name__: f for f in (op1_language_id, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": OP6_SQL}
