@@ -2,7 +2,8 @@
 
 Token scores are log-odds of the toxic class against the other with Dirichlet
 priors from both classes together; tokens without significant odds get a small
-negative score.  One linear scan over a text finds every maximal segment
+negative score.  A word without odds of its own takes those of its stem (its
+first five or four letters), which are counted like words.  One linear scan over a text finds every maximal segment
 (disjoint, none can be extended or joined with gain).  Best scores of texts that
 are not toxic follow an extreme-value law whose two parameters give every
 segment an expected count by chance; significant segments are summed up and the
@@ -15,8 +16,6 @@ share of toxic labels (0 if there is none).
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +25,42 @@ from .common import stored, words_of
 from .labelled import FIT_ROWS, fit_sample, logistic, sigmoid
 
 PRIOR = 1_000.0
-Z = 3.0
+#: Least likelihood ratio of a token's counts in the two classes (twice its log).
+RATIO = 20.0
+#: Odds of less than three to one are left out: topics differ that much by chance.
+LEAST_ODDS = float(np.log(3))
 LEAST_COUNT = 5
 #: Most tokens with a score of their own; those with the most significant odds.
 TOKENS = 50_000
 DRIFT = 0.15
 EXPECTED = 0.05
+_CACHE = 500_000
+
+
+def stems(word: bytes) -> list[bytes]:
+    """Marks for the first five and four letters of a longer word, the longer one first."""
+    letters = word.decode("utf-8", "ignore")
+    return [b"^" + letters[:k].encode() for k in (5, 4) if len(letters) > k]
+
+
+class _Scores(dict):
+    """Score of each word: its own, else its stem's, else the negative drift; filled in when first seen."""
+
+    def __init__(self, known: dict[bytes, float]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, word: bytes) -> float:
+        score = next((self.known[s] for s in stems(word) if s in self.known), -DRIFT)
+        if len(word) < 64:
+            if len(self) >= _CACHE:
+                self.clear()
+                self.update(self.known)
+            self[word] = score
+        return score
+
+    def __reduce__(self):
+        return _Scores, (self.known,)
 
 
 def _counted(batches):
@@ -45,8 +74,9 @@ def _counted(batches):
 
     for batch in batches:
         for data, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w in words_of(data):
-                total[w, y] = total.get((w, y), 0) + 1
+            words = set(words_of(data))
+            for token in words.union(*map(stems, words)):
+                total[token, y] = total.get((token, y), 0) + 1
         if len(total) > 500_000:
             yield from rows()
             total.clear()
@@ -54,7 +84,9 @@ def _counted(batches):
 
 
 def token_scores(sample: DataFrame, tokens: int = TOKENS) -> dict[bytes, float]:
-    """Significant log-odds by token, at most `tokens` of them, summed up on the executors."""
+    """Significant log-odds by token, at most `tokens` of them, summed up on the executors.
+
+    A token counts once a document, as words come in bursts."""
     counts = sample.select(F.col("text").cast("binary"), "y").mapInArrow(_counted, "token binary, y int, n long")
     by_token = counts.groupBy("token").agg(F.sum(F.col("n") * (F.col("y") > 0).cast("long")).alias("a"), F.sum(F.col("n") * (F.col("y") <= 0).cast("long")).alias("b"))
     by_token = stored(by_token)
@@ -66,8 +98,10 @@ def token_scores(sample: DataFrame, tokens: int = TOKENS) -> dict[bytes, float]:
     prior = PRIOR * (a + b) / (n_a + n_b)
     x, y = a + prior, b + prior
     odds = F.log(x / (n_a + PRIOR - x)) - F.log(y / (n_b + PRIOR - y))
-    scored = by_token.where(a + b >= LEAST_COUNT).where((x < n_a + PRIOR) & (y < n_b + PRIOR)).select("token", odds.alias("odds"), (odds / F.sqrt(1 / x + 1 / y)).alias("z"))
-    top = scored.where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "token").limit(tokens)
+    part = lambda k, n: F.when(k > 0, k * F.log(k * (n_a + n_b) / ((a + b) * n))).otherwise(0.0)
+    ratio = 2 * (part(a, n_a) + part(b, n_b))
+    scored = by_token.where(a + b >= LEAST_COUNT).where((x < n_a + PRIOR) & (y < n_b + PRIOR)).select("token", odds.alias("odds"), ratio.alias("ratio"))
+    top = scored.where((F.col("ratio") >= RATIO) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.desc("ratio"), "token").limit(tokens)
     return {bytes(r["token"]): float(r["odds"]) for r in top.collect()}
 
 
@@ -97,14 +131,14 @@ class Model:
     """Token scores, extreme-value parameters and the final mapping."""
 
     def __init__(self, scores: dict[bytes, float]):
-        self.scores = {t: s - DRIFT for t, s in scores.items()}
+        self.scores = _Scores({t: s - DRIFT for t, s in scores.items()})
         self.lam, self.log_k = 1.0, 0.0
         self.weights = None
         self.share = 0.0
 
     def scan(self, data: bytes) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(data)
-        scores = list(map(self.scores.get, words, repeat(-DRIFT)))
+        scores = list(map(self.scores.__getitem__, words))
         if not scores or max(scores) <= 0:
             return len(words), []
         return len(words), segments(np.array(scores))
@@ -119,8 +153,11 @@ class Model:
         return [np.log1p(sum(x for _, x in good)), np.log1p(max(0.0, max(logs, default=0.0))), float(np.log1p(len(good)))], [s for s, _ in good]
 
     def calibrate(self, n: np.ndarray, best: np.ndarray, y: np.ndarray) -> None:
-        """Fit the extreme-value law to the best scores of texts that are not toxic, by moments."""
-        b, logs = best[y <= 0], np.log(np.maximum(n[y <= 0], 1))
+        """Fit the extreme-value law by moments to the best scores of texts that are not toxic.
+
+        The top hundredth is left out: some labels are wrong."""
+        usual = (y <= 0) & (best <= np.quantile(best[y <= 0], 0.99))
+        b, logs = best[usual], np.log(np.maximum(n[usual], 1))
         if b.size < 10:
             return
         for _ in range(100):
