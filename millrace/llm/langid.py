@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
-_FLUSH = 4_000_000
+_SLICE = 1_000_000
+_FLUSH = 2_000_000
 
 
 @cache
@@ -76,10 +77,19 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * c.size, pa.string()), pa.array(c), pa.array(counts[at : at + 100_000])], ["lang", "code", "n"])
 
     for batch in batches:
-        by_lang: dict[str, list[np.ndarray]] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_lang.setdefault(lang, []).append(ngram_codes(text))
-        for lang, lists in by_lang.items():
+        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+        for i in sorted(range(len(texts)), key=lambda i: langs[i]):
+            codes = ngram_codes(texts[i])
+            waiting.setdefault(langs[i], []).append(codes)
+            size += codes.size
+            if size > _SLICE:
+                for lang, lists in waiting.items():
+                    kept.setdefault(lang, []).append(counted(np.concatenate(lists)))
+                    held += kept[lang][-1][0].size
+                waiting, size = {}, 0
+        for lang, lists in waiting.items():
             kept.setdefault(lang, []).append(counted(np.concatenate(lists)))
             held += kept[lang][-1][0].size
         if held > _FLUSH:

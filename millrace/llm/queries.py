@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, rules, toxicity
+from . import bpe, decontaminate, langid, near_dup, quality, rules, toxicity
 from .common import held_out, read
 
 
@@ -84,6 +84,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -92,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
