@@ -409,12 +409,12 @@ def window_check(spark, sf_dir):
     return _frame(spark, "span, moment, allowed", got, ("VARCHAR", "VARCHAR", "BOOLEAN"))
 
 
-_SCHEDULES = [("30s", 30), ("5m", 300), ("2h", 7200), ("1d", 86400), ("45", 45), ("calculated", None)]
+_SCHEDULES = [("30s", 30), ("5m", 300), ("2h", 7200), ("1d", 86400), ("45", 45), ("calculated", -1)]
 
 
 @query("schedule_parse", _values("schedule, secs", _SCHEDULES, ("VARCHAR", "INTEGER")))
 def schedule_parse(spark, sf_dir):
-    return _frame(spark, "schedule, secs", [(s, seconds(s)) for s, _ in _SCHEDULES], ("VARCHAR", "INTEGER"))
+    return _frame(spark, "schedule, secs", [(s, seconds(s) or -1) for s, _ in _SCHEDULES], ("VARCHAR", "INTEGER"))
 
 
 _REFS = [("SELECT * FROM a JOIN s.b ON a.x = b.x", "public.a s.b"), ("WITH c AS (SELECT * FROM t) SELECT * FROM c WHERE x IN (SELECT y FROM u)", "public.t public.u"), ("SELECT 1 AS x", ""), ("SELECT * FROM (SELECT * FROM x1 UNION SELECT * FROM x2) d", "public.x1 public.x2")]
@@ -425,7 +425,7 @@ def query_references(spark, sf_dir):
     return _frame(spark, "sql_text, tables", [(q, " ".join(sorted(map(str, references(spark, q))))) for q, _ in _REFS], ("VARCHAR", "VARCHAR"))
 
 
-_CHECKS = [("SELECT k FROM t", "ok", "ok"), ("SELECT DISTINCT k FROM t", "IvmUnsupportable", "ok"), ("SELECT k FROM t UNION SELECT k FROM u", "IvmUnsupportable", "ok"), ("SELECT upper(CAST(uuid() AS STRING)) AS u FROM t", "IvmUnsupportable", "ok"), ("DROP TABLE t", "IvmUnsupportable", "UntrustedSql"), ("SELECT 1; DROP TABLE t", "SqlParseError", "UntrustedSql"), ("SELECT FROM WHERE", "SqlParseError", "SqlParseError")]
+_CHECKS = [("SELECT k FROM t", "ok", "ok"), ("SELECT DISTINCT k FROM t", "IvmUnsupportable", "ok"), ("SELECT k FROM t UNION SELECT k FROM u", "IvmUnsupportable", "ok"), ("SELECT upper(CAST(uuid() AS STRING)) AS u FROM t", "IvmUnsupportable", "ok"), ("DROP TABLE t", "IvmUnsupportable", "UntrustedSql"), ("SELECT 1; DROP TABLE t", "SqlParseError", "UntrustedSql"), ("SELEC k FROM t", "SqlParseError", "SqlParseError")]
 
 
 @query("query_checks", _values("sql_text, maintainable, view_body", _CHECKS, ("VARCHAR",) * 3))
