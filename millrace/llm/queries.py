@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, pii, quality, rules, suffix_dedup, toxicity
+from . import bpe, decontaminate, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity
 from .common import held_out, read
 
 
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -107,8 +111,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_licenses, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL}
+    return {"op3_licenses": licenses.oracle_sql(), "op6_quality_rules": OP6_SQL}
