@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each class, once; documents without an id stay as they are."""
     found = near_dup.classes(docs)
-    keys = docs.withColumn("key", near_dup.text_key(F.col("text")))
+    keys = docs.select(*COLUMNS).withColumn("key", near_dup.text_key(F.col("text")))
     first = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("key"))).alias("key")).where("class_id is not null")
     named = keys.join(first.withColumnRenamed("class_id", "doc_id"), ["doc_id", "key"], "left_semi")
     again = found.where("doc_id = class_id").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")

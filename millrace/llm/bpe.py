@@ -33,6 +33,27 @@ _CACHE = 300_000
 _CONTROL = regex.compile(r"[\x1c-\x1f]").search
 
 
+#: Where Unicode 16 added letters and digits, and the lower case of the capitals new in 16 and 17. The
+#: tokenizer library splits by the one and lowers by the other; Python's tables are older, the regex library's are newer.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113FF),
+    (0x116D0, 0x116FF), (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
+)
+LOWER_NEW = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
+@cache
+def _newer():
+    """Letters and digits of the regex library that the tokenizer library does not know as such."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    ours = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
+    newer = [chr(c) for c in range(0x80, 0x110000) if c not in ours and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    return regex.compile("[" + "".join(map(regex.escape, newer)) + "]")
+
+
+_CAPITALS_NEW = regex.compile("[" + "".join(map(chr, LOWER_NEW)) + "]")
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -127,7 +148,8 @@ class WordBpe:
         model = spec["model"]
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.letters = byte_letters()
@@ -138,6 +160,8 @@ class WordBpe:
     def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _CAPITALS_NEW.search(text):
+                text = text.translate(LOWER_NEW)
         return text.lower()
 
     def word(self, word: str) -> tuple[bytes, str]:
@@ -152,9 +176,16 @@ class WordBpe:
             self.words[word] = got
         return got
 
+    def pieces(self, text: str) -> list[str]:
+        """Words as the pattern parts them; code points that Python's tables do not assign are no letters."""
+        if text.isascii() or not _newer().search(text):
+            return self.split(text)
+        masked = _newer().sub("\u0378", text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(masked)]
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """The same for a run between white space, which may hold several words."""
-        words = [self.word(w) for w in self.split(chunk)]
+        words = [self.word(w) for w in self.pieces(chunk)]
         got = b"".join([w[0] for w in words]), " ".join([w[1] for w in words])
         if len(chunk) < 64:
             if len(self.chunks) >= _CACHE:
@@ -170,7 +201,7 @@ class WordBpe:
             if k % 2:
                 got.append((self.special[part].to_bytes(4, "little"), part))
             elif _CONTROL(part):  # str.split would cut where the pattern does not
-                got += map(self.word, self.split(self.normal(part)))
+                got += map(self.word, self.pieces(self.normal(part)))
             else:
                 got += [known(c) or chunk(c) for c in self.normal(part).split()]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])

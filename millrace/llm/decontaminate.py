@@ -94,7 +94,7 @@ def index_postings(docs: DataFrame, block: Block, keep: list[str], text: str = "
     shared = spark.broadcast((block.terms, pivot))
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"), *keep)
     ints = F.array(F.lit(0))
-    schema = rows.drop("__text").withColumns({"n_words": F.lit(0).cast("long"), "terms": ints, "positions": ints}).schema
+    schema = rows.drop("__text").withColumns({"n_words": F.lit(0).cast("long"), "__terms": ints, "__positions": ints}).schema
 
     def indexed(batches):
         terms, pivots = shared.value
@@ -113,7 +113,7 @@ def index_postings(docs: DataFrame, block: Block, keep: list[str], text: str = "
                     by_term.append(none)
                     by_position.append(none)
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (by_term, by_position)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), *lists], names=[*batch.schema.names[1:], "n_words", "terms", "positions"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), *lists], names=[*batch.schema.names[1:], "n_words", "__terms", "__positions"])
 
     return rows.mapInArrow(indexed, schema)
 
@@ -158,14 +158,14 @@ def search(index: DataFrame, block: Block, slop: int = 2, rarest: int = 5) -> Da
     `slop` words of their places: exact matches and edited ones."""
     shared = index.sparkSession.sparkContext.broadcast((block.items, block.windows, block.pivots))
     spans = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
-    schema = index.drop("terms", "positions").withColumns({"hit": spans, "items": F.array(F.lit("")), "n_near": F.lit(0).cast("long")}).schema
+    schema = index.drop("__terms", "__positions").withColumns({"hit": spans, "items": F.array(F.lit("")), "n_near": F.lit(0).cast("long")}).schema
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def searched(batches):
         items, windows, pivots = shared.value
         for batch in batches:
-            keep = batch.drop_columns(["terms", "positions"])
-            terms, positions = batch.column("terms"), batch.column("positions")
+            keep = batch.drop_columns(["__terms", "__positions"])
+            terms, positions = batch.column("__terms"), batch.column("__positions")
             n_words = batch.column("n_words").to_numpy()
             lengths = np.diff(terms.offsets.to_numpy())
             shard = Shard(n_words, lengths, terms.flatten().to_numpy(), positions.flatten().to_numpy().astype(np.int64), WINDOW + 2 * slop)

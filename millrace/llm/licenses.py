@@ -53,15 +53,15 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     Only digests are joined and shuffled; the known ones are a fixed short list. A row is named by the
     digest of its text, so equal texts share their notices."""
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "digest string, license_id string"))
+    table = F.broadcast(spark.createDataFrame(known(), "__digest string, license_id string"))
     t = F.coalesce(F.col(text), F.lit(""))
 
-    rows = docs.select(*keep, F.sha2(canonical(t).cast("binary"), 256).alias("digest"), F.md5(t.cast("binary")).alias("__key"))
-    whole = rows.join(table, "digest", "left").drop("digest")
+    rows = docs.select(*keep, F.sha2(canonical(t).cast("binary"), 256).alias("__digest"), F.md5(t.cast("binary")).alias("__key"))
+    whole = rows.join(table, "__digest", "left").drop("__digest")
     lines = docs.select(t.alias("t")).where(F.lower("t").contains("licen")).select(F.md5(F.col("t").cast("binary")).alias("__key"), F.split("t", "\n").alias("lines"))
     lines = lines.withColumn("lines", F.filter("lines", lambda x: F.lower(x).contains("licen"))).dropDuplicates(["__key"])
-    digests = lines.select("__key", F.explode("lines").alias("line")).select("__key", F.sha2(canonical(F.col("line")).cast("binary"), 256).alias("digest"))
-    hits = digests.join(table, "digest").groupBy("__key").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    digests = lines.select("__key", F.explode("lines").alias("line")).select("__key", F.sha2(canonical(F.col("line")).cast("binary"), 256).alias("__digest"))
+    hits = digests.join(table, "__digest").groupBy("__key").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(hits, "__key", "left").drop("__key").withColumns({"n_notices": F.coalesce("n_notices", F.lit(0)), "notices": F.coalesce("notices", F.lit(""))})
 
 

@@ -128,14 +128,14 @@ def _extracted(batches):
                 free = [(a, b) for a, b in shaped(text) if not any(x < b and a < y for x, y, _ in base)]
                 got += [(a, b, None) for a, b in free]
             places.append([{"start": a, "end": b, "kind": k, "instance": text[a:b].lower()[:64], "patterns": contexts(text, a, b)} for a, b, k in got])
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spans, pa.list_(span)), pa.array(places, pa.list_(place))], names=[*batch.schema.names[1:], "base", "places"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spans, pa.list_(span)), pa.array(places, pa.list_(place))], names=[*batch.schema.names[1:], "base", "__places"])
 
 
 def extract(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep`, key (digest of the text), base spans and places (seeds and candidates with their patterns); one scan, no shuffle."""
+    """`keep`, __key (digest of the text), base spans and __places (seeds and candidates with their patterns); one scan, no shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(t.alias("__text"), *keep, F.unhex(F.md5(t.cast("binary"))).alias("key"))
-    schema = "base array<struct<start: bigint, end: bigint, kind: string>>, places array<struct<start: bigint, end: bigint, kind: string, instance: string, patterns: array<string>>>"
+    rows = docs.select(t.alias("__text"), *keep, F.unhex(F.md5(t.cast("binary"))).alias("__key"))
+    schema = "base array<struct<start: bigint, end: bigint, kind: string>>, __places array<struct<start: bigint, end: bigint, kind: string, instance: string, patterns: array<string>>>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema.fields)
     return rows.mapInArrow(_extracted, f"{fields}, {schema}")
 
@@ -145,7 +145,7 @@ def score_graph(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Edges are distinct (pattern, instance) pairs, so copies of a text add nothing, and patterns
     without support fall out by counting before any join; sums per side are combined before they are shuffled."""
-    places = extracted.select(F.explode("places").alias("p"))
+    places = extracted.select(F.explode("__places").alias("p"))
     pairs = places.select(F.explode("p.patterns").alias("pattern"), "p.instance", "p.kind").distinct()
     support = pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds"))
     edges = stored(pairs.join(support.where(f"n >= {SUPPORT} and seeds >= {SEEDS}"), "pattern"))
@@ -168,12 +168,12 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, base and spans (base and discovered, by start, then kind) of every row."""
     rows = stored(extract(docs, keep, text))
     confident = score_graph(rows)
-    places = rows.select("key", F.explode("places").alias("p")).where("p.kind is null").select("key", "p.start", "p.end", F.explode("p.patterns").alias("pattern")).distinct()
-    hits = places.join(confident, "pattern").groupBy("key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-    found = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end", F.col("b.kind").alias("kind"))).alias("found"))
-    joined = rows.drop("places").join(found, "key", "left")
-    spans = F.concat("base", F.coalesce("found", F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")))
-    return joined.withColumn("spans", in_order(spans)).drop("found", "key")
+    places = rows.select("__key", F.explode("__places").alias("p")).where("p.kind is null").select("__key", "p.start", "p.end", F.explode("p.patterns").alias("pattern")).distinct()
+    hits = places.join(confident, "pattern").groupBy("__key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+    found = hits.groupBy("__key").agg(F.collect_set(F.struct("start", "end", F.col("b.kind").alias("kind"))).alias("__found"))
+    joined = rows.drop("__places").join(found, "__key", "left")
+    spans = F.concat("base", F.coalesce("__found", F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")))
+    return joined.withColumn("spans", in_order(spans)).drop("__found", "__key")
 
 
 def in_order(spans: Column) -> Column:
@@ -191,14 +191,15 @@ def redact(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame
     """docs' `columns`, with every span of the text replaced by its kind in angle brackets; null stays null.
 
     Overlapping spans are replaced as one, under the kind of the first."""
-    rows = find(docs, columns, text).select(*columns, "spans")
+    held = docs.select(F.struct(*columns).alias("__row"), F.col(text).alias("__text_copy"))
+    rows = find(held, ["__row"], "__text_copy").select("__row.*", F.col("spans").alias("__spans"))
     schema = docs.select(*columns).schema
     at = columns.index(text)
 
     def replaced(batches):
         for batch in batches:
             texts = []
-            for value, spans in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist()):
+            for value, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist()):
                 if spans:
                     out, done = [], 0
                     for s in spans:

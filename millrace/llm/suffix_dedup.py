@@ -316,9 +316,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     """`keep`, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes) of every row."""
     spans = repeated_spans(docs, doc_id, text)
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(data.alias("__data"), *keep).withColumn("key", F.unhex(F.md5("__data"))).join(spans, "key", "left").select("__data", "spans", *keep)
+    spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    rows = docs.select(data.alias("__data"), *keep).withColumn("__key", F.unhex(F.md5("__data"))).join(spans, "__key", "left").select("__data", "__spans", *keep)
     new = {"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit("")} | ({"kept": F.lit(b"")} if with_kept else {})
-    schema = rows.drop("__data", "spans").withColumns(new).schema
+    schema = rows.drop("__data", "__spans").withColumns(new).schema
     names = list(new)
 
     def removed(batches):
