@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 import time
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import InvariantViolation, LockLost, MillraceError, ResumeError
 from ..model import Mode, Name, Node, Plan, State, Step
-from ..plans.shape import check_consumer, check_query, relocate
+from ..plans.shape import check_consumer, check_query, listed, relocate
 from ..sources.catalog import Catalog, Heartbeat
 from ..sources.tables import Tables
 from .refresh import Refresher
@@ -156,8 +158,6 @@ class Executor:
         if not declared or not self.tables.version(a["name"]):
             return
         df = self.tables.read(a["name"])
-        from pyspark.sql import functions as F
-
         if [c for c, _ in declared] != df.columns:
             cols = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in declared]
             self.tables.put(a["name"], df.select(*cols))
@@ -214,10 +214,7 @@ class Executor:
 
     def _green_query(self, query: str, schema: str) -> str:
         """Reads of nodes that are built in green go to green."""
-        from ..plans.shape import tokens
-
         built = {n.removeprefix(f"{schema}.") for n in self.tables.known() if n.startswith(f"{schema}.")}
-        del tokens
         return relocate(query, lambda n, _: f"{schema}.{_green(n)}" if _green(n) in built else None)
 
     def _CreateStreamTableInGreen(self, a):
@@ -340,10 +337,6 @@ TYPES = {
 
 def ddl_columns(ddl: str) -> list[tuple[str, str]]:
     """(column, Spark type) of a CREATE TABLE text; constraints are left out."""
-    import re
-
-    from ..plans.shape import listed
-
     m = re.search(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\w.\"]+\s*\((.*)\)", ddl or "")
     out = []
     for entry in listed(m[1]) if m else []:

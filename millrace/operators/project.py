@@ -305,10 +305,9 @@ class Project:
             if exclude and re.search(exclude, str(node.name)):
                 continue
             d = {"schema": node.name.schema, "schedule": node.schedule, "refresh_mode": str(node.mode)} | ({"cdc_mode": node.cdc} if node.cdc else {})
-            path = streams / f"{node.name.name}.sql" if node.name.schema == "public" else streams / f"{node.name.name}.sql"
-            if path.exists():
-                path = streams / node.name.schema / f"{node.name.name}.sql"
-                path.parent.mkdir(exist_ok=True)
+            folder = streams if node.name.schema == "public" else streams / node.name.schema
+            folder.mkdir(exist_ok=True)
+            path = folder / f"{node.name.name}.sql"
             path.write_text(fmt.render(files.ProjectFile(str(path), node.query, "stream", d)))
             n += 1
         settings = Path(directory) / "millrace.toml"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import getpass
-import json
 import threading
 import time
 from datetime import UTC, datetime
@@ -158,7 +157,3 @@ class Heartbeat:
     def stop(self) -> None:
         self._stop.set()
         self._thread.join(timeout=5)
-
-
-def dumps(value) -> str:
-    return json.dumps(value, sort_keys=True)

@@ -35,12 +35,12 @@ class ProjectFile:
 
 
 def load(directory: str | Path, values: dict[str, str] | None = None) -> list[ProjectFile]:
-    """migrations/streams, sources and consumers, each by file name; a missing folder is skipped."""
+    """migrations/streams, sources and consumers, each by path, subfolders too; a missing folder is skipped."""
     found = []
     for part in ("streams", "sources", "consumers"):
         folder = Path(directory) / "migrations" / part
         if folder.is_dir():
-            found += [parse(str(p), p.read_text(), values) for p in sorted(folder.glob("*.sql"))]
+            found += [parse(str(p), p.read_text(), values) for p in sorted(folder.rglob("*.sql"))]
     return found
 
 
