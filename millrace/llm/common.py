@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of ASCII that are no digit or letter become a space; A-Z become a-z.
 _FOLD = bytes(
     (c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -49,10 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: it cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it again: it cuts lineage and survives lost executors.
+
+    The shuffle files of the write go when it is done, as nothing runs df again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

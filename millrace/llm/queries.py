@@ -100,7 +100,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", "n_links")
+    return found.select("doc_id", "class_id", "class_size")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
