@@ -6,11 +6,12 @@ same least-hashed 32-byte anchor at the same place, so it is enough to compare
 the segments around equal anchors.  Anchors are counted over the whole corpus;
 only texts with an anchor that occurs twice send the segments around it.
 Segments that are equal as a whole settle each other; the different ones of an
-anchor are suffix-sorted together, in blocks of 16 bytes counted from the
+anchor are suffix-sorted together, in blocks of 64 bytes counted from the
 anchor: groups of suffixes with equal Lyndon prefixes are processed from the
 highest down, each pulling its previous smaller suffixes out of their groups,
-and one pass over the final groups emits the order.  Neighbours that share 24
-blocks name the places where a string may repeat; the bytes there decide.
+and one pass over the final groups emits the order.  Neighbours that share five
+blocks name the places where a string may repeat; 128-bit hashes of the strings
+there decide.
 
 Anchors with more than MOST different segments are settled by counting the
 digest of each of their strings on Spark instead, so no task holds a group
@@ -22,6 +23,7 @@ everything; of equal texts of LENGTH bytes or more nothing is left.
 
 from __future__ import annotations
 
+from functools import cache
 from hashlib import md5, sha256
 from itertools import groupby
 
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-LENGTH, ANCHOR, BLOCK = 400, 32, 16
+LENGTH, ANCHOR, BLOCK = 400, 32, 64
 #: Before an anchor's first byte, and from it on.
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 SHARED = (LENGTH - BLOCK + 1) // BLOCK
-MOST = 512
+MOST = 32_768
 
 
 def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -156,8 +158,10 @@ def common_prefixes(s: list[int], order: list[int]) -> list[int]:
     return out
 
 
-def likely_starts(segments: list[tuple[bytes, int]]) -> list[set[int]]:
-    """For each (bytes, anchor place): starts of strings that share whole blocks with another place."""
+def likely_columns(segments: list[tuple[bytes, int]]) -> np.ndarray:
+    """For each (bytes, anchor place): where strings start that share whole blocks with another place.
+
+    Column c stands for a start LEFT - c bytes before the anchor."""
     marks: dict[bytes, int] = {}
     blocks: list[list[bytes]] = []
     for data, anchor in segments:
@@ -168,32 +172,72 @@ def likely_starts(segments: list[tuple[bytes, int]]) -> list[set[int]]:
     for i, bs in enumerate(blocks):
         text += [marks[b] for b in bs]
         text.append(i)  # every segment ends in a mark of its own
-        owner += [(i, segments[i][1] % BLOCK + BLOCK * j) for j in range(len(bs) + 1)]
+        first = segments[i][1] % BLOCK + LEFT - segments[i][1]
+        owner += [(i, first + BLOCK * j) for j in range(len(bs) + 1)]
     order = suffix_order(text)
     shared = common_prefixes(text, order)
-    out: list[set[int]] = [set() for _ in segments]
+    out = np.zeros((len(segments), LEFT + 1), bool)
     for r, p in enumerate(order):
         if shared[r] >= SHARED or r + 1 < len(order) and shared[r + 1] >= SHARED:
             i, at = owner[p]
-            out[i].update(range(max(0, at - BLOCK + 1), min(at, len(segments[i][0]) - LENGTH) + 1))
+            if at >= 0:
+                out[i, max(0, at - BLOCK + 1) : at + 1] = True
     return out
 
 
-def repeated_within(segments: list[tuple[bytes, int]], places: list[tuple], often: list[bool]) -> list[list[tuple[int, int]]]:
-    """For each segment of one anchor, the ranges covered by strings that start at another place, too.
-
-    places: where each segment starts, as (text, byte); two segments of a text may overlap, and then
-    share strings that are in one place only. often: whether a segment occurs more than once."""
-    starts = likely_starts(segments)
-    first: dict[bytes, tuple] = {}
-    twice: set[bytes] = set()
-    digests = []
-    for (data, _), some, (text, at), many in zip(segments, starts, places, often):
-        digests.append([(s, md5(data[s : s + LENGTH]).digest()) for s in sorted(some)])
-        for s, d in digests[-1]:
-            if many or first.setdefault(d, (text, at + s)) != (text, at + s):
-                twice.add(d)
-    return [union([(s, s + LENGTH) for s, d in ds if d in twice]) for ds in digests]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of two odd multipliers modulo 2^64."""
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        p = np.full(LEFT + RIGHT, seed, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
+def string_hashes(segments: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every string of LENGTH bytes by column; strings of one column compare."""
+    width = LEFT + RIGHT
+    table = np.zeros((len(segments), width), np.uint8)
+    for row, (data, anchor) in zip(table, segments):
+        row[LEFT - anchor : LEFT - anchor + len(data)] = np.frombuffer(data, np.uint8)
+    out = []
+    for powers in _powers():
+        sums = np.zeros((len(segments), width + 1), np.uint64)
+        np.cumsum((table + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+        out.append(sums[:, LENGTH:] - sums[:, : width + 1 - LENGTH])
+    return out[0], out[1]
+
+
+def repeated_within(segments: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]:
+    """For each segment of one anchor, the ranges covered by strings that another segment has, too.
+
+    Equal strings have the anchor at the same place, so only strings of one column are compared."""
+    mask = likely_columns(segments)
+    column = np.arange(LEFT + 1)
+    for row, (data, anchor) in zip(mask, segments):
+        row &= (column >= LEFT - anchor) & (column + LENGTH <= LEFT - anchor + len(data))
+    parts = [string_hashes(segments[i : i + 2_000]) for i in range(0, len(segments), 2_000)]
+    first, second = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    again = np.zeros_like(mask)
+    step = max(1, 1_000_000 // len(segments))
+    for c in range(0, LEFT + 1, step):
+        rows, cols = np.nonzero(mask[:, c : c + step])
+        cols += c
+        x, y = first[rows, cols], second[rows, cols]
+        x = x * np.uint64(0xD6E8FEB86659FD93) + cols.astype(np.uint64)  # columns apart
+        order = np.argsort(x, kind="stable")
+        same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1]) & (cols[order][1:] == cols[order][:-1])
+        hit = np.zeros(order.size, bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        again[rows[order[hit]], cols[order[hit]]] = True
+    out = []
+    for row, (_, anchor) in zip(again, segments):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0])))) - LEFT + anchor
+        out.append(union([(int(a), int(b) - 1 + LENGTH) for a, b in zip(edges[::2], edges[1::2])]))
+    return out
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,7 +287,7 @@ def _segment_rows(batches):
 
 
 def _sorted_groups(batches):
-    """Rows come sorted by anchor; a group has MOST segments at most."""
+    """Rows come sorted by anchor and segment; a group has MOST different segments at most."""
 
     def rows():
         for batch in batches:
@@ -254,8 +298,10 @@ def _sorted_groups(batches):
 
     done = []
     for anchor, group in groupby(rows(), key=lambda r: r[0]):
-        group = list(group)
-        found = repeated_within([(r[3], r[2]) for r in group], [(r[4], r[5]) for r in group], [r[6] for r in group])
+        group = [next(same) for _, same in groupby(group, key=lambda r: r[1])]
+        if len(group) < 2:
+            continue
+        found = repeated_within([(r[3], r[2]) for r in group])
         done += [(anchor, r[1], f) for r, f in zip(group, found) if f]
         if len(done) > 1_000:
             yield out(done)
@@ -265,15 +311,12 @@ def _sorted_groups(batches):
 
 
 def _string_rows(batches):
-    """Digest and place of every string of LENGTH bytes of a segment."""
-    names = ["anchor", "seg_key", "s", "d", "key", "place", "often"]
+    """Digest and column of every string of LENGTH bytes of a segment."""
     for batch in batches:
-        for anchor, seg_key, _, data, key, at, often in zip(*(c.to_pylist() for c in batch.columns)):
-            n = len(data) - LENGTH + 1
+        for anchor, seg_key, off, data in zip(*(c.to_pylist() for c in batch.columns)):
+            n = min(len(data) - LENGTH, off) + 1
             got = [md5(data[s : s + LENGTH]).digest() for s in range(n)]
-            same = [pa.array([anchor] * n, pa.int64()), pa.array([seg_key] * n, pa.binary())]
-            place = [pa.array([key] * n, pa.binary()), pa.array(range(at, at + n), pa.int64()), pa.array([often] * n)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int64()), pa.array(got, pa.binary()), *place], names)
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([seg_key] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(range(LEFT - off, LEFT - off + n), pa.int64()), pa.array(got, pa.binary())], ["anchor", "seg_key", "s", "column", "d"])
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,23 +334,25 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     segments = stored(one.select("key", "data", "anchors").mapInArrow(_segment_rows, "anchor long, key binary, seg_key binary, off long, seg binary, starts array<long>"))
 
     same = segments.groupBy("anchor", "seg_key").agg(F.sum(F.size("starts")).alias("n"))
-    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
     whole = same.where("n > 1").select("anchor", "seg_key", F.lit(True).alias("whole"))
-    columns = ["anchor", "seg_key", "off", "seg", "key", "at", "often"]
-    distinct = segments.withColumn("at", F.element_at("starts", 1)).join(kinds, "anchor").dropDuplicates(["anchor", "seg_key"])
-    distinct = stored(distinct.join(whole, ["anchor", "seg_key"], "left").select(*columns[:-1], F.coalesce("whole", F.lit(False)).alias("often"), "kinds"))
-    small = distinct.where(f"kinds <= {MOST}").select(*columns)
-    by_anchor = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "anchor long, seg_key binary, spans array<struct<a: bigint, b: bigint>>")
-    strings = distinct.where(f"kinds > {MOST}").select(*columns).mapInArrow(_string_rows, "anchor long, seg_key binary, s long, d binary, key binary, place long, often boolean")
-    place = F.xxhash64("key", "place")
-    twice = strings.groupBy("d").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("often").alias("often")).where("x != y or often").select("d")
-    by_count = strings.join(twice, "d").groupBy("anchor", "seg_key").agg(F.collect_list(F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))).alias("spans"))
-    parts = stored(by_anchor.unionByName(by_count))
+    large = stored(kinds.where(f"kinds > {MOST}").select("anchor"))
+    any_large = not large.isEmpty()
+    every = segments.select("anchor", "seg_key", "off", "seg")
+    small = every.join(large, "anchor", "left_anti") if any_large else every
+    by_anchor = small.repartition("anchor").sortWithinPartitions("anchor", "seg_key").mapInArrow(_sorted_groups, "anchor long, seg_key binary, spans array<struct<a: bigint, b: bigint>>")
+    by_anchor = stored(by_anchor)
+    parts = by_anchor
+    if any_large:
+        strings = every.join(large, "anchor").dropDuplicates(["anchor", "seg_key"]).select("anchor", "seg_key", "off", "seg").mapInArrow(_string_rows, "anchor long, seg_key binary, s long, column long, d binary")
+        twice = strings.groupBy("anchor", "column", "d").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        by_count = strings.join(twice, ["anchor", "column", "d"]).groupBy("anchor", "seg_key").agg(F.collect_list(F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))).alias("spans"))
+        parts = by_anchor.unionByName(stored(by_count))
     located = segments.select("anchor", "seg_key", "key", "starts", F.length("seg").cast("long").alias("size"))
     located = located.join(whole, ["anchor", "seg_key"], "left").join(parts, ["anchor", "seg_key"], "left").where("whole or spans is not null")
-    every = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))).otherwise(F.col("spans"))
-    moved = F.flatten(F.transform("starts", lambda s: F.transform("every", lambda x: F.struct((x["a"] + s).alias("a"), (x["b"] + s).alias("b")))))
-    by_text = located.withColumn("every", every).select("key", F.explode(moved).alias("x")).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("spans"))
+    covered = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))).otherwise(F.col("spans"))
+    moved = F.flatten(F.transform("starts", lambda s: F.transform("covered", lambda x: F.struct((x["a"] + s).alias("a"), (x["b"] + s).alias("b")))))
+    by_text = located.withColumn("covered", covered).select("key", F.explode(moved).alias("x")).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("spans"))
     equal = copies.where("n > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))).alias("spans"))
     return by_text.join(equal.select("key"), "key", "left_anti").unionByName(equal)
 
