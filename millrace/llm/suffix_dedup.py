@@ -311,12 +311,13 @@ def _sorted_groups(batches):
 
 
 def _string_rows(batches):
-    """Digest and column of every string of LENGTH bytes of a segment."""
+    """Digest of every string of LENGTH bytes of a segment, with its anchor and column, as two integers."""
     for batch in batches:
         for anchor, seg_key, off, data in zip(*(c.to_pylist() for c in batch.columns)):
             n = min(len(data) - LENGTH, off) + 1
-            got = [md5(data[s : s + LENGTH]).digest() for s in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([seg_key] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(range(LEFT - off, LEFT - off + n), pa.int64()), pa.array(got, pa.binary())], ["anchor", "seg_key", "s", "column", "d"])
+            got = b"".join([md5(b"%d:%d:" % (anchor, LEFT - off + s) + data[s : s + LENGTH]).digest() for s in range(n)])
+            halves = np.frombuffer(got, np.int64).reshape(n, 2)
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([seg_key] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["anchor", "seg_key", "s", "d1", "d2"])
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,9 +345,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_anchor = stored(by_anchor)
     parts = by_anchor
     if any_large:
-        strings = every.join(large, "anchor").dropDuplicates(["anchor", "seg_key"]).select("anchor", "seg_key", "off", "seg").mapInArrow(_string_rows, "anchor long, seg_key binary, s long, column long, d binary")
-        twice = strings.groupBy("anchor", "column", "d").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        by_count = strings.join(twice, ["anchor", "column", "d"]).groupBy("anchor", "seg_key").agg(F.collect_list(F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))).alias("spans"))
+        strings = every.join(large, "anchor").dropDuplicates(["anchor", "seg_key"]).select("anchor", "seg_key", "off", "seg").mapInArrow(_string_rows, "anchor long, seg_key binary, s long, d1 long, d2 long")
+        # stored first: repeated strings are few beside all, and Spark then sees their size before it plans the join
+        twice = stored(strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        by_count = strings.join(twice, ["d1", "d2"]).groupBy("anchor", "seg_key").agg(F.collect_list(F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))).alias("spans"))
         parts = by_anchor.unionByName(stored(by_count))
     located = segments.select("anchor", "seg_key", "key", "starts", F.length("seg").cast("long").alias("size"))
     located = located.join(whole, ["anchor", "seg_key"], "left").join(parts, ["anchor", "seg_key"], "left").where("whole or spans is not null")
