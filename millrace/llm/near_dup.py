@@ -12,8 +12,9 @@ band, texts are reached from one another breadth first: a text that is reached
 is compared with those that are not yet, so a cloud of near copies costs a few
 comparisons a text and a text without a link is compared with all.  Bands with
 the same members are searched once.  A band of more than MOST texts is dealt
-into parts of about that size, anew in every band, each with the same few
-texts of the band in it; so no task holds more than MOST texts of a band.
+into parts of about half that size, and every part is searched with itself and
+with every other part, each pair of parts on its own; so all pairs of a band are
+covered, and a search holds about MOST texts of it, whatever the band's size.
 
 Defined results: null, empty and wordless texts are alone in their class; a
 text of fewer than five words is one shingle; class_id is the least doc_id of
@@ -42,8 +43,8 @@ SAMPLES = BANDS * PER_BAND
 CELLS, _BLOCK = 1 << 18, 1 << 10
 #: Share of a shingle's weight that its inverse document frequency can add.
 IDF_SHARE = 0.5
-#: Most texts of a band that are searched together, and how many of a larger band every part has.
-MOST, COMMON = 4_000, 64
+#: Most texts of a band that are searched together; a larger band is searched by pairs of parts of half as many.
+MOST = 4_000
 #: Samples that must agree before two texts are compared, of SAMPLES; at 0.8 fewer agree once in a million.
 AGREE = 18
 _CACHE = 400_000
@@ -193,17 +194,39 @@ def reached(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarray) ->
     return out
 
 
+def reached_across(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the first and the second part of a band that join what any link between them joins, breadth first."""
+    out: list[tuple[int, int]] = []
+    weight = np.array([f[1].sum() for f in features])
+    left = [np.flatnonzero(~second), np.flatnonzero(second)]
+    while left[0].size and left[1].size:
+        queue, left[0] = [int(left[0][0])], left[0][1:]
+        while queue:
+            p = queue.pop(0)
+            side = int(not second[p])
+            others = left[side]
+            may = (np.minimum(weight[others], weight[p]) >= SIMILAR * np.maximum(weight[others], weight[p])) & ((sigs[others] == sigs[p]).sum(axis=1) >= AGREE)
+            found = [int(i) for i in others[may] if similarity(features[p], features[i]) >= SIMILAR]
+            out += [(p, i) for i in found]
+            queue += found
+            left[side] = others[~np.isin(others, found)] if found else others
+    return out
+
+
 def _linked(idf):
+    """Batches of (band, a, b, part, key, sig, text), sorted: parts a and b of a band are searched together, or a alone if they are the same."""
+
     def linked(batches):
         def rows():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        for _, group in groupby(rows(), key=lambda r: r[:2]):
+        for (_, a, b), group in groupby(rows(), key=lambda r: r[:3]):
             group = list(group)
-            found = reached([weighted(r[4], idf.value) for r in group], np.array([r[3] for r in group]))
+            features, sigs = [weighted(r[6], idf.value) for r in group], np.array([r[5] for r in group])
+            found = reached(features, sigs) if a == b else reached_across(features, sigs, np.array([r[3] == b for r in group]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([group[i][2] for i, _ in found], pa.binary()), pa.array([group[j][2] for _, j in found], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([group[i][4] for i, _ in found], pa.binary()), pa.array([group[j][4] for _, j in found], pa.binary())], ["a", "b"])
 
     return linked
 
@@ -225,13 +248,11 @@ def links(docs: DataFrame, keys: DataFrame, idf, doc_id: str, text: str) -> Data
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     on = (texts["key"] == reps["key"]) & texts["doc_id"].eqNullSafe(reps["doc_id"])
     texts = stored(texts.join(reps, on).select(reps["key"], "text").dropDuplicates(["key"]))
-    parts = F.ceil(F.col("n") / MOST).cast("int")
-    deal = F.xxhash64("key", "band")
-    # a text of a large band goes to one part, but the COMMON of least hash (in expectation) go to all of them
-    common = F.pmod(F.xxhash64("band", "key", F.lit(1)), F.col("n")) < COMMON
-    part = F.when(F.col("n") <= MOST, F.array(F.lit(0))).when(common, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(deal, parts).cast("int")))
-    dealt = members.withColumn("part", F.explode(part)).drop("n").join(distinct.select("key", "sig"), "key").join(texts, "key")
-    sorted_ = dealt.select("band", "part", "key", "sig", "text").repartition("band", "part").sortWithinPartitions("band", "part", "key")
+    parts = F.when(F.col("n") <= MOST, 1).otherwise(F.ceil(2 * F.col("n") / MOST)).cast("int")
+    dealt = members.withColumns({"part": F.pmod(F.xxhash64("key", "band"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    dealt = dealt.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "key")
+    dealt = dealt.join(distinct.select("key", "sig"), "key").join(texts, "key").select("band", "a", "b", "part", "key", "sig", "text")
+    sorted_ = dealt.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "key")
     return sorted_.mapInArrow(_linked(idf), "a binary, b binary")
 
 
