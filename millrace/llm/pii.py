@@ -3,12 +3,15 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.
 Those are the seeds: the words around a seed (left pair and right word, left
 pair, right pair) are lexical patterns.  Every identifier-shaped word (one with
-a digit or an at sign) in the same kind of place is a candidate instance.
+a digit or an at sign) and every run of digit groups joined by blanks, dots,
+brackets or hyphens in the same kind of place is a candidate instance.
 Patterns and instances form a weighted bipartite graph per kind, whose scores
 are iterated on Spark: an instance is as likely as its patterns jointly make
 it, a pattern as reliable as its instances, shrunk towards nothing where
-support is small.  Candidates of confident patterns are added as spans of the
-pattern's kind.  They never overlap base spans or each other.
+support is small.  In each round the confident instances count as seeds do, so
+they bring in patterns that no seed has.  Candidates of confident patterns are
+added as spans of the pattern's kind.  They never overlap base spans or each
+other; of those that would, the longest is taken.
 
 Defined results: null and empty texts have no spans; equal texts get equal
 spans; a tie between kinds goes to the one listed first.
@@ -19,13 +22,14 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern counts with at least so many different instances and seeds; scores are shrunk by PRIOR instances.
+#: A pattern counts with at least so many different instances, and seeds or confident instances; scores are shrunk by PRIOR instances.
 SUPPORT, SEEDS, PRIOR = 5, 3, 2.0
 ROUNDS = 3
 CONFIDENT = 0.8
@@ -36,6 +40,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
+_RUN = re.compile(r"(?:(?<![0-9A-Za-z])[0-9]|[+(]{1,2}[0-9])(?:[\x20\t().-]{0,3}[0-9])+(?![0-9A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -115,6 +120,16 @@ def shaped(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def runs(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Runs of adjacent digit groups with four digits or more, outside the spans that are taken."""
+    out, at = [], 0
+    for start, end in [*((a, b) for a, b, _ in taken), (len(text), len(text))]:
+        if at < start:
+            out += [m.span() for m in _RUN.finditer(text, at, start) if sum("0" <= c <= "9" for c in m.group()) >= 4]
+        at = max(at, end)
+    return out
+
+
 def _extracted(batches):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
@@ -125,9 +140,9 @@ def _extracted(batches):
             spans.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
             got = [(a, b, k) for a, b, k in base]
             if _DIGIT.search(text):
-                free = [(a, b) for a, b in shaped(text) if not any(x < b and a < y for x, y, _ in base)]
-                got += [(a, b, None) for a, b in free]
-            places.append([{"start": a, "end": b, "kind": k, "instance": text[a:b].lower()[:64], "patterns": contexts(text, a, b)} for a, b, k in got])
+                free = {(a, b) for a, b in shaped(text) if not any(x < b and a < y for x, y, _ in base)}
+                got += [(a, b, None) for a, b in sorted(free.union(runs(text, base)))]
+            places.append([{"start": a, "end": b, "kind": k, "instance": xxhash.xxh3_128_hexdigest(text[a:b].lower().encode()), "patterns": contexts(text, a, b)} for a, b, k in got])
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spans, pa.list_(span)), pa.array(places, pa.list_(place))], names=[*batch.schema.names[1:], "base", "__places"])
 
 
@@ -147,14 +162,16 @@ def score_graph(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     without support fall out by counting before any join; sums per side are combined before they are shuffled."""
     places = extracted.select(F.explode("__places").alias("p"))
     pairs = places.select(F.explode("p.patterns").alias("pattern"), "p.instance", "p.kind").distinct()
-    support = pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds"))
-    edges = stored(pairs.join(support.where(f"n >= {SUPPORT} and seeds >= {SEEDS}"), "pattern"))
+    support = pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
+    edges = stored(pairs.join(support.where(f"n >= {SUPPORT}"), "pattern"))
     kinds = F.array(*map(F.lit, KINDS))
     # seeds keep their kind for good; other instances start without one
     instances = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     patterns = None
     for _ in range(rounds):
-        sums = edges.select("pattern", "instance", "n").distinct().join(instances, "instance").groupBy("pattern", "n", "kind").agg(F.sum("score").alias("sum"))
+        scored = edges.select("pattern", "instance", "n").distinct().join(instances, "instance")
+        sure = scored.where(F.col("score") >= CONFIDENT).groupBy("pattern").agg(F.count_distinct("instance").alias("sure")).where(f"sure >= {SEEDS}")
+        sums = scored.groupBy("pattern", "n", "kind").agg(F.sum("score").alias("sum")).join(sure, "pattern", "left_semi")
         patterns = stored(sums.select("pattern", "kind", (F.col("sum") / (F.col("n") + PRIOR)).alias("confidence")))
         joint = edges.where("kind is null").select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind")
         spread = joint.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
@@ -170,12 +187,21 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     confident = score_graph(rows)
     places = rows.select("__key", F.explode("__places").alias("p")).where("p.kind is null").select("__key", "p.start", "p.end", F.explode("p.patterns").alias("pattern")).distinct()
     hits = places.join(confident, "pattern").groupBy("__key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-    found = hits.groupBy("__key").agg(F.collect_set(F.struct("start", "end", F.col("b.kind").alias("kind"))).alias("__found"))
+    found = hits.groupBy("__key").agg(F.collect_set(F.struct("start", "end", F.col("b.kind").alias("kind"))).alias("__found")).withColumn("__found", apart(F.col("__found")))
     joined = rows.drop("__places").join(found, "__key", "left")
     spans = F.concat("base", F.coalesce("__found", F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")))
     return joined.withColumn("spans", in_order(spans)).drop("__found", "__key")
 
 
+def apart(spans: Column) -> Column:
+    """The longest spans first, then the leftmost, without those that overlap one already taken."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    plain = F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    none = F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    return F.aggregate(plain, none, lambda out, s: F.when(F.exists(out, lambda o: meets(o, s)), out).otherwise(F.concat(out, F.array(s))))
+
+
 def in_order(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))

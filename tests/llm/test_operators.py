@@ -92,6 +92,30 @@ def test_personal_data(spark, docs, none):
     assert pii.find(none, ["doc_id"]).count() == 0 and pii.find(docs, ["doc_id", "key", "source"]).count() == len(TEXTS_)
 
 
+def test_personal_data_of_several_words(spark):
+    def card(i):
+        head = f"4539 1488 {1000 + i:04d} 64"
+        return next(c for c in (f"{head}{d:02d}" for d in range(100)) if pii.luhn(c.replace(" ", "")))
+
+    texts = [f"{words(5)} dial +1 (312) 555-{2000 + i} for help {words(4)}" for i in range(30)] + [f"{words(5)} card number {card(i)} expires soon {words(4)}" for i in range(30)]
+    hidden = {"phone": ["(312) 555-0100", "020 7946 0958"], "card": ["4539 1488 0343 6468"]}
+    assert not pii.luhn("4539148803436468")
+    texts += [f"{words(5)} dial {p} for help {words(4)}" for p in hidden["phone"]] + [f"{words(5)} card number {p} expires soon {words(4)}" for p in hidden["card"]]
+    got = {r["text"]: r["spans"] for r in pii.find(frame(spark, texts), ["text"]).collect()}
+    for t, kind, value in zip(texts[60:], ["phone", "phone", "card"], hidden["phone"] + hidden["card"]):
+        assert [(s["kind"], t[s["start"] : s["end"]]) for s in got[t]] == [(kind, value)]
+
+
+def test_discovered_instances_bring_in_patterns(spark):
+    texts = [f"{words(5)} write to who{i}@mail.example.com please now {words(4)}" for i in range(120)]
+    texts += [f"{words(5)} write to user(at)site{i} please now {words(4)}" for i in range(20)]
+    texts += [f"{words(5)} my own handle user(at)site{i} since last year {words(4)}" for i in range(20)]
+    texts += [f"{words(5)} my own handle lone(at)place7 since last year {words(4)}"]
+    t = texts[-1]
+    got = {r["text"]: r["spans"] for r in pii.find(frame(spark, texts), ["text"]).collect()}
+    assert [(s["kind"], t[s["start"] : s["end"]]) for s in got[t]] == [("email", "lone(at)place7")]
+
+
 def test_licenses(spark, docs, none):
     mit = TEXTS[0][2]
     changed = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace(",", " ,").replace("sublicense", "sublicence").upper()
