@@ -56,6 +56,21 @@ NOTICES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 ]
 
+#: (digest of the canonical form, licence) of long texts, as distributions ship them.
+DIGESTS = [
+    ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),
+    ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+    ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "GPL-1.0"),
+    ("b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "GPL-2.0"),
+    ("f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f", "GPL-3.0"),
+    ("9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", "LGPL-2.0"),
+    ("cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345", "LGPL-2.1"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354", "MPL-1.1"),
+    ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", "MPL-2.0"),
+    ("7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd", "Unlicense"),
+]
+
 #: Spellings that count as the second of each pair.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencee": "licensee", "sublicence": "sublicense",

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS, PLAIN = "‘’“”–— ©", "\"\"\"\"-- c"
@@ -53,7 +53,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     Only digests are joined and shuffled; the known ones are a fixed short list. A row is named by the
     digest of its text, so equal texts share their notices."""
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "__digest string, license_id string"))
+    table = F.broadcast(spark.createDataFrame(known() + DIGESTS, "__digest string, license_id string"))
     t = F.coalesce(F.col(text), F.lit(""))
 
     rows = docs.select(*keep, F.sha2(canonical(t).cast("binary"), 256).alias("__digest"), F.md5(t.cast("binary")).alias("__key"))
