@@ -1,36 +1,47 @@
-"""Operator 5, BPE encoding and decoding by a tokenization automaton.
-
-The automaton reads tokens: its state is the token just read, and a token may
-follow only if merging could never join the two otherwise.  Merges are compiled
-in order, each as a gadget: the merge (a, b) takes the arc b away from the
-states that a leads to at that point and gives the state before a an arc for
-the joined token.  A state made for a joined token starts with the arcs that
-its right half has at that moment; so whether an arc exists follows from the
-merge ranks along the two tokens' inner edges, and rows of the transition table
-are filled from that when first used.  A word has exactly one path from the
-start to its end; its arc labels are the encoding, and emitting labels decodes.
-
-Texts are split as the tokenizer file says.  Null counts as empty text; special
-tokens spelled in a text become their ids.
+"""Operator 5, byte-pair encoding by a compiled automaton.
+
+The merges of a tokenizer are compiled, in order, into a deterministic automaton whose arcs are tokens: it accepts a
+sequence of tokens exactly if byte-pair encoding gives that sequence.  It starts as one state with an arc for every
+symbol.  The gadget of a merge a + b = ab adds arcs labelled ab that lead where arcs labelled b led, and lets the arcs
+labelled a lead to a new state, a copy of their old one without the arc b (and, later on, without what is built on b).
+Tokens are numbered so that all tokens built on b after a given merge are neighbours, hence a gadget cuts one range of
+numbers; a state is kept as the sorted bounds of the ranges it lacks, all states in one array.
+
+Pre-split words are walked symbol by symbol through a trie of all tokens with failure links: it gives the tokens that
+end at a place, the longest first, and exactly one of them has an arc from the state in which it starts.  Decoding
+emits the labels of the arcs that the ids name.
+
+Defined results: null counts as empty; empty texts have no token; equal texts get equal rows and repeated rows stay;
+texts of any length are encoded whole; the empty table gives no rows; a kept column may have the name of a new one,
+which then takes its place.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept with their encoding in each Python worker.
-_CACHE = 300_000
+from .common import without
+
+#: Chunks kept with their encoding in each Python worker.
+_CACHE = 400_000
+#: Words of more symbols are walked one by one, shorter ones side by side.
+_LONG = 96
 #: str.split takes these as white space, the splitter's pattern does not.
-_CONTROL = regex.compile(r"[\x1c-\x1f]").search
+_CONTROL = re.compile(r"[\x1c-\x1f]").search
 
 
 #: Where Unicode 16 added letters and digits, and the lower case of the capitals new in 16 and 17. The
@@ -47,11 +58,22 @@ def _newer():
     """Letters and digits of the regex library that the tokenizer library does not know as such."""
     known = regex.compile(r"[\p{L}\p{N}]")
     ours = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
-    newer = [chr(c) for c in range(0x80, 0x110000) if c not in ours and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
-    return regex.compile("[" + "".join(map(regex.escape, newer)) + "]")
+    newer = [c for c in range(0x80, 0x110000) if c not in ours and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    first = [c for c, before in zip(newer, [-2, *newer]) if c != before + 1]
+    last = [c for c, after in zip(newer, [*newer[1:], -2]) if c != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last)) + "]")
+
+
+_CAPITALS_NEW = re.compile("[" + "".join(map(chr, LOWER_NEW)) + "]")
 
 
-_CAPITALS_NEW = regex.compile("[" + "".join(map(chr, LOWER_NEW)) + "]")
+def latin(text: str) -> bool:
+    """Whether all code points are below 256, where all Unicode versions agree."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
 
 
 def byte_letters() -> list[str]:
@@ -62,85 +84,188 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """Transition table over token ids, compiled from ordered merges."""
+    """Tables compiled from ordered merges. A symbol is a byte, or 256 more than it at the end of a word."""
 
     def __init__(self, vocab: dict[str, int], merges: list, word_end: str):
-        self.end, self.vocab = word_end, vocab
         self.labels = {i: t for t, i in vocab.items()}
-        self.halves: dict[int, tuple[int, int, int]] = {}
-        self.joined: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(merges):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.reach: dict[str, int] = {}  # longest token by its first four characters
-        for token in vocab:
-            self.reach[token[:4]] = max(self.reach.get(token[:4], 0), len(token))
-        self.arcs: dict[tuple[int, int], bool] = {}
-
-    def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
-        self.joined.setdefault((a, b), (rank, ab))
-        self.halves.setdefault(ab, (rank, a, b))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        made = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        if len({t for _, _, t in made}) < len(made):
+            raise ValueError("two merges make the same token")
+        self._number(vocab, made)
+        self._compile(vocab, made)
+        self._trie(vocab, word_end)
+
+    def _number(self, vocab: dict[str, int], made: list[tuple[int, int, int]]) -> None:
+        """Number tokens so that a token comes after all that are built on it, the later merges nearer to it."""
+        self.kids: dict[int, list[int]] = {}
+        for a, _, t in made:
+            self.kids.setdefault(a, []).append(t)
+        self.number, self.least = [0] * (max(vocab.values()) + 1), [0] * (max(vocab.values()) + 1)
+        built, n = {t for _, _, t in made}, 0
+        for root in (i for i in vocab.values() if i not in built):
+            stack = [(root, 0)]
+            self.least[root] = n
+            while stack:
+                token, at = stack.pop()
+                kids = self.kids.get(token, ())
+                if at < len(kids):
+                    stack += [(token, at + 1), (kids[at], 0)]
+                    self.least[kids[at]] = n
+                else:
+                    self.number[token] = n
+                    n += 1
+
+    def _compile(self, vocab: dict[str, int], made: list[tuple[int, int, int]]) -> None:
+        """One gadget a merge; target is the state that arcs of a label lead to, rows the ranges that states lack."""
+        rows, target = [array("I")], [0] * len(self.number)
+        begun = [0] * len(self.number)  # how many of a token's kids are made
+        self.never: set[int] = set()  # tokens whose halves never meet: no arc has their label
+        for a, b, t in made:
+            target[t] = target[b]
+            if a in self.never or b in self.never or bisect_right(rows[target[a]], self.number[b]) % 2:
+                self.never.add(t)
+                begun[a] += 1
+                continue
+            kids, now = self.kids.get(b, ()), begun[b]  # in a + a = aa, aa itself counts as built later
+            low = self.least[kids[now]] if now < len(kids) else self.number[b]
+            high, row = self.number[b] + 1, rows[target[a]]
+            i, j = bisect_right(row, low), bisect_right(row, high)
+            inside = [] if i % 2 else [low]
+            rows.append(row[:i] + array("I", inside + ([] if j % 2 else [high])) + row[j:])
+            target[a] = len(rows) - 1
+            begun[a] += 1
+        # keep the states that an arc leads to, the start first
+        live = [0, *sorted({target[i] for i in vocab.values()} - {0})]
+        at = {s: k for k, s in enumerate(live)}
+        self.target = np.array([at.get(s, 0) for s in target], np.int64)
+        self.rows = [rows[s] for s in live]
+        self.width = len(self.number) + 1
+        self.bounds = np.concatenate([np.asarray(r, np.int64) + k * self.width for k, r in enumerate(self.rows)])
+        self.numbers = np.array(self.number, np.int64)
+
+    def _trie(self, vocab: dict[str, int], word_end: str) -> None:
+        """Trie of the tokens' symbols with failure links, and for each node the longest token that ends there."""
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        size = len(self.number)
+        self.next: dict[int, int] = {}
+        own, depth, parents = [-1], [0], [(0, 0)]
+        self.length = np.zeros(size, np.int64)
+        for token, i in vocab.items():
+            if i in self.never:
+                continue
+            body = token.removesuffix(word_end) if len(token) > len(word_end) else token
+            symbols = [byte[c] for c in body]
+            if body != token:
+                symbols[-1] += 256
+            node = 0
+            for s in symbols:
+                key = node << 9 | s
+                if key not in self.next:
+                    self.next[key] = len(own)
+                    own.append(-1)
+                    depth.append(depth[node] + 1)
+                    parents.append((node, s))
+                node = self.next[key]
+            own[node] = i
+            self.length[i] = len(symbols)
+        fail, ends, shorter = [0] * len(own), [-1] * len(own), [-1] * size
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, s = parents[node]
+            if parent:
+                f = fail[parent]
+                while f and (f << 9 | s) not in self.next:
+                    f = fail[f]
+                fail[node] = self.next.get(f << 9 | s, 0)
+            ends[node] = own[node] if own[node] >= 0 else ends[fail[node]]
+            if own[node] >= 0:
+                shorter[own[node]] = ends[fail[node]]
+        self.fail, self.ends, self.shorter = np.array(fail), np.array(ends), np.array(shorter)
+        keys = np.array(sorted(self.next), np.int64)
+        self.keys, self.nodes = keys, np.array([self.next[k] for k in keys.tolist()], np.int64)
+        self.lists = (fail, ends, shorter, self.length.tolist(), self.target.tolist())
 
     def arc(self, state: int, token: int) -> bool:
-        """Whether the automaton has an arc for `token` from the state of `state`."""
-        found = self.arcs.get((state, token))
-        if found is None:
-            if len(self.arcs) > _CACHE:
-                self.arcs.clear()
-            found = self.arcs[state, token] = self._compiled(state, token)
-        return found
-
-    def _compiled(self, left: int, right: int) -> bool:
-        """No gadget joined the touching edges of the two tokens before both were complete."""
-        never = len(self.joined)
-        until = never
-        while True:
-            made = self.joined.get((left, right))
-            if made and made[0] < until:
-                return False
-            l_rank = self.halves.get(left, (-1,))[0]
-            r_rank = self.halves.get(right, (-1,))[0]
-            if l_rank < 0 and r_rank < 0:
-                return True
-            if l_rank > r_rank:
-                until, left = l_rank, self.halves[left][2]
-            else:
-                # merges of one rank run from left to right, so an equal rank across the seam came first
-                until, right = r_rank + 1, self.halves[right][1]
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of one pre-split word: the only path of arcs that ends with the word.
-
-        From each state the longest arc comes first; a state without a way on is left for good."""
-        text = word + self.end
-        n, last = len(text), len(word)
-        get, reach = self.vocab.get, self.reach.get
-        path: list[int] = []
-        spots = [0]
-        ends = [min(n, reach(text[:4], 3))]
-        dead: set[tuple[int, int]] = set()
-        while spots[-1] < n:
-            at, end = spots[-1], ends[-1]
-            while end > at:
-                if end == n or end < last:  # the word-end mark stays with the last letter
-                    token = get(text[at:end])
-                    if token is not None and (end, token) not in dead and (not path or self.arc(path[-1], token)):
-                        break
-                end = min(end - 1, last - 1) if end == n else end - 1
-            if end > at:
-                ends[-1] = end - 1
-                path.append(token)
-                spots.append(end)
-                ends.append(min(n, end + reach(text[end : end + 4], 3)))
-            elif not path:
-                return []
-            else:
-                dead.add((spots.pop(), path.pop()))
-                ends.pop()
-        return path
+        """Whether the state has an arc for the token."""
+        return bisect_right(self.rows[state], self.number[token]) % 2 == 0
+
+    def walk(self, symbols: list[int]) -> list[int]:
+        """Ids of one word, by the tables."""
+        fail, ends, shorter, length, target = self.lists
+        node, last, states = 0, [], [0]
+        for i, s in enumerate(symbols, 1):
+            while node and (node << 9 | s) not in self.next:
+                node = fail[node]
+            node = self.next[node << 9 | s]
+            token = ends[node]
+            while not self.arc(states[i - length[token]], token):
+                token = shorter[token]
+            last.append(token)
+            states.append(target[token])
+        out, at = [], len(last)
+        while at:
+            out.append(last[at - 1])
+            at -= length[out[-1]]
+        return out[::-1]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-split words, one after another, and how many each has; words of one length step side by side."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        symbols[starts + sizes - 1] += 256
+        last = np.zeros(symbols.size, np.int64)
+        far = {w: self.walk(symbols[starts[w] : starts[w] + sizes[w]].tolist()) for w in np.flatnonzero(sizes > _LONG).tolist()}
+        order = np.argsort(-np.where(sizes > _LONG, 0, sizes), kind="stable")
+        steps = np.where(sizes > _LONG, 0, sizes)[order]
+        begin, node = starts[order], np.zeros(order.size, np.int64)
+        for i in range(int(steps[0]) if steps.size else 0):
+            m = int(np.searchsorted(-steps, -i))  # words of more than i symbols
+            at, node = begin[:m] + i, node[:m]
+            node = self._step(node, symbols[at])
+            token, wait = self.ends[node], np.arange(m)
+            while wait.size:
+                t = token[wait]
+                before = at[wait] - self.length[t]
+                state = np.where(before < begin[wait], 0, self.target[last[np.maximum(before, 0)]])
+                lacks = np.searchsorted(self.bounds, state * self.width + self.numbers[t], "right") & 1 == 1
+                wait = wait[lacks]
+                token[wait] = self.shorter[token[wait]]
+            last[at] = token
+        # back along the arcs
+        count, rows = np.zeros(sizes.size, np.int64), []
+        live, at = np.flatnonzero((sizes > 0) & (sizes <= _LONG)), (starts + sizes)[(sizes > 0) & (sizes <= _LONG)]
+        while live.size:
+            t = last[at - 1]
+            rows.append((live, t))
+            count[live] += 1
+            at = at - self.length[t]
+            more = at > starts[live]
+            live, at = live[more], at[more]
+        for w, ids in far.items():
+            count[w] = len(ids)
+        first = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.uint32)
+        for k, (w, t) in enumerate(rows):
+            out[first[w] + count[w] - 1 - k] = t
+        for w, ids in far.items():
+            out[first[w] : first[w] + len(ids)] = ids
+        return out, count
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out, wait = np.zeros(node.size, np.int64), np.arange(node.size)
+        while wait.size:
+            key = node[wait] << 9 | symbol[wait]
+            at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+            there = self.keys[at] == key
+            out[wait[there]] = self.nodes[at[there]]
+            wait = wait[~there]
+            node[wait] = self.fail[node[wait]]
+        return out
+
 
 class WordBpe:
-    """Normaliser, splitter and automaton of one tokenizer file."""
+    """Normaliser, splitter and automaton of one tokenizer file, and the chunks between white space seen so far."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -150,64 +275,95 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.split = self.pattern.findall
+        self.split_lines = regex.compile(pattern + r"|\n").findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.letters = byte_letters()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.names = self.automaton.labels | {i: t for t, i in self.special.items()}
+        names = self.automaton.labels | {i: t for t, i in self.special.items()}
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string()).cast(pa.binary())
+        self._clear()
+
+    def _clear(self) -> None:
+        """Chunk k has counts[k] ids in pool from starts[k] on; special tokens are chunks with a blank before them."""
+        self.pool = np.array(list(self.special.values()), np.uint32)
+        self.starts, self.counts = np.arange(len(self.special)), np.ones(len(self.special), np.int64)
+        self.chunks = {f" {t}": k for k, t in enumerate(self.special)}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _CAPITALS_NEW.search(text):
+            if not latin(text) and _CAPITALS_NEW.search(text):
                 text = text.translate(LOWER_NEW)
         return text.lower()
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids of a pre-split word as little-endian bytes, and the labels joined by spaces."""
-        got = self.words.get(word)
-        if got is None:
-            letters = self.letters
-            ids = self.automaton.encode("".join([letters[b] for b in word.encode()]))
-            got = np.array(ids, "<u4").tobytes(), " ".join([self.automaton.labels[i] for i in ids])
-            if len(self.words) >= _CACHE:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
     def pieces(self, text: str) -> list[str]:
         """Words as the pattern parts them; code points that Python's tables do not assign are no letters."""
-        if text.isascii() or not _newer().search(text):
+        if latin(text) or not _newer().search(text):
             return self.split(text)
         masked = _newer().sub("\u0378", text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(masked)]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The same for a run between white space, which may hold several words."""
-        words = [self.word(w) for w in self.pieces(chunk)]
-        got = b"".join([w[0] for w in words]), " ".join([w[1] for w in words])
-        if len(chunk) < 64:
-            if len(self.chunks) >= _CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids of a text as bytes, and the decoded text, label by label along the same path."""
-        got: list[tuple[bytes, str]] = []
-        known, chunk = self.chunks.get, self.chunk
+    def parts(self, text: str) -> list[str]:
+        """Chunks of a text."""
+        out: list[str] = []
         for k, part in enumerate(self.cut(text)):
             if k % 2:
-                got.append((self.special[part].to_bytes(4, "little"), part))
+                out.append(f" {part}")
             elif _CONTROL(part):  # str.split would cut where the pattern does not
-                got += map(self.word, self.pieces(self.normal(part)))
+                out += self.pieces(self.normal(part))
             else:
-                got += [known(c) or chunk(c) for c in self.normal(part).split()]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-
-    def decode(self, ids: bytes) -> str:
-        return " ".join(self.names[int(i)] for i in np.frombuffer(ids, "<u4"))
+                out += self.normal(part).split()
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that are not known yet; each may hold several words."""
+        joined = "\n".join(chunks)
+        if (latin(joined) or not _newer().search(joined)) and not _CONTROL(joined):
+            found = self.split_lines(joined)
+            ends = np.array([w == "\n" for w in found], bool)
+            words, owner = [w for w in found if w != "\n"], np.cumsum(ends)[~ends]
+        else:
+            lists = [self.pieces(c) for c in chunks]
+            words = [w for ws in lists for w in ws]
+            owner = np.repeat(np.arange(len(chunks)), [len(ws) for ws in lists])
+        known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids, counts = self.automaton.encode([w.encode() for w in known])
+        which = np.array([known[w] for w in words], np.int64)
+        flat, _ = gather(ids, np.cumsum(counts) - counts, counts, which)
+        per_chunk = np.bincount(owner, counts[which], len(chunks)).astype(np.int64)
+        at = len(self.chunks)
+        self.starts = np.concatenate((self.starts, self.pool.size + np.cumsum(per_chunk) - per_chunk))
+        self.counts = np.concatenate((self.counts, per_chunk))
+        self.pool = np.concatenate((self.pool, flat))
+        self.chunks.update(zip(chunks, range(at, at + len(chunks))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        lists = [self.parts(t) for t in texts]
+        seen = set(chain.from_iterable(lists))
+        new = seen.difference(self.chunks)
+        if new and len(self.chunks) > _CACHE:
+            self._clear()
+            new = seen.difference(self.chunks)
+        if new:
+            self._learn(list(new))
+        which = np.array(list(map(self.chunks.__getitem__, chain.from_iterable(lists))), np.int64)
+        ids, ends = gather(self.pool, self.starts, self.counts, which)
+        last = np.cumsum([0] + [len(part) for part in lists])
+        ends = np.concatenate(([0], ends))
+        return ids, np.diff(ends[last])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts that the ids spell (bytes of UTF-8): the labels of their arcs, joined by blanks."""
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int64())
+        labels = self.names.take(pa.array(ids))
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, labels), b" ")
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the pool that `which` names, one after another, and where each ends."""
+    n = counts[which]
+    ends = np.cumsum(n)
+    return pool[np.repeat(starts[which] - (ends - n), n) + np.arange(n.sum())], ends
 
 
 @cache
@@ -217,25 +373,31 @@ def tokenizer(path: str) -> WordBpe:
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True) -> DataFrame:
     """`keep` columns with n_tokens, ids (array of int, if wanted), ids_sha256 and decoded_sha256; no shuffle."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
-    new = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
-    schema = rows.drop("__text").withColumns(new | ({"ids": F.array(F.lit(0))} if ids else {})).schema
-
-    names = [*new, "ids"] if ids else [*new]
+    new = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")} | ({"ids": F.array(F.lit(0))} if ids else {})
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *without(keep, new))
+    schema, names = rows.drop("__text").withColumns(new).schema, [*new]
 
     def encoded(batches):
         bpe = tokenizer(path)
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                n, by_ids, by_text, lists = [], [], [], []
-                for t in part.column(0).to_pylist():
-                    data, decoded = bpe.encode(t)
-                    n.append(len(data) // 4)
-                    by_ids.append(sha256(data).hexdigest())
-                    by_text.append(sha256(decoded.encode()).hexdigest())
-                    if ids:
-                        lists.append(np.frombuffer(data, "<i4"))
-                cols = [pa.array(n, pa.int64()), pa.array(by_ids), pa.array(by_text)] + ([pa.array(lists, pa.list_(pa.int32()))] if ids else [])
+            for part in slices(batch):
+                got, n = bpe.encode(part.column(0).to_pylist())
+                decoded = [sha256(x).hexdigest() for x in bpe.decode(got, n).to_pylist()]
+                data, ends = got.astype("<u4").tobytes(), np.cumsum(n)
+                digests = [sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip((ends - n).tolist(), ends.tolist())]
+                cols = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                if ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(got.view(np.int32))))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols], names=[*part.schema.names[1:], *names])
 
     return rows.mapInArrow(encoded, schema)
+
+
+def slices(batch: pa.RecordBatch, size: int = 4_000_000):
+    """Parts of a batch with about `size` bytes of its first column, a row at least."""
+    lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size, "right")))
+        yield batch.slice(at, n)
+        at += n

@@ -68,6 +68,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(keep: list[str], new) -> list[str]:
+    """The columns to keep that no new column takes the place of (names compare as Spark compares them)."""
+    taken = {n.lower() for n in new}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 when divided by 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

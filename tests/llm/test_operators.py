@@ -166,7 +166,7 @@ def test_suffix_dedup(spark, docs, none, most, monkeypatch):
         assert suffix_dedup.remove_repeats(none, ["doc_id"]).count() == 0
 
 
-def test_bpe(spark, docs, none):
+def test_bpe():
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -174,10 +174,48 @@ def test_bpe(spark, docs, none):
     ref, own = Tokenizer.from_file(path), bpe.WordBpe(path)
     rng = random.Random(3)
     odd = ["don't I'll <|endoftext|>x <|startoftext|>", "İΣσς ΟΔΟΣ ẞ ﬁ 日本語 a\x1cb 🎉 é   x　y", "hahahahaha loooool", "".join(chr(rng.choice([rng.randint(33, 126), rng.randint(160, 1500)])) for _ in range(3_000))]
-    for t in [*filter(None, TEXTS_), *odd, ""]:
+    texts = [*filter(None, TEXTS_), *odd, "", "hahaha " * 40, "aaaaa" * 9, "日本語" * 200]
+    ids, n = own.encode(texts)
+    decoded, ends = own.decode(ids, n).to_pylist(), np.cumsum(n)
+    for t, got, text in zip(texts, np.split(ids, ends), decoded):
         want = ref.encode(t, add_special_tokens=False).ids
-        ids, decoded = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == ref.decode(want, skip_special_tokens=False) == own.decode(ids)
+        assert got.tolist() == want and text.decode() == ref.decode(want, skip_special_tokens=False), t[:80]
+
+
+def plain_bpe(word, ranks):
+    """Merge the pair of least rank, from left to right, until none is left."""
+    while pairs := [(ranks[p], i) for i, p in enumerate(zip(word, word[1:])) if p in ranks]:
+        rank, i = min(pairs)
+        word = [*word[:i], word[i] + word[i + 1], *word[i + 2 :]]
+    return word
+
+
+def test_bpe_automaton():
+    rng = random.Random(12)
+    for _ in range(60):
+        symbols = [c + e for c in "abc" for e in ("", "</w>")]
+        tokens, merges = list(symbols), []
+        while len(merges) < 14:
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if not a.endswith("</w>") and a + b not in tokens:
+                tokens.append(a + b)
+                merges.append([a, b])
+        made = bpe.Automaton({t: i for i, t in enumerate(tokens)}, merges, "</w>")
+        ranks = {tuple(m): i for i, m in enumerate(merges)}
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["a" * 120, "ab" * 70]
+        ids, n = made.encode([w.encode() for w in words])
+        for w, got in zip(words, np.split(ids, np.cumsum(n))):
+            want = plain_bpe([*w[:-1], w[-1] + "</w>"], ranks)
+            assert [made.labels[i] for i in got] == want
+            assert all(made.arc(s, t) for s, t in zip([0, *made.target[got[:-1]]], got))
+
+
+def test_bpe_rows(spark, docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref = Tokenizer.from_file(path)
     got = {r["doc_id"]: r for r in bpe.encode(docs, path, ["doc_id", "key"]).collect()}
     assert got[0]["n_tokens"] == 0 and got[4]["ids"] == ref.encode(BASE, add_special_tokens=False).ids
     assert bpe.encode(none, path, ["doc_id"]).count() == 0
