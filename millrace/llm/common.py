@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it cuts lineage and survives lost executors.
 
@@ -62,10 +67,18 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, target = _filesystem(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        fs, target = _filesystem(df.sparkSession, df.stored_at)
+        fs.delete(target, True)
 
 
 def without(keep: list[str], new) -> list[str]:

@@ -143,12 +143,8 @@ def test_suffix_order():
         assert suffix_dedup.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("most", [512, 1])
-def test_suffix_dedup(spark, docs, none, most, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
-    shared = words(120)
-    texts = [*TEXTS_, words(90) + shared + words(90), shared[7:] + words(10), words(50) + shared[:450], shared[:399], "ab" * 400, words(10) + LONG[500:1_200]]
-    data = [(t or "").encode() for t in texts]
+def plain_removed(data):
+    """What stays when every byte under a 400-byte string that starts twice goes."""
     seen = {}
     for i, b in enumerate(data):
         for k in range(len(b) - 399):
@@ -158,14 +154,62 @@ def test_suffix_dedup(spark, docs, none, most, monkeypatch):
         if len(places) > 1:
             for i, k in places:
                 cover[i][k : k + 400] = b"\1" * 400
-    want = [(len(b), sum(c), len(re.findall(b"\1+", bytes(c))), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest()) for b, c in zip(data, cover)]
-    got = suffix_dedup.remove_repeats(frame(spark, texts), ["doc_id", "text"]).collect()
-    order = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, *(r[c] for c in order)) for r in got) == sorted((i == 2, 0 if i == 2 else i, *w) for i, w in enumerate(want))
-    if most == 512:
+    return [(len(b), sum(c), len(re.findall(b"\1+", bytes(c))), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest(), any(c)) for b, c in zip(data, cover)]
+
+
+REMOVED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"]
+
+
+@pytest.mark.parametrize("most", [16_384, 3, 1])
+def test_suffix_dedup(spark, docs, none, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    shared = words(120)
+    texts = [*TEXTS_, words(90) + shared + words(90), shared[7:] + words(10), words(50) + shared[:450], shared[:399], "ab" * 400, words(10) + LONG[500:1_200]]
+    texts += [words(5) + shared[k : k + 401 + 3 * k] + words(5) for k in range(12)]
+    want = plain_removed([(t or "").encode() for t in texts])
+    rows = frame(spark, texts).withColumns({"n_bytes": F.lit("own"), "Kept_SHA256": F.lit(0)})
+    got = suffix_dedup.remove_repeats(rows, ["doc_id", "text", "n_bytes", "Kept_SHA256"], with_kept=True).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, *(r[c] for c in REMOVED)) for r in got) == sorted((i == 2, 0 if i == 2 else i, *w) for i, w in enumerate(want))
+    assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
+    if most == 3:
         assert suffix_dedup.remove_repeats(none, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("most", [16_384, 700])
+def test_suffix_dedup_of_a_common_passage(spark, most, monkeypatch):
+    """More segments of one anchor than a sorting batch or a block of rows holds, whole and split."""
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    rng, passage = random.Random(4), words(90)[:420]
+    texts = [words(rng.randint(1, 9), rng) + passage[rng.randint(0, 30) :] + words(rng.randint(1, 9), rng) for _ in range(2_500)]
+    want = plain_removed([t.encode() for t in texts])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    assert [tuple(r[c] for c in REMOVED) for r in sorted(got)] == want
+
+
+def test_segments_share_what_strings_share():
+    rng = random.Random(8)
+    for _ in range(30):
+        anchor, groups = rng.randbytes(suffix_dedup.ANCHOR), []
+        for _ in range(3):
+            base_l, base_r = rng.randbytes(300), rng.randbytes(300)
+            group = []
+            for _ in range(rng.randint(2, 9)):
+                l, r = rng.randint(0, 300), rng.randint(0, 300)
+                before = (rng.randbytes(300 - l) + base_l[300 - l :])[-rng.randint(0, suffix_dedup.LEFT) :]
+                after = (base_r[:r] + rng.randbytes(300 - r))[: rng.randint(0, suffix_dedup.RIGHT - suffix_dedup.ANCHOR)]
+                group.append((before + anchor + after, len(before)))
+            groups.append(sorted(set(group)))
+        flat = [s for g in groups for s in g]
+        left, right = suffix_dedup.ranges(flat, np.repeat(np.arange(3), [len(g) for g in groups]))
+        at = 0
+        for g in groups:
+            strings = [{off - k: data[k : k + 400] for k in range(max(0, off - suffix_dedup.LEFT), len(data) - 399)} for data, off in g]
+            for i, mine in enumerate(strings):
+                hit = [x for x, t in mine.items() if any(other.get(x) == t for j, other in enumerate(strings) if j != i)]
+                assert (left[at], right[at]) == ((max(hit), 400 - min(hit)) if hit else (0, 0))
+                at += 1
+
+
 def test_bpe():
     import public_tokenizers
     from tokenizers import Tokenizer
