@@ -7,8 +7,10 @@ own most frequent n-grams.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0;
 equal counts rank by code point, equal distances go to the language that sorts
-first; rows with a null language or text teach nothing; with no profile at all
-every text is ``und``.
+first; rows with a null language or text teach nothing, repeated rows teach as
+often as they occur and get equal results; with no profile at all every text is
+``und``; texts of any length count whole; the empty table gives no rows; a kept
+column may have the name of a new one, which then takes its place.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import without
+
 PROFILE = 300
 _SLICE = 1_000_000
 _FLUSH = 2_000_000
@@ -145,7 +149,7 @@ def identify(docs: DataFrame, profiles: DataFrame, keep: list[str], text: str =
 
     What is sent to the executors is `size` rows a language, no more."""
     model = docs.sparkSession.sparkContext.broadcast(Profiles(profiles.collect(), size))
-    rows = docs.select(F.col(text).alias("__text"), *keep)
+    rows = docs.select(F.col(text).alias("__text"), *without(keep, ("lang_pred", "score", "lead")))
     schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lead": F.lit(0.0)}).schema
 
     def predicted(batches):

@@ -56,6 +56,20 @@ NOTICES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 ]
 
+#: Licences that usual one-line notices name, by identifier and by name; see SENTENCES.
+NAMES = [
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"),
+    ("LGPL-2.1", "GNU Lesser General Public License v2.1"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"), ("Zlib", "zlib License"),
+]
+SENTENCES = ["Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}."]
+IDENTIFIERS = [*dict.fromkeys(i for i, _ in NAMES), "0BSD", "CC0-1.0", "Unlicense"]
+NOTICES += [(i, s.format(n)) for i, n in NAMES for s in SENTENCES]
+NOTICES += [(i, f"SPDX-License-Identifier: {i}{end}") for i in IDENTIFIERS for end in ("", "-only", "-or-later") if not end or "GPL" in i]
+NOTICES += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
+
 #: (digest of the canonical form, licence) of long texts, as distributions ship them.
 DIGESTS = [
     ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),

@@ -7,7 +7,10 @@ digests of known licences.  Whole texts are looked up, and each line that may be
 a notice, as licence notices stand on a line of their own.
 
 Defined results: null and empty texts have no licence; equal notices count once
-for each line; of several licences the names are sorted and given once.
+for each line; of several licences the names are sorted and given once; repeated
+rows get equal results; texts of any length are looked up whole and line by line;
+the empty table gives no rows; a kept column may have the name of a new one, which
+then takes its place.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,18 +55,21 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, license_id (of the whole text, or null), n_notices and notices of every row.
 
     Only digests are joined and shuffled; the known ones are a fixed short list. A row is named by the
-    digest of its text, so equal texts share their notices."""
+    digest of its text, so equal texts share their notices; rows that can't have any take no part in that join."""
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(known() + DIGESTS, "__digest string, license_id string"))
-    t = F.coalesce(F.col(text), F.lit(""))
+    t, keep = F.coalesce(F.col(text), F.lit("")), without(keep, ("license_id", "n_notices", "notices"))
+    may = F.lower(t).contains("licen")
 
-    rows = docs.select(*keep, F.sha2(canonical(t).cast("binary"), 256).alias("__digest"), F.md5(t.cast("binary")).alias("__key"))
+    rows = docs.select(*keep, F.sha2(canonical(t).cast("binary"), 256).alias("__digest"), F.when(may, F.md5(t.cast("binary"))).alias("__key"))
     whole = rows.join(table, "__digest", "left").drop("__digest")
     lines = docs.select(t.alias("t")).where(F.lower("t").contains("licen")).select(F.md5(F.col("t").cast("binary")).alias("__key"), F.split("t", "\n").alias("lines"))
     lines = lines.withColumn("lines", F.filter("lines", lambda x: F.lower(x).contains("licen"))).dropDuplicates(["__key"])
     digests = lines.select("__key", F.explode("lines").alias("line")).select("__key", F.sha2(canonical(F.col("line")).cast("binary"), 256).alias("__digest"))
     hits = digests.join(table, "__digest").groupBy("__key").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    return whole.join(hits, "__key", "left").drop("__key").withColumns({"n_notices": F.coalesce("n_notices", F.lit(0)), "notices": F.coalesce("notices", F.lit(""))})
+    found = whole.where("__key is not null").join(hits, "__key", "left").drop("__key")
+    found = found.withColumns({"n_notices": F.coalesce("n_notices", F.lit(0)), "notices": F.coalesce("notices", F.lit(""))})
+    return found.unionByName(whole.where("__key is null").drop("__key").withColumns({"n_notices": F.lit(0).cast("long"), "notices": F.lit("")}))
 
 
 def oracle_sql() -> str:

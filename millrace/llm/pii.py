@@ -11,24 +11,31 @@ it, a pattern as reliable as its instances, shrunk towards nothing where
 support is small.  In each round the confident instances count as seeds do, so
 they bring in patterns that no seed has.  Candidates of confident patterns are
 added as spans of the pattern's kind.  They never overlap base spans or each
-other; of those that would, the longest is taken.
-
-Defined results: null and empty texts have no spans; equal texts get equal
-spans; a tie between kinds goes to the one listed first.
+other; of those that would, the longest is taken.  Secrets (keys, access tokens) are a fifth
+kind without base spans: long words of mixed letters and digits are its seeds, and
+like other candidates they become spans only in places that confident patterns name.
+
+Defined results: null and empty texts have no spans; equal texts, repeated rows and rows
+without an id included, get equal spans; a tie between kinds goes to the one listed first;
+texts of any length are searched whole; the empty table gives no rows; a kept column may
+have the name of a new one, which then takes its place.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds in order: those of the base spans, then those found by patterns only.
+ALL_KINDS = (*KINDS, "secret")
 #: A pattern counts with at least so many different instances, and seeds or confident instances; scores are shrunk by PRIOR instances.
 SUPPORT, SEEDS, PRIOR = 5, 3, 2.0
 ROUNDS = 3
@@ -40,6 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{32,256}(?![A-Za-z0-9_+/-])")
 _RUN = re.compile(r"(?:(?<![0-9A-Za-z])[0-9]|[+(]{1,2}[0-9])(?:[\x20\t().-]{0,3}[0-9])+(?![0-9A-Za-z])")
 
 
@@ -85,11 +93,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _word(word: str) -> str:
+    """A word as patterns show it: lower case, digits as 0, a digest of it if it is long."""
+    return re.sub("[0-9]", "0", word.lower()) if len(word) <= 24 else xxhash.xxh3_64_hexdigest(word.lower().encode())
+
+
 def _neighbours(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """The two words before and after a span, in lower case, digits as 0; text edges as '|'."""
-    plain = lambda words: [re.sub("[0-9]", "0", w.lower()[:24]) for w in words]
-    left = plain(text[max(0, start - 120) : start].split()[-2:])
-    right = plain(text[end : end + 120].split()[:2])
+    """The two words before and after a span; text edges as '|'."""
+    reach = 64
+    while True:  # a third word shows that the two nearest are whole
+        left = text[max(0, start - reach) : start].split()
+        if len(left) > 2 or reach >= start:
+            break
+        reach *= 4
+    reach = 64
+    while True:
+        right = text[end : end + reach].split(None, 2)
+        if len(right) > 2 or end + reach >= len(text):
+            break
+        reach *= 4
+    left, right = [_word(w) for w in left[-2:]], [_word(w) for w in right[:2]]
     return ["|"] * (2 - len(left)) + left, right + ["|"] * (2 - len(right))
 
 
@@ -130,6 +153,19 @@ def runs(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     return out
 
 
+class _Taken:
+    """Places that overlap given spans."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [a for a, _, _ in spans], []
+        for _, b, _ in spans:  # the furthest end so far, as spans of several kinds may overlap
+            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+
+    def __contains__(self, place: tuple[int, int]) -> bool:
+        before = bisect_right(self.starts, place[1] - 1)
+        return before > 0 and self.ends[before - 1] > place[0]
+
+
 def _extracted(batches):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
@@ -140,8 +176,10 @@ def _extracted(batches):
             spans.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
             got = [(a, b, k) for a, b, k in base]
             if _DIGIT.search(text):
-                free = {(a, b) for a, b in shaped(text) if not any(x < b and a < y for x, y, _ in base)}
-                got += [(a, b, None) for a, b in sorted(free.union(runs(text, base)))]
+                taken = _Taken(base)
+                free = {x for x in shaped(text) if x not in taken}
+                seeds = [m.span() for m in _SECRET.finditer(text) if m.span() not in taken]
+                got += [(a, b, "secret") for a, b in seeds] + [(a, b, None) for a, b in sorted(free.union(runs(text, base), seeds))]
             places.append([{"start": a, "end": b, "kind": k, "instance": xxhash.xxh3_128_hexdigest(text[a:b].lower().encode()), "patterns": contexts(text, a, b)} for a, b, k in got])
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spans, pa.list_(span)), pa.array(places, pa.list_(place))], names=[*batch.schema.names[1:], "base", "__places"])
 
@@ -164,7 +202,6 @@ def score_graph(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     pairs = places.select(F.explode("p.patterns").alias("pattern"), "p.instance", "p.kind").distinct()
     support = pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
     edges = stored(pairs.join(support.where(f"n >= {SUPPORT}"), "pattern"))
-    kinds = F.array(*map(F.lit, KINDS))
     # seeds keep their kind for good; other instances start without one
     instances = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     patterns = None
@@ -177,20 +214,30 @@ def score_graph(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         spread = joint.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
         seeds = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
         instances = seeds.unionByName(spread.select("instance", "kind", "score")).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    best = patterns.where(F.col("confidence") >= CONFIDENT).groupBy("pattern").agg(F.max(F.struct("confidence", (-F.array_position(kinds, F.col("kind"))).alias("order"), "kind")).alias("b"))
+    best = patterns.where(F.col("confidence") >= CONFIDENT).groupBy("pattern").agg(_best().alias("b"))
     return best.select("pattern", "b.kind", "b.confidence")
 
 
+def _best() -> Column:
+    """Of a group, the struct of greatest confidence, then of the kind listed first."""
+    order = -F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
+    return F.max(F.struct("confidence", order.alias("order"), "kind"))
+
+
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep`, base and spans (base and discovered, by start, then kind) of every row."""
-    rows = stored(extract(docs, keep, text))
+    """`keep`, base and spans (base and discovered, by start, then kind) of every row.
+
+    Rows without a candidate take no part in the join of places and patterns."""
+    rows = stored(extract(docs, without(keep, ("base", "spans")), text))
     confident = score_graph(rows)
-    places = rows.select("__key", F.explode("__places").alias("p")).where("p.kind is null").select("__key", "p.start", "p.end", F.explode("p.patterns").alias("pattern")).distinct()
-    hits = places.join(confident, "pattern").groupBy("__key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+    some = F.exists("__places", lambda p: p["kind"].isNull())
+    places = rows.where(some).select("__key", F.explode("__places").alias("p")).where("p.kind is null").select("__key", "p.start", "p.end", F.explode("p.patterns").alias("pattern")).distinct()
+    hits = places.join(confident, "pattern").groupBy("__key", "start", "end").agg(_best().alias("b"))
     found = hits.groupBy("__key").agg(F.collect_set(F.struct("start", "end", F.col("b.kind").alias("kind"))).alias("__found")).withColumn("__found", apart(F.col("__found")))
-    joined = rows.drop("__places").join(found, "__key", "left")
+    joined = rows.where(some).drop("__places").join(found, "__key", "left")
     spans = F.concat("base", F.coalesce("__found", F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")))
-    return joined.withColumn("spans", in_order(spans)).drop("__found", "__key")
+    joined = joined.withColumn("spans", in_order(spans)).drop("__found", "__key")
+    return joined.unionByName(rows.where(~some).withColumn("spans", F.col("base")).drop("__places", "__key"))
 
 
 def apart(spans: Column) -> Column:
@@ -203,7 +250,7 @@ def apart(spans: Column) -> Column:
 
 
 def in_order(spans: Column) -> Column:
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, ALL_KINDS))
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 

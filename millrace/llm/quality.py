@@ -9,7 +9,9 @@ fitted on labelled rows that the network did not see.
 
 Defined results: null and empty texts are the zero vector and get its score;
 without labels of both classes every text gets the share of good labels (0.5
-if there is none); repeated rows score alike.
+if there is none), and so does an empty table of documents or labels; repeated
+rows score alike and teach once by id, rows without an id teach nothing; texts of
+any length are pooled whole; a kept column named score gives way to the new one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .labelled import FIT_ROWS, fit_sample, sigmoid
 
 ROWS, SIZE, NONZERO, REACH = 8_192, 32, 4, 2
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "q
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` and score of every text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *without(keep, ("score",)))
     schema = rows.drop("__text").withColumn("score", F.lit(0.0)).schema
 
     def scored(batches):

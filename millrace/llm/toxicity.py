@@ -11,7 +11,10 @@ sum is mapped to a probability on the labelled sample.
 
 Defined results: null, empty and wordless texts have no segment and get the
 score of a text without any; without labels of both classes every text gets the
-share of toxic labels (0 if there is none).
+share of toxic labels (0 if there is none); an empty table of documents or labels
+fits such a model; tokens that tie are taken in order, repeated rows get equal
+scores and teach once by id; texts of any length are scanned whole; a kept column
+may have the name of a new one, which then takes its place.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import stored, without, words_of
 from .labelled import FIT_ROWS, fit_sample, logistic, sigmoid
 
 PRIOR = 1_000.0
@@ -207,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, score and passages (word ranges with their segment scores) of every text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"), *keep)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"), *without(keep, ("score", "passages")))
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     none = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(0.0).alias("score")))
     schema = rows.drop("__text").withColumns({"score": F.lit(0.0), "passages": none}).schema

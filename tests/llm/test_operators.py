@@ -117,6 +117,23 @@ def test_discovered_instances_bring_in_patterns(spark):
     assert [(s["kind"], t[s["start"] : s["end"]]) for s in got[t]] == [("email", "lone(at)place7")]
 
 
+def test_secrets_and_ties(spark, none):
+    rng = random.Random(6)
+    secret = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) + "a1"
+    texts = [f"{words(8, rng)} token = \"{secret(38)}\" {words(8, rng)}" for _ in range(12)] + [f"x token = \"{secret(9)}\" y", f"{words(5)} {secret(38)} {words(5)}"]
+    texts += ["long " + "w" * 300 + f" id 1.2.3.{k} end" for k in range(8)] + ["long " + "w" * 300 + " id 77-12 end", "long " + "w" * 299 + "v id 77-13 end"]
+    rows = frame(spark, texts).withColumns({"Spans": F.lit("own"), "base": F.lit(2)})
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(rows, ["doc_id", "Spans", "base"]).collect()}
+    for i in [0, 1, *range(3, 13)]:
+        start = texts[i].index('"') + 1
+        assert got[i] == [("secret", start, texts[i].index('"', start))]
+    assert got[13] == [] and [k for k, _, _ in got[22]] == ["ip"]
+    both = [f"{words(3, rng)} call at {x} now {words(2, rng)}" for k in range(8) for x in (f"a{k}@b.org", f"+1 800 555 01{k}0")]
+    got = pii.find(frame(spark, [*both, "call at 12345 now"], 3), ["text"])
+    assert {s["kind"] for r in got.where("text like 'call at 12345%'").collect() for s in r["spans"]} <= {"email"}
+    assert pii.find(none, ["doc_id", "spans"]).count() == 0
+
+
 def test_licenses(spark, docs, none):
     mit = TEXTS[0][2]
     changed = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace(",", " ,").replace("sublicense", "sublicence").upper()
@@ -314,18 +331,23 @@ def test_quality(spark, none):
     assert np.isfinite(net.predict(quality.pooled(["", LONG], vectors))).all()
 
 
-def test_decontamination(spark, docs, none):
-    bench = [words(30, random.Random(9)), words(6, random.Random(8)), "", None, words(13, random.Random(7))]
+def test_decontamination(spark, docs, none, monkeypatch):
+    bench = [words(30, random.Random(9)), words(6, random.Random(8)), "", None, words(13, random.Random(7)), "ab ab ab"]
     items = spark.createDataFrame([(i, t) for i, t in enumerate(bench)], "item_id long, text string")
+    edited = bench[4].split()
+    edited[6] = "edited"
     texts = [f"{words(10)} {bench[0]} {words(5)}", f"{bench[1]} {bench[1].upper()}!", " ".join(bench[0].split()[5:25]) + " tail", None, "", " ".join(bench[0].split()[:12]), bench[4], BASE]
+    texts += [" ".join(edited), " ".join(["odd", *bench[4].split()[1:]]), "ab ab ab ab", f"{words(30)} {' '.join(edited[:5])} more {' '.join(edited[5:])}"] + [" ".join(random.Random(k).choices(bench[0].split(), k=200)) for k in range(20)]
     token = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for most in (10**6, 20):
-        blocks = decontaminate.BLOCK_WORDS
-        decontaminate.blocks_of.__defaults__ = ("item_id", "text", most)
-        got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame(spark, texts), items, ["doc_id", "key"]).withColumn("n_hit", decontaminate.n_hit()).collect()}
-        decontaminate.blocks_of.__defaults__ = ("item_id", "text", blocks)
-        for i, t in enumerate(texts):
-            w, hit, found = token(t), set(), set()
+    lists = [token(t) for t in texts]
+    counts = [w for ws in lists for w in ws]
+    for most, shard in ((10**6, 10**6), (20, 300)):
+        monkeypatch.setattr(decontaminate, "SHARD", shard)
+        rows = frame(spark, texts).withColumns({"N_near": F.lit("own"), "hit": F.lit(1)})
+        found = decontaminate.decontaminate(rows, items, ["doc_id", "key", "N_near", "hit"], block_words=most)
+        got = {r["doc_id"]: r for r in found.withColumn("n_hit", decontaminate.n_hit()).collect()}
+        for i, w in enumerate(lists):
+            hit, exact, near = set(), set(), set()
             for k, b in enumerate(bench):
                 b = token(b)
                 for s in range(max(1, len(b) - 12) if b else 0):
@@ -333,9 +355,20 @@ def test_decontamination(spark, docs, none):
                     for j in range(len(w) - len(win) + 1):
                         if w[j : j + len(win)] == win:
                             hit |= set(range(j, j + len(win)))
-                            found.add(str(k))
+                            exact.add(str(k))
+                    rare = sorted(range(len(win)), key=lambda j: counts.count(win[j]))[:5]
+                    miss = int(len(rare) > 3)
+                    for pivot in rare[: 1 + miss]:
+                        for at in range(len(w)):
+                            if w[at] == win[pivot]:
+                                places = [at - pivot + j for j in rare]
+                                missed = sum(win[j] not in w[max(0, p - 2) : max(0, p + 3)] for j, p in zip(rare, places) if j != pivot)
+                                if missed <= miss:
+                                    near.add((str(k), max(0, at - pivot), min(at - pivot + len(win), len(w))))
             r = got[None if i == 2 else i]
-            assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found)), (i, most)
+            assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(exact)), (i, most)
+            assert [tuple(x) for x in r["near"]] == sorted(near) and r["n_near"] == len({x[0] for x in near}), (i, most)
+        assert got[8]["n_near"] and not got[8]["items"]
     assert decontaminate.decontaminate(none, items, ["doc_id"]).count() == 0
     assert decontaminate.decontaminate(docs, items.limit(0), ["doc_id"]).where("size(items) > 0").count() == 0
 
