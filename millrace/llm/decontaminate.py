@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,14 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
         yield Block(items)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.int64)
+
+
 def _inverted(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Terms in order, where the postings of each end, the postings, and the number of words of each text."""
     lists = [words_of(t) for t in texts]
@@ -96,18 +105,18 @@ def _inverted(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
 
 
 def index_documents(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Rows of documents (`keep`, n_words, __shard, __at) and rows of shards (__shard, and __terms, __ends, __postings
-    and the documents' __sizes); each kind leaves the other's columns null."""
+    """Rows of documents (`keep`, n_words, __shard, __at) and rows of shards (__shard, and __terms, one a line, __ends,
+    __postings and the documents' __sizes as packed integers); each kind leaves the other's columns null."""
     keep = without(keep, NEW)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"), *keep)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema.fields]
-    lists = "__terms array<binary>, __ends array<bigint>, __postings array<bigint>, __sizes array<bigint>"
+    packed = "__terms binary, __ends binary, __postings binary, __sizes binary"
     names = [*rows.columns[1:], "n_words", "__shard", "__at", "__terms", "__ends", "__postings", "__sizes"]
 
     def indexed(batches):
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes = np.cumsum(np.array([len(x) for x in batch.column(0).to_pylist()], np.int64))
+            sizes = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD, "right")) - at)
@@ -115,21 +124,22 @@ def index_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
                 at += n
                 terms, ends, postings, n_words = _inverted(part.column(0).to_pylist())
                 shard += 1
-                none = [pa.nulls(n, t) for t in (pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3)]
+                none = [pa.nulls(n, pa.binary())] * 4
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n_words), pa.array(np.full(n, shard)), pa.array(np.arange(n)), *none], names=names)
-                one = [pa.array([terms], pa.list_(pa.binary())), *[pa.array([x], pa.list_(pa.int64())) for x in (ends, postings, n_words)]]
+                one = [pa.array([x], pa.binary()) for x in (b"\n".join(terms), _packed(ends), _packed(postings), _packed(n_words))]
                 none = [pa.nulls(1, c.type) for c in part.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.int64()), pa.array([shard]), pa.nulls(1, pa.int64()), *one], names=names)
 
-    return rows.mapInArrow(indexed, ", ".join([*kept, "n_words bigint, __shard bigint, __at bigint", lists]))
+    return rows.mapInArrow(indexed, ", ".join([*kept, "n_words bigint, __shard bigint, __at bigint", packed]))
 
 
 def _shards(index: DataFrame, *columns: str) -> DataFrame:
     return index.where("__terms is not null").select(*columns)
 
 
-def _positions(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which terms of a shard are wanted, and their numbers in the block."""
+def _wanted(terms: dict[bytes, int], shard_terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms of a shard the block has, and their numbers in it."""
+    numbers = np.array([terms.get(t, -1) for t in shard_terms], np.int64)
     at = np.flatnonzero(numbers >= 0)
     return at, numbers[at]
 
@@ -142,10 +152,9 @@ def term_counts(index: DataFrame, block: Block) -> np.ndarray:
     def counted(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for terms, ends in zip(batch.column(0), batch.column(1)):
-                numbers = np.array([shared.value.get(t, -1) for t in terms.values.to_pylist()], np.int64)
-                at, which = _positions(numbers)
-                total[which] += np.diff(ends.values.to_numpy(), prepend=0)[at]
+            for terms, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                at, which = _wanted(shared.value, terms.split(b"\n"))
+                total[which] += np.diff(_unpacked(ends), prepend=0)[at] if at.size else 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
@@ -159,8 +168,7 @@ class Postings:
     """Postings of a block's terms in one shard, as one sorted list of (term, position)."""
 
     def __init__(self, terms: dict[bytes, int], shard_terms: list[bytes], ends: np.ndarray, postings: np.ndarray, sizes: np.ndarray):
-        numbers = np.array([terms.get(t, -1) for t in shard_terms], np.int64)
-        at, which = _positions(numbers)
+        at, which = _wanted(terms, shard_terms)
         begin = np.concatenate(([0], ends))
         lists = [int(k) * _WIDTH + postings[begin[i] : begin[i + 1]] for i, k in zip(at, which)]
         self.keys = np.sort(np.concatenate(lists)) if lists else np.empty(0, np.int64)
@@ -226,10 +234,9 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
         block = shared.value
         windows = list(block.windows())
         for batch in batches:
-            for shard, *lists in zip(*batch.columns):
-                terms, ends, at, sizes = (x.values for x in lists)
-                sizes = sizes.to_numpy()
-                postings = Postings(block.terms, terms.to_pylist(), ends.to_numpy(), at.to_numpy(), sizes)
+            for shard, terms, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                ends, at, sizes = map(_unpacked, packed)
+                postings = Postings(block.terms, terms.split(b"\n"), ends, at, sizes)
                 hits: dict[int, set] = {}
                 near: dict[int, set] = {}
                 for owner, size, some, offsets in windows:
@@ -243,7 +250,7 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
                         near.setdefault(d, set()).add((block.names[i], a, b))
                 docs = sorted(hits.keys() | near.keys())
                 cols = [
-                    pa.array([shard.as_py()] * len(docs), pa.int64()),
+                    pa.array([shard] * len(docs), pa.int64()),
                     pa.array(docs, pa.int64()),
                     pa.array([merged((a, b) for a, b, _ in hits.get(d, ())) for d in docs], pa.list_(pair)),
                     pa.array([sorted({i for _, _, i in hits.get(d, ())}) for d in docs], pa.list_(pa.string())),
