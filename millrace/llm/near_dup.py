@@ -4,7 +4,10 @@ Texts are sets of five-word shingles weighted by count and inverse document
 frequency.  Each text gets samples by improved consistent weighted sampling
 (two texts agree in a sample with their weighted Jaccard similarity as
 probability), samples are banded, and texts that share a band are compared by
-exact weighted Jaccard similarity.  Links of 0.8 or more are closed to classes.
+exact weighted Jaccard similarity, with the same weights and, if that is too
+little, with counts alone; so texts are linked that are alike in either.  Links
+of 0.8 or more are closed to classes.  Within a band at least AGREE of the
+samples must agree before texts are compared.
 
 Document frequencies are held in a table of fixed size indexed by shingle hash,
 summed over all documents.  Equal texts are one text until the end.  Within a
@@ -18,7 +21,8 @@ covered, and a search holds about MOST texts of it, whatever the band's size.
 
 Defined results: null, empty and wordless texts are alone in their class; a
 text of fewer than five words is one shingle; class_id is the least doc_id of
-the class (null ids do not count); repeated rows are in one class.
+the class (null ids do not count); repeated rows are in one class; texts of any
+length are compared whole; the empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ CELLS, _BLOCK = 1 << 18, 1 << 10
 #: Share of a shingle's weight that its inverse document frequency can add.
 IDF_SHARE = 0.5
 #: Most texts of a band that are searched together; a larger band is searched by pairs of parts of half as many.
-MOST = 4_000
+MOST, MOST_BYTES = 4_000, 64_000_000
 #: Samples that must agree before two texts are compared, of SAMPLES; at 0.8 fewer agree once in a million.
 AGREE = 18
 _CACHE = 400_000
@@ -83,18 +87,36 @@ def shingles(data: bytes) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def weighted(data: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order, and their weights."""
+#: Distinct shingles in order, their weights, and their counts.
+Features = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def weighted(data: bytes, idf: np.ndarray) -> Features:
     got, counts = np.unique(shingles(data), return_counts=True)
-    return got, counts * idf[(got & np.uint64(CELLS - 1)).astype(np.int64)]
+    return got, counts * idf[(got & np.uint64(CELLS - 1)).astype(np.int64)], counts
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity."""
+def similarity(a: Features, b: Features) -> float:
+    """Weighted Jaccard similarity, by weights or by counts, whichever is greater."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - shared
-    return float(shared / total) if total else 0.0
+    out = 0.0
+    for k in (1, 2):
+        shared = np.minimum(a[k][i], b[k][j]).sum()
+        total = a[k].sum() + b[k].sum() - shared
+        out = max(out, float(shared / total) if total else 0.0)
+    return out
+
+
+def _sizes(features: list[Features]) -> np.ndarray:
+    """Summed weights and counts of each text."""
+    return np.array([(f[1].sum(), f[2].sum()) for f in features])
+
+
+def _alike(sizes: np.ndarray, sigs: np.ndarray, p: int, others: np.ndarray) -> np.ndarray:
+    """Which others may be similar to p: by their sizes, and by the samples that agree."""
+    a, b = sizes[others], sizes[p]
+    near = (np.minimum(a, b) >= SIMILAR * np.maximum(a, b)).any(axis=1)
+    return near & ((sigs[others] == sigs[p]).sum(axis=1) >= AGREE)
 
 
 @cache
@@ -107,9 +129,9 @@ def _draws():
     return r, log_c, beta, rng.integers(1, 1 << 62, (SAMPLES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def samples(features: Features) -> np.ndarray:
     """SAMPLES consistent weighted samples of a text, each as a 32-bit mark of the shingle and its level."""
-    h, weights = features
+    h, weights, _ = features
     r, log_c, beta, multiply = _draws()
     best, mark = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
     for at in range(0, h.size, 2_000):
@@ -177,16 +199,16 @@ def _signatures(docs: DataFrame, idf, text: str, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(signed, schema)
 
 
-def reached(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarray) -> list[tuple[int, int]]:
+def reached(features: list[Features], sigs: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the texts of a band, breadth first: (one that was reached, one that it reaches)."""
     out: list[tuple[int, int]] = []
     left = np.arange(len(features))
-    weight = np.array([f[1].sum() for f in features])
+    sizes = _sizes(features)
     while left.size > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and left.size:
             p = queue.pop(0)
-            may = (np.minimum(weight[left], weight[p]) >= SIMILAR * np.maximum(weight[left], weight[p])) & ((sigs[left] == sigs[p]).sum(axis=1) >= AGREE)
+            may = _alike(sizes, sigs, p, left)
             found = [int(i) for i in left[may] if similarity(features[p], features[i]) >= SIMILAR]
             out += [(p, i) for i in found]
             queue += found
@@ -194,10 +216,10 @@ def reached(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarray) ->
     return out
 
 
-def reached_across(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+def reached_across(features: list[Features], sigs: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
     """Links between the first and the second part of a band that join what any link between them joins, breadth first."""
     out: list[tuple[int, int]] = []
-    weight = np.array([f[1].sum() for f in features])
+    sizes = _sizes(features)
     left = [np.flatnonzero(~second), np.flatnonzero(second)]
     while left[0].size and left[1].size:
         queue, left[0] = [int(left[0][0])], left[0][1:]
@@ -205,7 +227,7 @@ def reached_across(features: list[tuple[np.ndarray, np.ndarray]], sigs: np.ndarr
             p = queue.pop(0)
             side = int(not second[p])
             others = left[side]
-            may = (np.minimum(weight[others], weight[p]) >= SIMILAR * np.maximum(weight[others], weight[p])) & ((sigs[others] == sigs[p]).sum(axis=1) >= AGREE)
+            may = _alike(sizes, sigs, p, others)
             found = [int(i) for i in others[may] if similarity(features[p], features[i]) >= SIMILAR]
             out += [(p, i) for i in found]
             queue += found
@@ -236,19 +258,20 @@ def text_key(text) -> F.Column:
 
 
 def links(docs: DataFrame, keys: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
-    """Verified links (a, b) that join similar texts. keys: (key, doc_id, sig) of every row with words."""
-    distinct = stored(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
+    """Verified links (a, b) that join similar texts. keys: (key, doc_id, size, sig) of every row with words."""
+    distinct = stored(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     band = [F.xxhash64(F.lit(i), F.slice("sig", i * PER_BAND + 1, PER_BAND)) for i in range(BANDS)]
-    members = distinct.select("key", F.explode(F.array(*band)).alias("band"))
+    members = distinct.select("key", "size", F.explode(F.array(*band)).alias("band"))
     own = F.xxhash64("key")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(38,0)")).alias("sum"), F.min(own).alias("least")).where("n > 1")
-    once = sizes.groupBy("n", "sum", "least").agg(F.min("band").alias("band")).select("band", "n")
-    members = stored(members.join(once, "band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(own.cast("decimal(38,0)")).alias("sum"), F.min(own).alias("least")).where("n > 1")
+    once = sizes.groupBy("n", "sum", "least").agg(F.min("band").alias("band"), F.first("bytes").alias("bytes")).select("band", "n", "bytes")
+    members = stored(members.drop("size").join(once, "band"))
     reps = distinct.join(members.select("key").distinct(), "key").select("key", "doc_id")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     on = (texts["key"] == reps["key"]) & texts["doc_id"].eqNullSafe(reps["doc_id"])
     texts = stored(texts.join(reps, on).select(reps["key"], "text").dropDuplicates(["key"]))
-    parts = F.when(F.col("n") <= MOST, 1).otherwise(F.ceil(2 * F.col("n") / MOST)).cast("int")
+    fits = (F.col("n") <= MOST) & (F.col("bytes") <= MOST_BYTES)
+    parts = F.when(fits, 1).otherwise(F.least("n", F.ceil(2 * F.greatest(F.col("n") / MOST, F.col("bytes") / MOST_BYTES)))).cast("int")
     dealt = members.withColumns({"part": F.pmod(F.xxhash64("key", "band"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
     dealt = dealt.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "key")
     dealt = dealt.join(distinct.select("key", "sig"), "key").join(texts, "key").select("band", "a", "b", "part", "key", "sig", "text")
@@ -278,7 +301,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession.sparkContext
     idf = spark.broadcast(document_frequency(docs, text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", text_key(F.col("text")))
-    signed = stored(_signatures(rows, idf, "text", ["doc_id", "key"]))
+    rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    signed = stored(_signatures(rows, idf, "text", ["doc_id", "key", "size"]))
     with_words = signed.where(F.size("sig") > 0)
     roots = components(links(docs, with_words, idf, doc_id, text))
     per_key = with_words.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
