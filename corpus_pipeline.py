@@ -7,13 +7,11 @@ the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, langid, near_dup, pii
-from millrace.llm.common import held_out, read, shared_dir, ship
+from millrace.llm.common import dropped, held_out, read, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose n-grams are no nearer to its language than this share of the largest distance is rejected.
@@ -21,7 +19,9 @@ LEAST_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language (null, empty, no letter) or far from every profile; lang becomes the predicted one."""
+    """Rejects texts without a language (null, empty, no letter) or far from every profile; lang becomes the predicted one.
+
+    Equal texts are judged alike; equal distances go to the language that sorts first; no documents give no rows."""
     ship(spark)
     profiles = langid.learn_profiles(docs.where(~held_out(F.col("doc_id"))))
     found = langid.identify(docs.withColumn("copy", F.col("text")), profiles, COLUMNS, text="copy")
@@ -30,7 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class, once; documents without an id stay as they are."""
+    """Keeps the document of least id of each class, once.
+
+    Documents without an id give way to any of their class that has one; of classes without any id, each different
+    text stays once. Null and empty texts are alone in their class and stay."""
     found = near_dup.classes(docs)
     keys = docs.select(*COLUMNS).withColumn("key", near_dup.text_key(F.col("text")))
     first = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("key"))).alias("key")).where("class_id is not null")
@@ -43,20 +46,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents: a twentieth of the words or more lie in benchmark passages."""
+    """Drops contaminated documents: a twentieth of the words or more lie in benchmark passages.
+
+    Texts without words stay, and so does everything if the benchmark is empty; equal texts are judged alike."""
     found = decontaminate.decontaminate(docs.withColumn("copy", F.col("text")), read(spark, sf_dir, "benchmark"), COLUMNS, text="copy")
     hit = decontaminate.n_hit()
     return found.where(~((hit > 0) & (20 * hit >= F.col("n_words")))).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars follows the new text."""
+    """Replaces personal data by its kind; n_chars follows the new text; null texts stay null."""
     ship(spark)
     return pii.redact(docs, COLUMNS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded text."""
+    """Token ids of every document, with digests of the ids and of the decoded text; null counts as empty."""
     import public_tokenizers
 
     ship(spark)
@@ -76,10 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result but the last is written to the shared folder."""
+    """All stages over the documents of sf_dir; each result but the last is written to the shared folder.
+
+    A stage's result is deleted when the next one's is written."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
