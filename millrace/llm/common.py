@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_live: dict[str, DataFrame] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of ASCII that are no digit or letter become a space; A-Z become a-z.
@@ -73,14 +74,21 @@ def stored(df: DataFrame) -> DataFrame:
     fs.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _live[path] = out
     return out
 
 
+def live() -> list[DataFrame]:
+    """Tables of stored() that are still there."""
+    return list(_live.values())
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
-        fs, target = _filesystem(df.sparkSession, df.stored_at)
-        fs.delete(target, True)
+        if _live.pop(df.stored_at, None) is not None:
+            fs, target = _filesystem(df.sparkSession, df.stored_at)
+            fs.delete(target, True)
 
 
 def without(keep: list[str], new) -> list[str]:

@@ -35,6 +35,8 @@ BLOCK_WORDS = 250_000
 SHARD = 8_000_000
 #: Words that a term of a proximity match may be out of place, and the rarest terms of a window that are looked for.
 SLOP, RAREST = 2, 5
+#: Bytes of matches that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST = 64_000_000
 #: Between documents of a shard; no window reaches over it.
 _GAP = 64
 _WIDTH = 1 << 40
@@ -289,7 +291,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
     )
-    joined = rows.join(together, ["__shard", "__at"], "left").drop("__shard", "__at")
+    together = stored(together)
+    size = together.agg(F.sum(100 + 40 * F.size("hit") + 60 * F.size("items") + 100 * F.size("near"))).first()[0] or 0
+    joined = rows.join(F.broadcast(together) if size <= BROADCAST else together, ["__shard", "__at"], "left").drop("__shard", "__at")
     empty = {c: F.coalesce(c, F.array().cast(t)) for c, t in (("hit", _HIT), ("items", "array<string>"), ("near", _NEAR))}
     return joined.withColumns(empty).withColumn("n_near", F.size(F.array_distinct("near.item")).cast("long"))
 

@@ -38,7 +38,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import dropped, stored, words_of
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, PER_BAND = 10, 4
@@ -258,7 +258,7 @@ def text_key(text) -> F.Column:
 
 
 def links(docs: DataFrame, keys: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
-    """Verified links (a, b) that join similar texts. keys: (key, doc_id, size, sig) of every row with words."""
+    """Verified links (a, b), stored, that join similar texts. keys: (key, doc_id, size, sig) of every row with words."""
     distinct = stored(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     band = [F.xxhash64(F.lit(i), F.slice("sig", i * PER_BAND + 1, PER_BAND)) for i in range(BANDS)]
     members = distinct.select("key", "size", F.explode(F.array(*band)).alias("band"))
@@ -276,7 +276,9 @@ def links(docs: DataFrame, keys: DataFrame, idf, doc_id: str, text: str) -> Data
     dealt = dealt.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "key")
     dealt = dealt.join(distinct.select("key", "sig"), "key").join(texts, "key").select("band", "a", "b", "part", "key", "sig", "text")
     sorted_ = dealt.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "key")
-    return sorted_.mapInArrow(_linked(idf), "a binary, b binary")
+    found = stored(sorted_.mapInArrow(_linked(idf), "a binary, b binary"))
+    dropped(distinct, members, texts)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,7 +291,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u != v").distinct())
+        before, edges = edges, stored(small.select("e.u", "e.v").where("u != v").distinct())
+        dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
