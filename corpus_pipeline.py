@@ -7,11 +7,13 @@ the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, langid, near_dup, pii
-from millrace.llm.common import dropped, held_out, read, ship, stored
+from millrace.llm.common import dropped, held_out, live, read, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose n-grams are no nearer to its language than this share of the largest distance is rejected.
@@ -68,13 +70,26 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "lang", "source"])
 
 
-STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("tokens", tokens),
-]
+_left: list[DataFrame] = []
+
+
+def _tidy(stage):
+    """The stage, which first deletes what earlier stages stored on their way, unless its input still reads it."""
+
+    @wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _left else []
+        gone = [t for t in _left if not any(t.stored_at.rsplit("/", 1)[1] in f for f in files)]
+        dropped(*gone)
+        before = {t.stored_at for t in live()}
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [t for t in live() if t.stored_at not in before]
+        return out
+
+    return tidied
+
+
+STAGES = [(stage.__name__, _tidy(stage)) for stage in (language, near_duplicates, decontamination, personal_data, tokens)]
 
 #: Profiles, sampling, bootstrapping and BPE have no SQL form; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
