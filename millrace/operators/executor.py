@@ -235,7 +235,7 @@ class Executor:
         for v in a["views"]:
             if v["body"]:
                 check_consumer(self.spark, v["body"], v["name"])
-        kept = {("nodes", n): self.catalog.node(n) for n in a["nodes"]} | {("tables", n): self.tables.record(n) for n in a["nodes"]} | {("views", v["name"]): self.catalog.records.get("views", v["name"]) for v in a["views"]}
+        kept = {("nodes", n): self.catalog.node(n) for n in a["nodes"]} | {("tables", t): self.tables.record(t) for n in a["nodes"] for t in (n, f"{n}.state")} | {("inputs", n): self.tables.records.get("inputs", n) for n in a["nodes"]} | {("views", v["name"]): self.catalog.records.get("views", v["name"]) for v in a["views"]}
         try:
             specs = {s["name"]: s for s in self._snapshot_spec()["nodes"]}
             for n in a["nodes"]:
@@ -320,7 +320,7 @@ class Executor:
             time.sleep(0.5)
 
     def _RunHook(self, a):
-        self.refresher.frame(a["sql"]).collect()
+        self.refresher.frame(a["sql"]).write.format("noop").mode("overwrite").save()
 
 
 def _green(name: Name) -> str:

@@ -274,8 +274,8 @@ class Project:
         self.tables.files.delete(f"versions/{self.name}")
         return order
 
-    def vacuum(self) -> dict:
-        """Drops blue/green leftovers whose time has come, then files that no version names."""
+    def vacuum(self, grace: float = 3600.0) -> dict:
+        """Drops blue/green leftovers whose time has come, then files that no version names and no refresh can be writing."""
         gone = []
         d = self.catalog.records.get("deployments", self.name)
         if d and d["status"] == "swapped" and d["retire_at"] and d["retire_at"] <= self.clock():
@@ -285,10 +285,7 @@ class Project:
                     self.tables.drop(n)
                     gone.append(n)
             self.catalog.records.put("deployments", self.name, d | {"status": "retired"})
-        return {"tables": gone, "folders": self.tables.vacuum() if not self._shared_folders() else 0}
-
-    def _shared_folders(self) -> bool:
-        return any(p.rsplit("/", 2)[-2] != n for n in self.tables.known() for v in self.tables.record(n)["versions"].values() for p in v["paths"] if "/data/" in p)
+        return {"tables": gone, "folders": self.tables.vacuum(grace)}
 
     def promote(self, to: Project, allow_rebuild: bool = True) -> dict:
         """Applies this project's recorded graph to another warehouse; this one must be clean."""

@@ -159,6 +159,8 @@ class Refresher:
         now = self.inputs(node)
         if seen is None or not self.tables.version(node.name) or seen["query"] != node.query or set(seen["versions"]) != set(now):
             return self.full(node)
+        if any(not self.tables.version(n) for n, _ in self._uses(node.query)):
+            return self.full(node)  # it reads something without versions, whose changes are not known
         if seen["versions"] == now:
             return "none"
         if node.mode == Mode.FULL:
@@ -168,7 +170,7 @@ class Refresher:
         if rule.kind == "full" or any(c is None for c in changes.values()):
             return self.full(node)
         removed = any(c[1] is not None for c in changes.values())
-        kind = "groups" if rule.kind == "sums" and rule.extremes and removed else rule.kind
+        kind = "groups" if rule.kind == "sums" and removed and (rule.extremes or self._inexact(node)) else rule.kind
         if kind == "groups" and not rule.keys:
             return self.full(node)
         {"bag": self._bag, "sums": self._sums, "groups": self._groups}[kind](node, rule, changes, seen["versions"])
@@ -201,7 +203,11 @@ class Refresher:
         where = f" WHERE {' AND '.join(conditions)}" if conditions else ""
         return f"SELECT {select} FROM {c['from']}{where}"
 
-    def _state_query(self, rule: Rule) -> str:
+    def _inexact(self, node: Node) -> bool:
+        """Whether the state has floating sums: rows cannot be taken out of those again."""
+        return any(f.name[0] == "s" and f.dataType.simpleString() in ("double", "float") for f in self.tables.read(self._state_name(node)).schema.fields)
+
+    def _state_query(self, rule: Rule, more: str = "") -> str:
         cols = [f"{k} AS k{i}" for i, k in enumerate(rule.keys)] + ["count(*) AS n"]
         for i, (f, x) in rule.calls.items():
             if f in ("min", "max"):
@@ -211,7 +217,7 @@ class Refresher:
                 if f in ("sum", "avg"):
                     cols.append(f"sum({x}) AS s{i}")
         by = f" GROUP BY {', '.join(rule.keys)}" if rule.keys else ""
-        return self._body(rule, ", ".join(cols)) + by
+        return self._body(rule, ", ".join(cols), more) + by
 
     def _from_state(self, rule: Rule, state: DataFrame, like: DataFrame) -> DataFrame:
         cols = []
@@ -285,8 +291,7 @@ class Refresher:
         view = self.view(touched)
         name = self._state_name(node)
         state = self.tables.read(name)
-        by = self._state_query(rule)
-        again = self.frame(by.replace(" GROUP BY ", f"{' AND ' if ' WHERE ' in by else ' WHERE '}{self._only(rule, view)} GROUP BY ", 1) if rule.keys else by)
+        again = self.frame(self._state_query(rule, self._only(rule, view) if rule.keys else ""))
         rest = state.join(touched, _null_safe(state, touched.columns, touched, touched.columns), "left_anti")
         self.tables.put(name, rest.unionByName(self._cast(again, state)))
 

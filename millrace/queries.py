@@ -73,8 +73,23 @@ NODES = {
     "node_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "node_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     "node_constant": "SELECT 1 AS one, 'x' AS letter",
+    "node_rank": "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders",
+    "node_lag_lead": "SELECT event_id, LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_id, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after_id FROM events",
+    "node_first_last": "SELECT o_orderkey, FIRST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS lo, LAST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hi FROM orders",
+    "node_running_sum": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM events",
+    "node_right_join": "SELECT r.r_name, n.n_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 12",
+    "node_full_join": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey AND c.c_acctbal > 5000",
+    "node_cross_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
+    "node_anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
+    "node_cube": "SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)",
+    "node_grouping_sets": "SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())",
+    "node_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
+    "node_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "node_dates": "SELECT o_orderkey, CAST(YEAR(o_orderdate) AS INT) AS y, CAST(MONTH(o_orderdate) AS INT) AS m, CAST(o_orderdate AS DATE) AS d FROM orders",
+    "node_strings": "SELECT c_custkey, UPPER(SUBSTRING(c_name, 1, 8)) AS head, LENGTH(TRIM(c_mktsegment)) AS n, CONCAT(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR(9))) AS tag, REPLACE(c_name, '#', '_') AS plain FROM customer",
+    "node_math": "SELECT p_partkey, ABS(p_size - 25) AS away, MOD(p_size, 7) AS rest, GREATEST(p_size, 10) AS at_least, LEAST(p_size, 40) AS at_most, SIGN(p_size - 25) * 1.0 AS side FROM part",
 }
-FULL_ONLY = ("node_distinct_full", "node_union", "node_union_all", "node_intersect", "node_except")
+FULL_ONLY = ("node_distinct_full", "node_union", "node_union_all", "node_intersect", "node_except", "node_except_all", "node_intersect_all")
 
 
 def _one(name: str, text: str):
@@ -147,7 +162,7 @@ def changed(nodes: dict[str, str], source: str, first: str, more: str | None = N
 _EVEN, _ODD = "o_orderkey % 2 = 0", "o_orderkey % 2 = 1"
 _SUM = "SELECT o_custkey, SUM(o_totalprice) AS total, COUNT(*) AS n FROM orders GROUP BY o_custkey"
 query("ivm_insert_sum", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n FROM orders GROUP BY o_custkey")(changed({"q": _SUM}, "orders", _EVEN, _ODD, kinds=("sums",), rounded=("total",)))
-query("ivm_delete_sum", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": _SUM}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("sums",), rounded=("total",)))
+query("ivm_delete_sum", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": _SUM}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("groups",), rounded=("total",)))
 query("ivm_insert_avg", "SELECT user_id, ROUND(AVG(value), 6) AS avg_value FROM events GROUP BY user_id")(changed({"q": "SELECT user_id, AVG(value) AS avg_value FROM events GROUP BY user_id"}, "events", "event_id % 2 = 0", "event_id % 2 = 1", kinds=("sums",), rounded=("avg_value",), digits=6))
 query("ivm_insert_min", "SELECT o_custkey, MIN(o_totalprice) AS low FROM orders GROUP BY o_custkey")(changed({"q": "SELECT o_custkey, MIN(o_totalprice) AS low FROM orders GROUP BY o_custkey"}, "orders", _EVEN, _ODD, kinds=("sums",)))
 query("ivm_delete_max", "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders GROUP BY o_custkey"}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("groups",)))
@@ -157,11 +172,53 @@ query("ivm_filter", "SELECT event_id, value FROM events WHERE event_type = 'purc
 query("ivm_delete_filter", "SELECT event_id, value FROM events WHERE event_type = 'purchase' AND NOT event_id % 5 = 0")(changed({"q": "SELECT event_id, value FROM events WHERE event_type = 'purchase'"}, "events", "true", less="event_id % 5 = 0", kinds=("bag",)))
 query("ivm_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")(changed({"q": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12"}, "orders", _EVEN, _ODD, kinds=("groups",)))
 query("ivm_count_distinct", "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority")(changed({"q": "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority"}, "orders", _EVEN, _ODD, kinds=("groups",)))
-query("ivm_global", "SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE NOT o_orderkey % 3 = 0")(changed({"q": "SELECT COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders"}, "orders", _EVEN, _ODD, "o_orderkey % 3 = 0", kinds=("sums",), rounded=("total",)))
+query("ivm_global", "SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE NOT o_orderkey % 3 = 0")(changed({"q": "SELECT COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders"}, "orders", _EVEN, _ODD, "o_orderkey % 3 = 0", kinds=("full",), rounded=("total",)))
 query("ivm_chain", "SELECT COUNT(DISTINCT o_orderpriority) AS kinds, COUNT(*) AS n FROM orders")(changed(CHAIN, "orders", _EVEN, _ODD, read="lvl3"))
 query("ivm_diamond", "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey")(changed(DIAMOND, "orders", _EVEN, _ODD, read="d"))
 
 
+query("ivm_delete_sum_long", "SELECT o_custkey, SUM(o_orderkey)::BIGINT AS total, COUNT(*) AS n FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(
+    changed({"q": "SELECT o_custkey, SUM(o_orderkey) AS total, COUNT(*) AS n FROM orders GROUP BY o_custkey"}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("sums",))
+)
+
+
+def swallowed(value: str):
+    """Doubles of which some would swallow the others of a sum; those rows go again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = project(spark, sf_dir, {"q": "SELECT o_custkey, SUM(v) AS total, AVG(v) AS mean, COUNT(*) AS n FROM orders GROUP BY o_custkey"}, ("public.orders",))
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        v = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float(value))).otherwise(F.floor("o_totalprice").cast("double"))
+        rows = rows.select("o_orderkey", "o_custkey", v.alias("v"))
+        p.attach("orders", rows)
+        p.apply()
+        p.delete("orders", rows.where("o_orderkey % 7 = 0"))
+        p.refresh()
+        return p.read("q").withColumn("mean", F.round("mean", 6))
+
+    return run
+
+
+_REST = "SELECT o_custkey, SUM(FLOOR(o_totalprice)) AS total, ROUND(AVG(FLOOR(o_totalprice)), 6) AS mean, COUNT(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey"
+query("ivm_delete_sum_float", _REST)(swallowed("1e16"))
+query("ivm_delete_nan", _REST)(swallowed("nan"))
+
+
+@query("ivm_literal_clause", "SELECT o_custkey, MAX(o_totalprice) AS top, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def ivm_literal_clause(spark, sf_dir):
+    """A literal that looks like a clause; rows go and come back."""
+    p = project(spark, sf_dir, {"q": "SELECT o_custkey, MAX(o_totalprice) AS top, COUNT(*) AS n FROM orders WHERE o_orderpriority <> 'x GROUP BY y' GROUP BY o_custkey"}, ("public.orders",))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    p.attach("orders", rows)
+    p.apply()
+    some = rows.where("o_orderkey % 3 = 0")
+    p.delete("orders", some)
+    p.refresh()
+    p.append("orders", some)
+    p.refresh()
+    return p.read("q")
+
+
 @query("ivm_immediate", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
 def ivm_immediate(spark, sf_dir):
     """The append alone brings an IMMEDIATE node up to date."""
@@ -221,11 +278,11 @@ def rollback_prior(spark, sf_dir):
 
 _VIEW = {
     "streams/q.sql": "SELECT o_custkey AS customer_id, COUNT(*) AS n FROM orders GROUP BY o_custkey",
-    "consumers/v.sql": "-- @m:kind = consumer\n-- @m:source = q\n-- @m:expose_as = api.orders\nSELECT customer_id, n FROM q WHERE n > 10",
+    "consumers/v.sql": "-- @m:kind = consumer\n-- @m:source = q\n-- @m:expose_as = api.orders\nSELECT customer_id, n FROM q WHERE n > 2",
 }
 
 
-@query("consumer_view", "SELECT o_custkey AS customer_id, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 10")
+@query("consumer_view", "SELECT o_custkey AS customer_id, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 2")
 def consumer_view(spark, sf_dir):
     p = Project(spark, "driver").init()
     p.define(_VIEW)
@@ -234,7 +291,7 @@ def consumer_view(spark, sf_dir):
     return p.read("api.orders")
 
 
-@query("consumer_swap_bluegreen", "SELECT o_custkey AS customer_id, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING COUNT(*) > 10")
+@query("consumer_swap_bluegreen", "SELECT o_custkey AS customer_id, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING COUNT(*) > 2")
 def consumer_swap_bluegreen(spark, sf_dir):
     """The changed node is built beside the old one; the view moves over with it."""
     p = Project(spark, "driver").init()
@@ -287,6 +344,23 @@ def stream_events(spark, sf_dir):
     return p.read("q")
 
 
+@query("stream_two", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
+def stream_two(spark, sf_dir):
+    """Two streams with checkpoints of their own into one source; every batch counts once."""
+    from .streaming.stream import follow
+
+    p = project(spark, sf_dir, {"q": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type"}, ("public.events",))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = scratch(spark, "streams")
+    p.attach("events", rows.limit(0))
+    p.apply()
+    for part in range(2):
+        rows.where(F.pmod("event_id", F.lit(2)) == part).write.parquet(f"{folder}/{part}")
+        for _ in range(2):  # started again, a stream that is through adds nothing
+            follow(p, spark.readStream.schema(rows.schema).parquet(f"{folder}/{part}"), "events", f"{folder}/checkpoint-{part}", available_now=True).awaitTermination()
+    return p.read("q")
+
+
 # Metadata: what the planner says, as rows
 
 

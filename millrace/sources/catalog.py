@@ -91,7 +91,16 @@ class Catalog:
         held = self.records.get("locks", project)
         if held and held["holder"] != holder and held["acquired_at"] + held["ttl"] > self.clock():
             raise LockContention(f"lock of project '{project}' is held by '{held['holder']}'")
-        self.records.put("locks", project, value)
+        # expired: of all that find it so, one may take it over, and only if it is still the same lock
+        claim = f"{project}-{held['holder']}-{held['acquired_at']}" if held else f"{project}-none"
+        if not self.records.insert("claims", claim, value):
+            raise LockContention(f"lock of project '{project}' is being taken over")
+        try:
+            if self.records.get("locks", project) != held:
+                raise LockContention(f"lock of project '{project}' was taken over")
+            self.records.put("locks", project, value)
+        finally:
+            self.records.remove("claims", claim)
 
     def renew(self, project: str, holder: str) -> bool:
         held = self.records.get("locks", project)

@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark import SparkContext
@@ -18,6 +19,8 @@ def scratch(spark: SparkSession, label: str = "project") -> str:
     """A new folder below spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise IoError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -82,6 +85,10 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if not s.getPath().getName().endswith((".tmp", ".crc")))
 
+    def age(self, name: str) -> float:
+        """Seconds since the last change of a file or folder."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._path(name), True)
 
@@ -98,7 +105,7 @@ class Records:
 
     def get(self, kind: str, key) -> dict | None:
         text = self.files.read(self._file(kind, key))
-        return json.loads(text) if text else None
+        return json.loads(text) if text else None  # a record that is being created reads as none
 
     def put(self, kind: str, key, value: dict) -> None:
         self.files.write(self._file(kind, key), json.dumps(value, sort_keys=True))

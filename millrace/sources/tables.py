@@ -2,12 +2,16 @@
 
 Every version says which folders hold its rows and, if it came from its
 predecessor by known changes, which folders hold the added and removed rows.
-An append adds a folder and copies nothing.
+An append adds a folder and copies nothing.  A commit claims the next version by
+creating a file that must not exist yet, reads the record again and replaces it;
+who loses the claim starts from the new record, so no commit undoes another.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +20,8 @@ from ..model import Name
 from .storage import Files, Records
 
 KEPT = 20
+#: Seconds after which a claim counts as left behind by a failed process.
+LEASE = 60.0
 
 
 class Tables:
@@ -40,31 +46,48 @@ class Tables:
 
     def attach(self, name: Name | str, paths: list[str], schema: str) -> None:
         """Version 1 of a table that lies in existing Parquet files."""
-        self._commit(str(name), schema, {"paths": paths, "full": True})
+        self._commit(str(name), lambda r: (schema, {"paths": paths, "full": True}))
 
-    def put(self, name: Name | str, df: DataFrame) -> int:
+    def put(self, name: Name | str, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """A new version with new contents, without known changes."""
-        return self._commit(str(name), _ddl(df), {"paths": [self._write(str(name), df)], "full": True})
+        entry = (_ddl(df), {"paths": [self._write(str(name), df)], "full": True})
+        return self._commit(str(name), lambda r: entry, batch)
 
-    def change(self, name: Name | str, plus: DataFrame | None, minus: DataFrame | None, contents: DataFrame | None = None) -> int:
+    def change(self, name: Name | str, plus: DataFrame | None, minus: DataFrame | None, contents: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
         """A new version from the last one by added and removed rows (as bags).
 
         Without removed rows the added folder joins the old ones; else the contents are written anew,
-        as `contents` or the old rows less the removed and with the added ones."""
+        as `contents` or the old rows less the removed and with the added ones. `batch` (stream, number)
+        goes on record with the version, and a batch that is on record already adds nothing."""
         key = str(name)
-        r = self.record(key)
-        if r is None:
+        first = self.record(key)
+        if first is None:
             raise StorageError(f"no table {key}")
         added = [self._write(key, plus)] if plus is not None else []
         removed = [self._write(key, minus)] if minus is not None else []
-        if contents is None and not removed:
-            paths = self._paths(r) + added
-        else:
-            if contents is None:
-                contents = self.read(key).exceptAll(self._read(removed, r["schema"]))
-                contents = contents.unionByName(self._read(added, r["schema"])) if added else contents
-            paths = [self._write(key, contents)]
-        return self._commit(key, r["schema"], {"paths": paths, "plus": added, "minus": removed, "full": False})
+        written: dict[int, list[str]] = {}
+
+        def entry(r: dict):
+            v = r["version"]
+            if contents is not None and v != first["version"]:
+                raise StorageError(f"{key} changed while its contents were computed")
+            if contents is None and not removed:
+                paths = self._paths(r) + added
+            elif v not in written:  # by the version that it starts from: a lost claim computes it again
+                now = contents
+                if now is None:
+                    now = self._read(self._paths(r), r["schema"]).exceptAll(self._read(removed, r["schema"]))
+                    now = now.unionByName(self._read(added, r["schema"])) if added else now
+                paths = written[v] = [self._write(key, now)]
+            else:
+                paths = written[v]
+            return r["schema"], {"paths": paths, "plus": added, "minus": removed, "full": False}
+
+        return self._commit(key, entry, batch)
+
+    def batch(self, name: Name | str, stream: str) -> int:
+        """The last batch of a stream that the table has, -1 if none."""
+        return ((self.record(name) or {}).get("streams") or {}).get(stream, -1)
 
     def _paths(self, r: dict, version: int | None = None) -> list[str]:
         v = r["versions"].get(str(version or r["version"]))
@@ -72,20 +95,36 @@ class Tables:
             raise StorageError(f"version {version} is gone")
         return v["paths"]
 
-    def _commit(self, key: str, schema: str, entry: dict) -> int:
-        r = self.record(key) or {"version": 0, "versions": {}}
-        r["version"] += 1
-        r["schema"] = schema
-        r["versions"][str(r["version"])] = entry
-        for old in sorted(map(int, r["versions"]))[:-KEPT]:
-            del r["versions"][str(old)]
-        self.records.put("tables", key, r)
-        return r["version"]
+    def _commit(self, key: str, entry: Callable[[dict], tuple[str, dict]], batch: tuple[str, int] | None = None) -> int:
+        """entry gives schema and version entry from the record that the commit starts from."""
+        while True:
+            r = self.record(key) or {"version": 0, "versions": {}}
+            if batch and r.get("streams", {}).get(batch[0], -1) >= batch[1]:
+                return r["version"]
+            schema, new = entry(r)
+            v, claim = r["version"] + 1, f"{key}-{r['version'] + 1}"
+            if not self.records.insert("claims", claim, {"at": time.time()}):
+                held = self.records.get("claims", claim)
+                if held and held["at"] + LEASE < time.time() and (self.record(key) or {"version": 0})["version"] < v:
+                    self.records.remove("claims", claim)
+                time.sleep(0.05)
+                continue
+            try:
+                if (self.record(key) or {"version": 0})["version"] != v - 1:
+                    continue
+                r["version"], r["schema"], r["versions"][str(v)] = v, schema, new
+                if batch:
+                    r.setdefault("streams", {})[batch[0]] = batch[1]
+                for old in sorted(map(int, r["versions"]))[:-KEPT]:
+                    del r["versions"][str(old)]
+                self.records.put("tables", key, r)
+                return v
+            finally:
+                self.records.remove("claims", claim)
 
     def restore(self, name: Name | str, version: int) -> None:
         """Makes an older version's contents the newest version."""
-        r = self.record(name)
-        self._commit(str(name), r["schema"], {"paths": self._paths(r, version), "full": True})
+        self._commit(str(name), lambda r: (r["schema"], {"paths": self._paths(r, version), "full": True}))
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -113,10 +152,12 @@ class Tables:
         """The record goes at once; vacuum removes the files."""
         self.records.remove("tables", str(name))
 
-    def vacuum(self) -> int:
-        """Removes folders that no version points at; the number removed."""
+    def vacuum(self, grace: float = 3600.0) -> int:
+        """Removes folders that no version of any table points at; the number removed.
+
+        Younger ones than `grace` seconds stay: a refresh may have written them and not committed yet."""
         used = {p.rsplit("/", 1)[-1] for n in self.known() for v in self.record(n)["versions"].values() for k in ("paths", "plus", "minus") for p in v.get(k, [])}
-        gone = [f"data/{n}/{p}" for n in self.files.names("data") for p in self.files.names(f"data/{n}") if p not in used]
+        gone = [f"data/{n}/{p}" for n in self.files.names("data") for p in self.files.names(f"data/{n}") if p not in used and self.files.age(f"data/{n}/{p}") >= grace]
         for p in gone:
             self.files.delete(p)
         return len(gone)

@@ -11,7 +11,7 @@ from millrace.functions import fmt
 from millrace.model import Class, Mode, Name, Node, State
 from millrace.operators.executor import ddl_columns
 from millrace.operators.project import Project
-from millrace.operators.refresh import rule_for
+from millrace.operators.refresh import Refresher, rule_for
 from millrace.plans import dag, planner, render
 from millrace.plans.diff import diff
 from millrace.plans.shape import normalised, relocate
@@ -262,3 +262,65 @@ def test_changes_equal_whole(spark, first, more, gone):
 def test_diff_of_text_only():
     a, b = (State([Node(Name.parse("q"), q)]) for q in ("SELECT 1 AS x", "select  1 as x ;"))
     assert diff(a, b).empty
+
+
+def test_concurrent_appends(spark):
+    """Commits that race lose nothing, and a claim that a dead process left behind is taken over."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millrace.sources import tables as module
+
+    p = Project(spark, "race").init()
+    p.attach("raw.t", table(spark, [("a", 1, 1)]))
+    others = [Project(spark, "race", p.root) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: others[k].tables.change(Name.parse("raw.t"), table(spark, [("b", k, i) for i in range(5)]), None), range(4)))
+    assert p.tables.read("raw.t").count() == 21 and p.tables.version("raw.t") == 5
+    p.tables.records.insert("claims", "raw.t-6", {"at": 0})
+    p.tables.change("raw.t", table(spark, [("c", 1, 1)]), table(spark, [("a", 1, 1)]))
+    assert p.tables.read("raw.t").count() == 21 and not p.tables.files.names("claims") and module.LEASE > 0
+
+
+def test_lock_taken_over_once(spark):
+    now = [0.0]
+    p = Project(spark, "lock", clock=lambda: now[0]).init()
+    p.catalog.lock("lock", "first", 10, [])
+    with pytest.raises(errors.LockContention):
+        p.catalog.lock("lock", "second", 10, [])
+    now[0] = 20.0
+    held = p.catalog.records.get("locks", "lock")
+    p.catalog.records.insert("claims", f"lock-first-{held['acquired_at']}", {})  # another is taking it over
+    with pytest.raises(errors.LockContention):
+        p.catalog.lock("lock", "second", 10, [])
+    p.catalog.records.remove("claims", f"lock-first-{held['acquired_at']}")
+    p.catalog.lock("lock", "second", 10, [])
+    assert p.catalog.holds("lock", "second")
+
+
+def test_inputs_without_versions_fill_anew(spark):
+    p = Project(spark, "loose").init()
+    table(spark, [("a", 1, 1)]).createOrReplaceTempView("loose_t")
+    p.define({"streams/q.sql": "SELECT k, COUNT(*) AS n FROM loose_t GROUP BY k"})
+    node = Node(Name.parse("q"), "SELECT k, COUNT(*) AS n FROM loose_t GROUP BY k")
+    refresher = Refresher(spark, p.tables)
+    refresher.full(node)
+    table(spark, [("a", 1, 1), ("a", 2, 2)]).createOrReplaceTempView("loose_t")
+    assert refresher.refresh(node) == "full" and rows(p.tables.read(node.name)) == [("a", 2)]
+
+
+def test_vacuum_spares_what_is_being_written(spark):
+    p = project(spark, {"q": TOTALS})
+    p.apply()
+    folder = p.tables._write("raw.t", table(spark, [("x", 1, 1)]))  # written, not committed yet
+    assert p.vacuum()["folders"] == 0
+    assert p.vacuum(grace=0)["folders"] >= 1 and folder.rsplit("/", 1)[-1] not in p.tables.files.names("data/raw.t")
+    assert rows(p.read("q")) == rows(spark.createDataFrame([("a", 1, 2), ("b", 2, 1)], "k string, s long, n long"))
+
+
+def test_stored_batch_is_not_stored_again(spark):
+    p = Project(spark, "batches").init()
+    p.attach("raw.t", table(spark, [("a", 1, 1)]))
+    for _ in range(2):
+        p.tables.change("raw.t", table(spark, [("b", 1, 1)]), None, batch=("one", 0))
+    p.tables.change("raw.t", table(spark, [("b", 1, 1)]), None, batch=("two", 0))
+    assert p.tables.read("raw.t").count() == 3 and p.tables.batch("raw.t", "one") == 0 and p.tables.batch("raw.t", "three") == -1
