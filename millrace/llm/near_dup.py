@@ -97,13 +97,15 @@ def weighted(data: bytes, idf: np.ndarray) -> Features:
 
 
 def similarity(a: Features, b: Features) -> float:
-    """Weighted Jaccard similarity, by weights or by counts, whichever is greater."""
+    """Weighted Jaccard similarity by weights; if that is below SIMILAR, by counts where they give more."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     out = 0.0
     for k in (1, 2):
         shared = np.minimum(a[k][i], b[k][j]).sum()
         total = a[k].sum() + b[k].sum() - shared
         out = max(out, float(shared / total) if total else 0.0)
+        if out >= SIMILAR:
+            break
     return out
 
 

@@ -39,6 +39,8 @@ LENGTH, ANCHOR, BLOCK = 400, 128, 64
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Most different segments that are sorted in one task, and the parts that a larger group's range is split into.
 MOST, PARTS = 16_384, 8
+#: Most names of large groups (16 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Segments that are sorted together, of one group or several.
 _BATCH = 4_000
 
@@ -315,19 +317,23 @@ def _settled(rows: DataFrame, counted, most: int, parts: int, low: str, high: st
     kinds = n.groupBy("group").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = n.where("n > 1").select("group", "rest", F.col("off").alias("left"), (F.col("size") - F.col("off")).alias("right"))
     bytes_ = rows.where("seg is not null")
-    some = bytes_.join(kinds.where(F.col("kinds") <= most).select("group"), "group", "left_semi")
+    large = stored(kinds.where(F.col("kinds") > most).select("group"))
+    n_large = large.count()
+    few = F.broadcast(large) if n_large <= BROADCAST else large  # so that a large group's rows are not dealt to one task
+    small = bytes_.join(few, "group", "left_anti") if n_large else bytes_
+    some = small.join(kinds.where(F.col("kinds") <= most).select("group"), "group", "left_semi")
     sorted_ = some.select("group", "rest", "off", "seg").repartition("group").sortWithinPartitions("group", "rest")
     found = stored(whole.unionByName(sorted_.mapInArrow(_sorted_groups, "group binary, rest binary, left long, right long")))
-    large = kinds.where(F.col("kinds") > most).select("group")
-    if large.isEmpty():
+    if not n_large:
+        dropped(n, large)
         return found
-    many = bytes_.join(large, "group", "left_semi").dropDuplicates(["group", "rest"])
+    many = bytes_.join(few, "group", "left_semi").dropDuplicates(["group", "rest"])
     many = many.select("group", "rest", F.lit(b"").alias("key"), F.expr(low).cast("long").alias("low"), F.expr(high).cast("long").alias("high"), "off", "seg")
     finer = stored(many.mapInArrow(_split_rows(parts), _RESTS))
     deeper = _settled(finer, F.count("*"), most, parts, "low", "high")
     back = finer.select("group", "rest", F.col("of").alias("__of"), F.col("key").alias("__rest")).join(deeper, ["group", "rest"])
     back = stored(back.groupBy("__of", "__rest").agg(F.max("left").alias("left"), F.max("right").alias("right")))
-    dropped(n, finer)
+    dropped(n, finer, large)
     return found.unionByName(back.select(F.col("__of").alias("group"), F.col("__rest").alias("rest"), "left", "right"))
 
 
