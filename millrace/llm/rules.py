@@ -50,10 +50,11 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     rows = docs.withColumns({"__words": _words(t), "__lines": lines})
+    # __hashes is used more than once below, or else Spark would compute it again for every window
     # each word as a hash and each window as a hash of those; equal hashes stand for equal windows (64 bits, within one text)
     rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("__words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__hashes", i, WINDOW)))
-    rows = rows.withColumn("__windows", F.when(F.size("__words") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("__hashes") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__hashes", i, WINDOW)))
+    rows = rows.withColumn("__windows", F.when(F.size("__hashes") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
     twice = F.size(F.array_distinct("__windows")) < F.size("__windows")
     in_order = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("__sorted", F.when(twice, in_order))
