@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import DataLossRequired, FullRefreshNotAllowed, MaintenanceWindow, MillraceError, OwnershipRequired
 from ..functions import fmt, lint, validate
@@ -312,16 +313,25 @@ class Project:
             settings.write_text(f'[project]\nname = "{self.name}"\n')
         return n
 
-    def preview(self, branch: str, fraction: float = 0.1, anchor: str | None = None, seed: int = 42) -> Project:
-        """A scratch project on samples of the sources, with the whole graph or the part around an anchor."""
+    def preview(self, branch: str, fraction: float = 0.1, anchor: str | None = None, seed: int = 42, keys: dict[str, str] | None = None) -> Project:
+        """A scratch project on samples of the sources, with the whole graph or the part around an anchor.
+
+        A source named in `keys` is sampled by the hash of that column, so the same rows come again whatever
+        the partitions are, and sources that share a key keep rows that join; others are sampled by the seed."""
         safe = re.sub(r"[^a-z0-9_]", "_", branch.lower())
         out = Project(self.spark, f"{self.name}_preview_{safe}", f"{self.root}/previews/{safe}", self.config, self.clock, self.emit)
         part = dag.subgraph(self._desired, Name.parse(anchor)) if anchor else {n.name for n in self._desired.nodes}
         nodes = [n for n in self._desired.nodes if n.name in part]
         share = min(max(fraction, 0.0001), 1.0)
+        by = {Name.parse(n): column for n, column in (keys or {}).items()}
         for name in {d for n in nodes for d in n.depends_on} - part:
             if self.tables.version(name):
-                out.tables.put(name, self.tables.read(name).sample(False, share, seed) if share < 1 else self.tables.read(name))
+                rows, key = self.tables.read(name), by.get(name)
+                if share < 1 and key:
+                    rows = rows.where(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8) < f"{int(share * 2**32):08x}")
+                elif share < 1:
+                    rows = rows.sample(False, share, seed)
+                out.tables.put(name, rows)
         out.init().want(State(nodes, self._desired.sources))
         out.apply()
         return out

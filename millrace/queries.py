@@ -107,6 +107,28 @@ def _one(name: str, text: str):
 for _name, _text in NODES.items():
     query(_name, _text)(_one(_name, _text))
 
+#: Functions that the two dialects name differently: the node, and the same in plain SQL.
+FAMILIES = {
+    "node_arrays": (
+        "SELECT o_orderkey, SIZE(SPLIT(o_orderpriority, '-')) AS parts, ELEMENT_AT(SPLIT(o_orderpriority, '-'), 1) AS head FROM orders",
+        "SELECT o_orderkey, len(string_split(o_orderpriority, '-'))::INTEGER AS parts, string_split(o_orderpriority, '-')[1] AS head FROM orders",
+    ),
+    "node_map": (
+        "SELECT o_orderkey, ELEMENT_AT(MAP(o_orderstatus, o_custkey), 'F') AS done_by FROM orders",
+        "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS done_by FROM orders",
+    ),
+    "node_json": (
+        "SELECT event_id, CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) AS k FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    ),
+    "node_date_parts": (
+        "SELECT DATE_FORMAT(o_orderdate, 'yyyy-MM') AS month, COUNT(*) AS n, MAX(DAYOFYEAR(o_orderdate)) AS latest FROM orders GROUP BY DATE_FORMAT(o_orderdate, 'yyyy-MM')",
+        "SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n, MAX(dayofyear(o_orderdate))::INTEGER AS latest FROM orders GROUP BY 1",
+    ),
+}
+for _name, (_text, _sql) in FAMILIES.items():
+    query(_name, _sql)(_one(_name, _text))
+
 CHAIN = {
     "lvl1": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders",
     "lvl2": "SELECT o_orderpriority, SUM(o_totalprice) AS total, COUNT(*) AS n FROM lvl1 GROUP BY o_orderpriority",
@@ -319,12 +341,12 @@ def source_cascade(spark, sf_dir):
     return p.read("q")
 
 
-@query("preview_sample")
+@query("preview_sample", "SELECT o_custkey, COUNT(*) AS n FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) < '33333333' GROUP BY o_custkey")
 def preview_sample(spark, sf_dir):
-    """A node over a sample of its source (rows only: the sample is random)."""
+    """A node over a fifth of its source, by the hash of a key."""
     p = project(spark, sf_dir, {"q": _V1})
     p.apply()
-    return p.preview("feature/x", 0.2).read("q")
+    return p.preview("feature/x", 0.2, keys={"orders": "o_orderkey"}).read("q")
 
 
 @query("stream_events", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")

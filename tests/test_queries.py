@@ -8,7 +8,7 @@ import pytest
 from millrace import queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["node_window", "ivm_delete_max", "inplace_add_sum", "classify_matrix", "plan_steps", "diff_rows", "query_checks", "lint_rules", "dag_levels", "stream_events"]
+SOME = ["node_window", "ivm_delete_max", "inplace_add_sum", "classify_matrix", "plan_steps", "diff_rows", "query_checks", "lint_rules", "dag_levels", "stream_events", "preview_sample", "node_json", "node_map", "node_arrays", "node_date_parts"]
 
 
 def plain(rows):
