@@ -67,10 +67,11 @@ def diff(desired: State, live: State) -> Diff:
 
     A changed source rebuilds every node that reads it, directly or through others."""
     out = Diff()
+    held, wanted = {o.name: o for o in live.nodes}, {n.name for n in desired.nodes}
     for n in desired.nodes:
-        old = live.node(n.name)
+        old = held.get(n.name)
         out.nodes.append(compare(old, n) if old else NodeChange(n.name, "create", None, n))
-    out.nodes += [NodeChange(o.name, "drop", o) for o in live.nodes if desired.node(o.name) is None]
+    out.nodes += [NodeChange(o.name, "drop", o) for o in live.nodes if o.name not in wanted]
     for s in desired.sources:
         old = live.source(s.name)
         if s.owned and (old is None or normalised(old.ddl) != normalised(s.ddl)):

@@ -235,12 +235,17 @@ def _nodes(n: dict):
         yield from _nodes(c)
 
 
-def references(spark: SparkSession, sql: str) -> list[Name]:
-    """Tables that a query reads, in order of appearance; a query that does not parse reads none."""
+@lru_cache(maxsize=4096)
+def _references(spark: SparkSession, sql: str) -> tuple[Name, ...]:
     try:
-        return shape(spark, sql).relations
+        return tuple(shape(spark, sql).relations)
     except SqlParseError:
-        return []
+        return ()
+
+
+def references(spark: SparkSession, sql: str) -> list[Name]:
+    """Tables that a query reads, in order of appearance; a query that does not parse reads none."""
+    return list(_references(spark, sql))
 
 
 def check_query(spark: SparkSession, sql: str, what: str) -> Shape:

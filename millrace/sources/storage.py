@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import shutil
 import tempfile
 import time
 import uuid
+from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
@@ -31,13 +33,20 @@ class Files:
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._new_path, self._rename = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
+        self._text = jvm.org.apache.commons.io.IOUtils
         self._fs = self._path("").getFileSystem(conf)
-        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+
+    @staticmethod
+    def at(spark: SparkSession, root: str) -> Files | LocalFiles:
+        """The files of a root, without a call to the JVM for each where the root is on the driver's own file system."""
+        files = Files(spark, root)
+        return LocalFiles(files.root, files._path("").toUri().getPath()) if files._fs.getScheme() == "file" else files
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self._new_path(f"{self.root}/{name}" if name else self.root)
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
@@ -47,7 +56,7 @@ class Files:
             return None
         stream = self._fs.open(self._path(name))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._text.toString(stream, "UTF-8")
         finally:
             stream.close()
 
@@ -55,9 +64,8 @@ class Files:
         """Replaces a file at once: readers see the old or the new text."""
         part = f"{name}.{uuid.uuid4().hex}.tmp"
         self._put(part, text, True)
-        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = SparkContext._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
+        options = SparkContext._gateway.new_array(self._rename, 1)
+        options[0] = self._rename.OVERWRITE
         try:
             self._context.rename(self._path(part), self._path(name), options)
         except Exception as e:
@@ -93,10 +101,64 @@ class Files:
         return self._fs.delete(self._path(name), True)
 
 
+class LocalFiles:
+    """The same on the driver's own file system."""
+
+    def __init__(self, root: str, folder: str):
+        self.root, self._folder = root, Path(folder)
+
+    def _path(self, name: str) -> Path:
+        return self._folder / name
+
+    def exists(self, name: str) -> bool:
+        return self._path(name).exists()
+
+    def read(self, name: str) -> str | None:
+        try:
+            return self._path(name).read_text("utf-8")
+        except FileNotFoundError:
+            return None
+
+    def write(self, name: str, text: str) -> None:
+        part = f"{name}.{uuid.uuid4().hex}.tmp"
+        self._put(part, text, "w")
+        os.replace(self._path(part), self._path(name))
+
+    def create(self, name: str, text: str) -> bool:
+        try:
+            self._put(name, text, "x")
+            return True
+        except FileExistsError:
+            return False
+
+    def _put(self, name: str, text: str, mode: str) -> None:
+        path = self._path(name)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with open(path, mode, encoding="utf-8") as f:
+            f.write(text)
+
+    def names(self, folder: str) -> list[str]:
+        try:
+            return sorted(n for n in os.listdir(self._path(folder)) if not n.endswith((".tmp", ".crc")))
+        except FileNotFoundError:
+            return []
+
+    def age(self, name: str) -> float:
+        return time.time() - self._path(name).stat().st_mtime
+
+    def delete(self, name: str) -> bool:
+        path = self._path(name)
+        try:
+            shutil.rmtree(path) if path.is_dir() else path.unlink()
+            return True
+        except FileNotFoundError:
+            return False
+
+
 class Records:
     """Keyed JSON records, a folder for each kind."""
 
-    def __init__(self, files: Files):
+    def __init__(self, files: Files | LocalFiles):
         self.files = files
 
     @staticmethod

@@ -26,7 +26,7 @@ LEASE = 60.0
 
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+        self.spark, self.files = spark, Files.at(spark, root)
         self.records = Records(self.files)
 
     def _write(self, name: str, df: DataFrame) -> str:

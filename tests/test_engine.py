@@ -324,3 +324,22 @@ def test_stored_batch_is_not_stored_again(spark):
         p.tables.change("raw.t", table(spark, [("b", 1, 1)]), None, batch=("one", 0))
     p.tables.change("raw.t", table(spark, [("b", 1, 1)]), None, batch=("two", 0))
     assert p.tables.read("raw.t").count() == 3 and p.tables.batch("raw.t", "one") == 0 and p.tables.batch("raw.t", "three") == -1
+
+
+def test_files_alike_on_every_file_system(spark, tmp_path):
+    """The driver's own files and those that Spark's file systems reach behave alike."""
+    from millrace.sources.storage import Files, LocalFiles, Records
+
+    local = Files.at(spark, f"file://{tmp_path}/own")
+    assert isinstance(local, LocalFiles) and isinstance(Files.at(spark, str(tmp_path)), LocalFiles)
+    for files in (local, Files(spark, f"{tmp_path}/far")):
+        records = Records(files)
+        assert files.names("kind") == [] and records.get("kind", "a") is None and not records.remove("kind", "a")
+        records.put("kind", "a", {"x": "ä"})
+        records.put("kind", "a", {"x": "ö\n"})
+        assert records.get("kind", "a") == {"x": "ö\n"} and files.names("kind") == ["a.json"]
+        assert not records.insert("kind", "a", {}) and records.insert("kind", "b", {"y": 1})
+        assert [records.append("numbered", {}) for _ in range(3)] == [1, 2, 3]
+        assert [r["id"] for r in records.all("numbered")] == [1, 2, 3]
+        assert files.exists("kind") and 0 <= files.age("kind/a.json") < 60
+        assert files.delete("kind") and not files.exists("kind") and not files.delete("kind")
