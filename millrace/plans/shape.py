@@ -249,12 +249,15 @@ def references(spark: SparkSession, sql: str) -> list[Name]:
 
 
 def check_query(spark: SparkSession, sql: str, what: str) -> Shape:
-    return shape(spark, sql, what)
+    s = shape(spark, sql, what)
+    if s.distinct and "on" in s.functions:  # Spark's parser takes DISTINCT ON (..) for a call of a function ON
+        raise SqlParseError(f"{what}: DISTINCT ON is not known to Spark; number the rows of a group and keep the first")
+    return s
 
 
 def check_ivm(spark: SparkSession, sql: str, what: str) -> Shape:
     """Refuses what cannot be maintained from changes."""
-    s = shape(spark, sql, what)
+    s = check_query(spark, sql, what)
     refuse = lambda why: IvmUnsupportable(f"{what}: {why}")
     if s.command:
         raise refuse("not a query")

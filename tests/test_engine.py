@@ -343,3 +343,43 @@ def test_files_alike_on_every_file_system(spark, tmp_path):
         assert [r["id"] for r in records.all("numbered")] == [1, 2, 3]
         assert files.exists("kind") and 0 <= files.age("kind/a.json") < 60
         assert files.delete("kind") and not files.exists("kind") and not files.delete("kind")
+
+
+def test_distinct_on_is_refused(spark):
+    from millrace.plans.shape import check_query
+
+    with pytest.raises(errors.SqlParseError, match="DISTINCT ON"):
+        check_query(spark, "SELECT DISTINCT ON (k) k, v FROM t", "q")
+    assert check_query(spark, "SELECT DISTINCT k FROM t", "q").distinct
+
+
+def test_commands_and_exit_codes(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    shop = str(tmp_path / "shop")
+
+    def call(*words):
+        code = main([*words[:1], shop, *words[1:]], spark)
+        return code, capsys.readouterr()
+
+    assert call("status")[0] == 2  # no settings yet
+    assert call("init")[0] == 0
+    table(spark, [("a", 1, 1), ("a", 2, 2), ("b", 3, 3)]).write.parquet(str(tmp_path / "t"))
+    assert call("attach", "--name", "raw.t", "--path", str(tmp_path / "t"))[0] == 0
+    node = tmp_path / "shop" / "migrations" / "streams" / "q.sql"
+    node.write_text("SELECT k, COUNT(*) AS n FROM raw.t GROUP BY k\n")
+    assert call("validate")[0] == 0
+    assert call("plan")[0] == 0 and call("plan", "--fail-if-changed")[0] == 1 and call("plan", "--fail-on-drift")[0] == 2
+    assert call("plan", "--format", "nothing")[0] == 2
+    assert call("diff")[0] == 0 and call("diff", "--fail-on-drift")[0] == 1
+    assert call("apply", "--force-skip", "1")[0] == 2
+    assert call("apply", "--allow-rebuild")[0] == 0
+    assert call("diff", "--fail-on-drift")[0] == 0 and call("plan", "--fail-if-changed")[0] == 0
+    assert call("refresh")[0] == 0
+    code, said = call("audit", "--limit", "1")
+    assert code == 0 and json.loads(said.out)["status"] == "committed"
+    assert main(["--porcelain", "status", shop], spark) == 0 and json.loads(capsys.readouterr().out)["nodes"] == 1
+    node.write_text("SELECT (k FROM raw.t\n")
+    assert call("validate")[0] == 2
+    node.write_text("SELECT k, COUNT(*) AS n FROM raw.t GROUP BY k\n")
+    assert call("destroy")[0] == 2 and call("destroy", "--confirm")[0] == 0
