@@ -32,7 +32,7 @@ SAMPLE_ROWS, TRIES = 300, 2
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
-def _words(text: Column) -> Column:
+def words_in(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), lambda w: w != "")
 
 
@@ -49,7 +49,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     Everything is computed within the row: no shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    rows = docs.withColumns({"__words": _words(t), "__lines": lines})
+    rows = docs.withColumns({"__words": words_in(t), "__lines": lines})
     # __hashes is used more than once below, or else Spark would compute it again for every window
     # each word as a hash and each window as a hash of those; equal hashes stand for equal windows (64 bits, within one text)
     rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
