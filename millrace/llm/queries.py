@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity
+from . import bpe, conversations, decontaminate, filter_audit, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity
 from .common import held_out, read
 
 
@@ -110,13 +110,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_licenses, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_licenses, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity, op11_conversation_repair, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle_sql(), "op6_quality_rules": OP6_SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op3_licenses": licenses.oracle_sql(), "op6_quality_rules": OP6_SQL, "op11_conversation_repair": conversations.SQL, "op12_filter_audit": filter_audit.SQL}
