@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, filter_audit, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity
+from . import bpe, conversations, decontaminate, filter_audit, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity, word_dedup
 from .common import held_out, read
 
 
@@ -118,9 +118,32 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_dedup.remove_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS s FROM starts
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, k: ps IS NULL OR NOT list_contains(ps, k)), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_licenses, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity, op11_conversation_repair, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_licenses, op4_suffix_dedup, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_near_duplicates, op10_toxicity, op11_conversation_repair, op12_filter_audit, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle_sql(), "op6_quality_rules": OP6_SQL, "op11_conversation_repair": conversations.SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op3_licenses": licenses.oracle_sql(), "op6_quality_rules": OP6_SQL, "op11_conversation_repair": conversations.SQL, "op12_filter_audit": filter_audit.SQL, "op13_substring_dedup": OP13_SQL}
