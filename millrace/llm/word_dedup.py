@@ -279,9 +279,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     size = places.agg(F.sum(held)).first()[0] or 0
     found = places.toDF("__id", "__tie", "__later", "__settled")
     keep = without(keep, ("n_words", "n_removed", "kept"))
-    rows = docs.select(*_key(doc_id, text), *keep)
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST else found, ["__id", "__tie"], "left").select("__text", "__later", "__settled", *keep)
-    schema = joined.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
+    kept_as = [f"__keep{i}" for i in range(len(keep))]  # whatever their names, they clash with none of ours
+    rows = docs.select(*_key(doc_id, text), *[F.col(c).alias(n) for c, n in zip(keep, kept_as)])
+    joined = rows.join(F.broadcast(found) if size <= BROADCAST else found, ["__id", "__tie"], "left").select("__text", "__later", "__settled", *kept_as)
+    schema = joined.select(*[F.col(n).alias(c) for c, n in zip(keep, kept_as)], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
 
     def removed(batches):
         for batch in batches:

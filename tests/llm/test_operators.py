@@ -1,15 +1,17 @@
 """Each operator on a small table with every awkward case, against a plain version."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity
+from millrace.llm import bpe, conversations, decontaminate, filter_audit, langid, licenses, near_dup, pii, quality, rules, suffix_dedup, toxicity, word_dedup
 from millrace.llm.license_texts import TEXTS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, key string, hit int, sig int"
@@ -497,3 +499,155 @@ def test_pipeline(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def repaired_plainly(rows, limit=4):
+    """Cheapest (cost, audit, lines) over every sequence of edits of (role, text, fault) with at most `limit` insertions in a row."""
+    legal, best = re.compile("(s?(ua)+)?"), None
+    names = {"u": "user", "a": "assistant"}
+    todo = [(0, "", (), 0)]
+    for role, text, fault in rows:
+        grown = []
+        for cost, audit, lines, _ in todo:
+            for ins in ("", "u", "a", "ua", "au"):
+                c, a, ls = cost + 2 * len(ins), audit + "I" * len(ins), lines + tuple((names[x], "") for x in ins)
+                grown.append((c + 3, a + "D", ls, 0))
+                if fault < 2:
+                    grown.append((c + fault, a + "K", (*ls, (role, text)), 0))
+                    grown += [(c + 2 + fault, a + "R", (*ls, (names[x], text)), 0) for x in "ua"]
+        # paths whose roles are no beginning of a legal sequence go
+        todo = [g for g in grown if re.fullmatch("s?(ua)*u?", "".join(r[:1] for r, _ in g[2]))]
+    for cost, audit, lines, _ in todo:
+        for ins in ("", "u", "a", "ua", "au"):
+            ls = lines + tuple((names[x], "") for x in ins)
+            found = (cost + 2 * len(ins), audit + "I" * len(ins), ls)
+            if legal.fullmatch("".join(r[:1] for r, _ in ls)) and (best is None or found[:2] < best[:2]):
+                best = found
+    return best
+
+
+def test_conversations(spark):
+    rng = random.Random(11)
+    texts, roles = ["Fine.", "Well!", "cut", "", " \n", "Why?", None], ["system", "user", "assistant", "user", "assistant", "tool", "", None]
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice(roles), rng.choice(texts)) for c in range(150) for _ in range(rng.randint(1, 4))]
+    rows += [(None, 0, "user", "Hi."), (None, 1, "assistant", "Ho.")]
+    frame_ = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, gone int, audit string")
+    key = lambda x: (x[1] is not None, x[1] or 0, x[2].encode(), x[3].encode())
+    for broken in (False, True):
+        want = {}
+        for c in {r[0] for r in rows}:
+            own = []
+            for _, turn, role, text in (r for r in rows if r[0] == c):
+                role, text = " " if role is None else role, " " if text is None else text
+                k = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20 if broken else 19
+                if k:
+                    text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+                    own += [(c, turn, "user" if k == 4 else role, text)] * (2 if k == 3 else 1)
+            own.sort(key=key)
+            seen, marked = set(), []
+            for _, _, role, text in own:
+                bare = text.strip(" \t\n\x0b\x0c\r")
+                fault = 2 if not bare else 3 if (role, text) in seen else 1 if bare[-1] not in ".!?" else 0
+                seen.add((role, text))
+                marked.append((role, text, fault))
+            turns = [r[1] for r in own if r[1] is not None]
+            heads = [r[0][:1] for r in marked]
+            cost, audit, lines = repaired_plainly(marked)
+            faults = [r[2] for r in marked]
+            want[c] = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, faults.count(2), faults.count(3), faults.count(1), sum(a + b not in ("su", "ua", "au") for a, b in zip(heads, heads[1:])), cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in lines).encode()).hexdigest(), [tuple(x) for x in lines])
+        given = conversations.damaged(frame_) if broken else conversations.plain(frame_)
+        for block in (1, 2, 256):
+            got = {r[0]: (*r[1:-1], [tuple(x) for x in r[-1]]) for r in conversations.repair(given, with_turns=True, block=block).collect()}
+            assert got == want
+    assert conversations.repair(conversations.damaged(frame_.limit(0))).count() == 0
+
+
+def test_long_conversation(spark):
+    """Blocks give what one search gives, also where the best paths part for long."""
+    rng = random.Random(4)
+    for roles in ("uauauaua", "uuuuuuuu", "aaaaaa", "suas", "".join(rng.choice("suat") for _ in range(300))):
+        rows = [(r, rng.choice([0, 0, 0, 1, 2, 3])) for r in roles]
+        (whole,) = conversations.search(rows, {0: (0, "")}, True).values()
+        c = conversations._Conversation(0, False, 7)
+        for i, (r, f) in enumerate(rows):
+            c.add(i, r, "t", f)
+        assert c.result()[6:8] == whole[:2]
+
+
+def test_filter_audit(spark, none):
+    rng = random.Random(12)
+    pool = [None, "", " \n", words(60, rng), words(60, rng) + " #", "Same " * 70, words(70, rng).title(), words(49, rng), "ÄÖ " * 60, LONG, "a b " * 40]
+    rows = [(i if rng.random() < 0.9 else None, rng.choice(pool), "en", rng.choice([None, "", "s", "t"]), 1, 0.5, "x", "k", 1, 2) for i in [*range(60), 3, 3]]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"score": "kept", "spans": "bits", "key": "text_key", "hit": "step", "sig": "id"})
+    marks = [(i, rng.choice([None, 0, 1]), rng.choice([None, 0, 1])) for i in [*range(0, 60, 2), 4, None]]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    good, toxic = ({i for i, *m in marks if i is not None and m[k] == 1} for k in (0, 1))
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    want = {}
+    for order in itertools.permutations("ABCDE"):
+        for i, t, _, part, *_ in rows:
+            t = t or ""
+            w = re.findall(r"[^\x20\x09-\x0D]+", t)
+            fails = {k for k, bad in zip("ABCDE", (len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and i > least[t])) if bad}
+            at = next((k for k, f in enumerate(order) if f in fails), 9)
+            for k, f in enumerate(order):
+                c = want.setdefault((part or "", "".join(order), k + 1), [0] * 6)
+                for n, yes in enumerate((at > k, at == k, f in fails and at < k, fails == {f}, at == k and i in good, at == k and i in toxic)):
+                    c[n] += yes
+    total = {}
+    for (part, order, step), c in want.items():
+        total[part, order[step - 1]] = total.get((part, order[step - 1]), 0) + c[1]
+    got = {tuple(r[:3]): list(r[3:]) for r in filter_audit.audit(docs, labels).collect()}
+    assert got == {k: [*c, total[k[0], k[1][k[2] - 1]]] for k, c in want.items()}
+    assert filter_audit.audit(none, labels).count() == 0 and filter_audit.audit(docs, labels.limit(0)).where("good_lost + toxic_lost > 0").count() == 0
+
+
+def without_later_windows(rows):
+    """(id, text) -> words, removed and kept, by comparison of all windows."""
+    docs = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda d: d[:2])
+    seen, out = set(), {}
+    for has, i, t in docs:
+        w = t.encode().split()
+        gone = set()
+        for a in range(len(w) - 19):
+            s = tuple(w[a : a + 20])
+            gone |= set(range(a, a + 20)) if s in seen else set()
+            seen.add(s)
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out[i if has else None, t] = (len(w), len(gone), b" ".join(kept).decode())
+    return out
+
+
+def test_word_dedup(spark, docs, none, monkeypatch):
+    rng = random.Random(13)
+    shared = words(45, rng)
+    texts = [*TEXTS_, shared, f"{words(30, rng)} {shared}\n{words(5, rng)}", f"{shared} {shared}", "x " * 90, "x y " * 40 + shared, f"É{words(19, rng)}", " ".join(words(40, rng).split()), "x " * 19, "x " * 20]
+    given = frame(spark, texts).withColumnsRenamed({"spans": "kept", "key": "__text", "hit": "high", "sig": "start"})
+    again = given.where("doc_id in (4, 13)")
+    want = without_later_windows([(r["doc_id"], r["text"]) for r in given.collect()])
+    for block, share in ((1 << 20, 1), (200, 3), (30, 7)):
+        monkeypatch.setattr(word_dedup, "BLOCK", block)
+        rows = given.unionByName(again).repartition(share).withColumn("t", F.coalesce("text", F.lit("")))
+        got = word_dedup.remove_repeats(rows, ["doc_id", "t", "kept", "__text", "high"])
+        assert got.count() == len(texts) + 2
+        assert {(r["doc_id"], r["t"]): (r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()} == want
+    assert word_dedup.remove_repeats(none, ["doc_id"]).count() == 0
+
+
+def test_sketch_loses_nothing(spark):
+    """However few cells there are, counts are never too low."""
+    rng = random.Random(3)
+    shared = words(30, rng)
+    given = frame(spark, [f"{words(rng.randint(0, 30), rng)} {shared} {words(rng.randint(0, 30), rng)}" for _ in range(20)])
+    for bits in (6, 16):
+        rows = word_dedup.sketch(given.repartition(5), bits)
+        seen = []
+        for _, texts, digests in word_dedup._blocks(given.select("text").toArrow().to_batches()):
+            seen.append(word_dedup._Block(texts, digests, word_dedup._Hashes()).anchors())
+        kinds, counts = np.unique(np.concatenate(seen), return_counts=True)
+        for cells, row in zip(word_dedup._cells(kinds, bits), rows):
+            assert np.unpackbits(row)[cells][counts > 1].all()
+        assert (counts > 1).any() and (bits == 6 or not np.unpackbits(rows[0]).all())
