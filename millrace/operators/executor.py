@@ -189,10 +189,11 @@ class Executor:
             if a.get("rebuild"):
                 self.catalog.records.put("policies", a["name"], {"policies": held.get("policies", [])})
             self.catalog.records.remove("nodes", a["name"])
-            self.tables.records.remove("inputs", a["name"])
+            hidden = ((self.refresher.seen(a["name"]) or {}).get("hidden") or {}).values()
             if not a.get("rebuild"):  # a rebuilt node's versions go on counting, so that its readers see the change
                 self.tables.drop(a["name"])
-            self.tables.drop(f"{a['name']}.state")
+            for h in hidden:
+                self.tables.drop(h)
 
         self._logged("node", a["name"], f"drop {a['name']}", {"action": "restore", "name": a["name"], "node": held, "table": table}, drop)
 
@@ -225,8 +226,8 @@ class Executor:
     def _WaitForConvergence(self, a):
         """Builds are synchronous: every green node has a version over the inputs as they are."""
         for name in self.tables.known():
-            if name.startswith(f"{a['schema']}.") and not name.endswith(".state"):
-                seen = self.tables.records.get("inputs", name)
+            if name.startswith(f"{a['schema']}."):
+                seen = self.refresher.seen(name)
                 if seen is None or any(self.tables.version(n) != v for n, v in seen["versions"].items()):
                     raise InvariantViolation(f"{name} has not converged")
 
@@ -235,22 +236,16 @@ class Executor:
         for v in a["views"]:
             if v["body"]:
                 check_consumer(self.spark, v["body"], v["name"])
-        kept = {("nodes", n): self.catalog.node(n) for n in a["nodes"]} | {("tables", t): self.tables.record(t) for n in a["nodes"] for t in (n, f"{n}.state")} | {("inputs", n): self.tables.records.get("inputs", n) for n in a["nodes"]} | {("views", v["name"]): self.catalog.records.get("views", v["name"]) for v in a["views"]}
+        kept = {("nodes", n): self.catalog.node(n) for n in a["nodes"]} | {("tables", n): self.tables.record(n) for n in a["nodes"]} | {("views", v["name"]): self.catalog.records.get("views", v["name"]) for v in a["views"]}
         try:
             specs = {s["name"]: s for s in self._snapshot_spec()["nodes"]}
             for n in a["nodes"]:
                 green = f"{a['schema']}.{_green(Name.parse(n))}"
                 spec = _node(specs[n])
-                record = self.tables.record(green)
-                old = self.tables.record(n)
-                blue = old["version"] if old else 0
-                self.tables.records.put("tables", n, record | {"version": blue + 1, "versions": {str(blue + 1): record["versions"][str(record["version"])] | {"full": True}} | ({k: v for k, v in old["versions"].items()} if old else {})})
-                state = self.tables.record(f"{green}.state")
-                if state:
-                    self.tables.records.put("tables", f"{n}.state", state)
+                versions = {str(x): v for x, _ in self.refresher._uses(spec.query) if (v := self.tables.version(x))}
+                built = {k: v for k, v in self.tables.entry(green).items() if k not in ("plus", "minus", "touched")}
+                self.tables.swap(n, built | {"full": True, "inputs": {"versions": versions, "query": spec.query, "hidden": {}}})
                 self.catalog.put_node(self.project, spec)
-                versions = {str(x): self.tables.version(x) for x, _ in self.refresher._uses(spec.query) if self.tables.version(x)}
-                self.tables.records.put("inputs", n, {"versions": versions, "query": spec.query})
             for v in a["views"]:
                 self._view(v)
         except Exception:

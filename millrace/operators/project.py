@@ -64,10 +64,9 @@ class Project:
         return self.want(dag.build(self.spark, self.files))
 
     def attach(self, name: str, df_or_path: DataFrame | str) -> None:
-        """A source's rows: existing Parquet files, or a DataFrame to store."""
+        """A source's rows: existing Parquet files, whose folder every refresh lists again, or a DataFrame to store."""
         if isinstance(df_or_path, str):
-            schema = self.spark.read.parquet(df_or_path).schema
-            self.tables.attach(Name.parse(name), [df_or_path], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+            self.tables.attach(Name.parse(name), df_or_path)
         else:
             self.tables.put(Name.parse(name), df_or_path)
 
@@ -188,8 +187,16 @@ class Project:
         live = self.live()
         wanted = {Name.parse(n) for n in names} if names else {n.name for n in live.nodes}
         wanted |= {a for n in wanted for a in dag.ancestors(live, n)}
+        self.sync(live, wanted)
         return {str(n): self._refresh(live.node(n)) for n in dag.topological(live) if n in wanted}
 
+    def sync(self, live: State | None = None, nodes: set[Name] | None = None) -> dict[str, str]:
+        """Takes in the new files of attached folders that the nodes (or all) read; says what was found."""
+        live = live or self.live()
+        own = {n.name for n in live.nodes}
+        sources = {d for n in live.nodes if nodes is None or n.name in nodes for d in n.depends_on} - own
+        return {str(s): self.tables.sync(s) for s in sorted(sources, key=str)}
+
     def refresh_due(self, now: float | None = None) -> dict[str, str]:
         """Refreshes the nodes whose schedule has run out; a schedule that is no interval follows its readers."""
         now = now or self.clock()
@@ -264,9 +271,9 @@ class Project:
             return order
         for name in order:
             self.catalog.records.remove("nodes", name)
-            self.tables.records.remove("inputs", name)
+            for h in ((self.refresher.seen(name) or {}).get("hidden") or {}).values():
+                self.tables.drop(h)
             self.tables.drop(name)
-            self.tables.drop(f"{name}.state")
         for r in self.catalog.records.all("views"):
             if r["project"] == self.name:
                 self.catalog.records.remove("views", r["expose_as"])

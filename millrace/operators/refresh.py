@@ -1,11 +1,22 @@
 """Filling nodes: whole, or from the changes of their inputs.
 
-A change of a table is two bags of rows, added and removed.  A query of selects,
-filters and inner joins is linear in each table it reads, so its changes are the
-query itself over one table's changes, with the tables before it as they are now
-and those after it as they were.  Sums, counts and averages are kept beside the
-result and combined with the changes' own; other grouped queries are computed
-again for the groups that the changes touch.
+A refresh notes the versions of what it reads and reads those, whatever is added meanwhile.  It ends with one commit of one
+record that has the result, the hidden state and the noted versions; a refresh that fails before leaves nothing behind, and
+one that finds the node moved on by another starts over.  So each change counts once.
+
+How a query follows its inputs (Rule.kind):
+
+bag      selects, filters, joins of all kinds, EXISTS and IN: signed rows by deltas.py, also of both sides of UNION ALL
+sums     grouped or DISTINCT: counts and sums beside each group, in buckets by the hash of the group's keys; MIN and MAX
+         (once rows were removed) and COUNT(DISTINCT) by the counts of each group's values; ROLLUP, CUBE and GROUPING SETS
+         with the grouping as one more key
+sets     UNION, INTERSECT, EXCEPT (ALL): how often each row is on each side
+groups   HAVING, expressions over aggregates, floating sums after deletes: groups that the change touches, again
+windows  partitions that the change touches, again
+top      ORDER BY and LIMIT: the first rows and a reserve, refilled when deletes exhaust it
+full     anything else
+
+Derived tables and WITH entries are hidden nodes of their own, whose changes feed the query around them.
 """
 
 from __future__ import annotations
@@ -13,67 +24,144 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StructType
 
 from ..model import Mode, Name, Node
-from ..plans.shape import Shape, clause_texts, listed, relocate, shape
-from ..sources.tables import Tables
+from ..plans.shape import Shape, listed, references, relocate, shape
+from ..sources.tables import Conflict, Tables, bucket_of
+from .deltas import Block, block_of, blocks_of, set_operation
 
 _ALIAS = re.compile(r"^(.*?)(?:\s+AS\s+(\w+|`[^`]+`)|(?<=[\w)'`])\s+(?!(?:end|null|true|false)$)(\w+))?$", re.I | re.S)
 _CALL = re.compile(r"^\s*(sum|count|avg|mean|min|max)\s*\((.*)\)\s*$", re.I | re.S)
+_SETS = re.compile(r"(?is)^\s*(rollup|cube|grouping\s+sets)\s*\((.*)\)\s*$")
+#: Rows of ORDER BY .. LIMIT k that are held, in terms of k: k, as many again and some.
+RESERVE = 100
+#: How often a refresh starts over when others refresh the same node.
+TRIES = 5
 
 
 @dataclass
 class Rule:
-    """How a query is maintained: bag, sums, groups or full."""
+    """How a query is maintained."""
 
     kind: str
-    clauses: dict[str, str] = field(default_factory=dict)
-    keys: list[str] = field(default_factory=list)  # texts of the grouping expressions
+    blocks: list[Block] = field(default_factory=list)
+    keys: list[str] = field(default_factory=list)  # texts of the grouping (or partitioning) expressions
     key_at: list[int] = field(default_factory=list)  # their places in the SELECT list
     calls: dict[int, tuple[str, str]] = field(default_factory=dict)  # place -> function, argument
+    grouping: str = ""  # GROUP BY of the state, if it is not just the keys
+    op: str = ""  # set operation
+    order: str = ""
+    limit: int = 0
 
     @property
-    def extremes(self) -> bool:
-        return any(f in ("min", "max") for f, _ in self.calls.values())
+    def block(self) -> Block:
+        return self.blocks[0]
+
+    @property
+    def extremes(self) -> list[int]:
+        return [i for i, (f, _) in self.calls.items() if f in ("min", "max")]
+
+    @property
+    def distinct(self) -> list[int]:
+        return [i for i, (f, _) in self.calls.items() if f == "distinct"]
+
+    @property
+    def tables(self) -> list[Name]:
+        return [n for b in self.blocks for n in b.tables]
+
+
+_FULL = Rule("full")
+_same = lambda x: re.sub(r"\s+", " ", x.lower().strip())
+_bare = lambda x: re.sub(r"\s+", "", x.lower()).rsplit(".", 1)[-1] if re.fullmatch(r"\s*[\w.`]+\s*", x) else _same(x)
 
 
 def rule_for(spark: SparkSession, query: str) -> Rule:
     s: Shape = shape(spark, query)
-    inner = all(j in ("Inner", "Cross") for j in s.joins)
-    having = "having" in s.clauses
-    plain = not (s.set_op or s.distinct or s.command or s.volatile or {"with", "sort", "globallimit", "offset"} & set(s.clauses)) and inner
-    if not plain or not s.relations:
-        return Rule("full")
-    c = clause_texts(query)
-    if set(c) - {"select", "from", "where", "group by", "having"}:
-        return Rule("full")
-    if not s.grouped:
-        return Rule("full" if s.nested else "bag", c)
-    if s.nested and not having or re.search(r"\(\s*(?i:select|with)\b", query) or re.search(r"(?i)\bover\s*\(", query):
-        return Rule("full")
-    items = [_ALIAS.match(i.strip()).groups() for i in listed(c["select"])]
-    texts = [i[0].strip() for i in items]
-    names = [(i[1] or i[2] or "").strip("`").lower() for i in items]
-    same = lambda x: re.sub(r"\s+", " ", x.lower())
-    keys = []
-    for g in listed(c.get("group by", "")):
-        at = int(g) - 1 if g.isdigit() else names.index(g.lower()) if g.lower() in names and same(g) not in map(same, texts) else -1
-        keys.append(texts[at] if at >= 0 else g)
-    if any(re.match(r"(?i)(rollup|cube|grouping)\b", k) for k in keys):
-        return Rule("full")
-    bare = lambda x: re.sub(r"\s+", "", x.lower()).rsplit(".", 1)[-1] if re.fullmatch(r"\s*[\w.`]+\s*", x) else same(x)
-    places = [next((i for i, t in enumerate(texts) if same(t) == same(k) or bare(t) == bare(k)), -1) for k in keys]
+    if s.command or s.volatile or not s.relations or "with" in s.clauses:
+        return _FULL
+    if s.set_op:
+        return _set_rule(spark, query)
+    if s.clauses.get("globallimit") or s.clauses.get("sort"):
+        return _top_rule(spark, query, s)
+    b = block_of(query)
+    if b is None or "offset" in s.clauses:
+        return _FULL
+    over = re.search(r"(?i)\bover\b", b.select)
+    if s.distinct:
+        b.select = re.sub(r"(?i)^\s*distinct\b", "", b.select)
+    items = [_ALIAS.match(i.strip()).groups() for i in listed(b.select)]
+    texts, names = [i[0].strip() for i in items], [(i[1] or i[2] or "").strip("`").lower() for i in items]
+    grouped = s.grouped and not (over and not b.group)  # a window's function alone groups nothing
+    if not grouped:
+        if over:
+            return _FULL if s.distinct else _window_rule(b)
+        if not s.distinct:
+            return Rule("bag", [b])
+        if any(t.endswith("*") for t in texts):
+            return _FULL
+        return Rule("sums", [b], texts, list(range(len(texts))))
+    if over or s.distinct:
+        return _FULL
+    grouping = b.group if _SETS.match(b.group) else ""
+    if grouping:
+        keys = list(dict.fromkeys(re.findall(r"[\w.]+", _SETS.match(b.group)[2])))
+    else:
+        keys = []
+        for g in listed(b.group):
+            at = int(g) - 1 if g.isdigit() else names.index(g.lower()) if g.lower() in names and _same(g) not in map(_same, texts) else -1
+            keys.append(texts[at] if at >= 0 else g)
+    if any(re.match(r"(?i)(rollup|cube|grouping)\b", k) for k in keys) or re.search(r"(?i)\bwith\s+(rollup|cube)\b", b.group):
+        return _FULL
+    b.group = grouping or ", ".join(keys)
+    places = [next((i for i, t in enumerate(texts) if _same(t) == _same(k) or _bare(t) == _bare(k)), -1) for k in keys]
     calls = {}
     for i, t in enumerate(texts):
         m = _CALL.match(t)
-        if m and not re.match(r"(?i)\s*distinct\b", m[2]) and m[2].count("(") == m[2].count(")") and _one_call(t):
-            calls[i] = (m[1].lower().replace("mean", "avg"), m[2].strip())
-    if not having and all(i in calls or i in places for i in range(len(texts))) and -1 not in places:
-        return Rule("sums", c, keys, places, calls)
-    return Rule("groups" if keys and -1 not in places else "full", c, keys, places)
+        if m and m[2].count("(") == m[2].count(")") and _one_call(t):
+            apart = re.match(r"(?is)\s*distinct\b(.*)", m[2])
+            if not apart:
+                calls[i] = (m[1].lower().replace("mean", "avg"), m[2].strip())
+            elif m[1].lower() == "count" and len(listed(apart[1])) == 1 and not grouping:
+                calls[i] = ("distinct", apart[1].strip())
+    if not b.having and all(i in calls or i in places for i in range(len(texts))) and -1 not in places:
+        return Rule("sums", [b], [*keys, "grouping_id()"] if grouping else keys, places, calls, grouping)
+    return Rule("groups", [b], keys) if keys and not grouping else _FULL
+
+
+def _set_rule(spark: SparkSession, query: str) -> Rule:
+    cut = set_operation(query)
+    if not cut:
+        return _FULL
+    sides = [rule_for(spark, q) for q in cut[1:]]
+    if any(r.kind != "bag" or len(r.blocks) != 1 for r in sides):
+        return _FULL
+    return Rule("bag" if cut[0] == "union all" else "sets", [r.block for r in sides], op=cut[0])
+
+
+def _window_rule(b: Block) -> Rule:
+    """All windows must have the same PARTITION BY, of columns that do not come from a table which may be null-extended."""
+    found = re.findall(r"(?is)\bover\s*\((.*?)(?:\border\s+by\b|\brows\b|\brange\b|\))", b.select)
+    if len(found) != len(re.findall(r"(?i)\bover\b", b.select)):
+        return _FULL
+    keys = {_same(re.sub(r"(?i)^\s*partition\s+by\b", "", f)) if re.match(r"(?i)\s*partition\s+by\b", f) else "" for f in found}
+    if len(keys) != 1 or "" in keys or "(" in (only := keys.pop()):
+        return _FULL
+    return Rule("windows", [b], [k.strip() for k in only.split(",")])
+
+
+def _top_rule(spark: SparkSession, query: str, s: Shape) -> Rule:
+    m = re.fullmatch(r"(?is)(.*?)\border\s+by\b([^()]*?)\blimit\s+(\d+)\s*;?\s*", query)
+    if not m or s.grouped or s.distinct or "offset" in s.clauses:
+        return _FULL
+    b = block_of(m[1].strip())
+    if b is None or re.search(r"(?i)\bover\b", b.select):
+        return _FULL
+    return Rule("top", [b], order=m[2].strip(), limit=int(m[3]))
 
 
 def _one_call(text: str) -> bool:
@@ -86,253 +174,532 @@ def _one_call(text: str) -> bool:
     return False
 
 
+class _Views:
+    """Temporary views of table versions and changes, for as long as it takes to analyse a query."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, {}
+
+    def of(self, key: tuple, df) -> str:
+        if key not in self.names:
+            name = f"mr_{uuid.uuid4().hex}"
+            df().createOrReplaceTempView(name)
+            self.names[key] = name
+        return self.names[key]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for name in self.names.values():
+            self.spark.catalog.dropTempView(name)
+
+
+@dataclass
+class _Run:
+    """A refresh of one node: versions before and now, and the changes between them."""
+
+    node: Node
+    rule: Rule
+    now: dict[str, int]
+    old: dict[str, int] = field(default_factory=dict)
+    changes: dict[str, tuple[DataFrame | None, DataFrame | None]] = field(default_factory=dict)
+
+    @property
+    def removes(self) -> bool:
+        """Whether rows of the query may go: rows of a table went, or one changed that decides about the rows of others."""
+        decides = (not b.linear(i) for b in self.rule.blocks for i, n in enumerate(b.tables) if str(n) in self.changes)
+        return any(c[1] is not None for c in self.changes.values()) or any(decides)
+
+
 class Refresher:
     def __init__(self, spark: SparkSession, tables: Tables):
         self.spark, self.tables = spark, tables
-        self._views: dict[tuple, str] = {}
-
-    def view(self, df: DataFrame, key: tuple | None = None) -> str:
-        """A temporary view of a table version or of changes; versions keep their view."""
-        if key and key in self._views:
-            return self._views[key]
-        name = f"mr_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(name)
-        if key:
-            self._views[key] = name
-        return name
-
-    def _table_view(self, name: Name, version: int | None = None) -> str | None:
-        current = self.tables.version(name)
-        if not current:
-            return None
-        v = version or current
-        path = self.tables.record(name)["versions"][str(v)]["paths"]
-        return self.view(self.tables.read(name, v), (str(name), v, *path)) if (str(name), v, *path) not in self._views else self._views[(str(name), v, *path)]
+
+    # queries over versions
 
     def frame(self, query: str, versions: dict[str, int] | None = None) -> DataFrame:
         """The query over current (or given) versions of what it reads; other names are left to the session."""
-        return self.spark.sql(relocate(query, lambda n, _: self._table_view(n, (versions or {}).get(str(n)))))
+        with _Views(self.spark) as views:
+            return self.spark.sql(self._placed(query, lambda n: self._view(views, n, (versions or {}).get(str(n)))))
 
-    def _uses(self, query: str) -> list[tuple[Name, int]]:
-        found: list[tuple[Name, int]] = []
-        relocate(query, lambda n, k: found.append((n, k)))
-        return found
-
-    def _signed(self, query: str, changes: dict, old: dict[str, int]) -> list[tuple[int, DataFrame]]:
-        """(sign, rows) whose signed union is the query's change."""
-        uses, out = self._uses(query), []
-        for i, (name, _) in enumerate(uses):
-            for sign, df in zip((1, -1), changes.get(str(name), (None, None))):
-                if df is None:
-                    continue
-                own = self.view(df)
-                at = iter(range(len(uses)))
-
-                def rename(n, _, i=i, own=own, at=at):
-                    j = next(at)
-                    if j == i:
-                        return own
-                    return self._table_view(n, old.get(str(n)) if j > i else None)
-
-                out.append((sign, self.spark.sql(relocate(query, rename))))
-        return out
+    def _placed(self, query: str, rename) -> str:
+        known = set(references(self.spark, query))
+        return relocate(query, lambda n, _: rename(n) if n in known else None)
 
-    def inputs(self, node: Node) -> dict[str, int]:
-        return {str(n): self.tables.version(n) for n, _ in self._uses(node.query) if self.tables.version(n)}
+    def _view(self, views: _Views, name: Name, version: int | None = None) -> str | None:
+        v = version or self.tables.version(name)
+        return views.of((str(name), v), lambda: self.tables.read(name, v)) if v else None
+
+    def _uses(self, query: str) -> list[tuple[Name, int]]:
+        return [(n, 0) for n in references(self.spark, query)]
+
+    def inputs(self, query: str) -> dict[str, int]:
+        return {str(n): v for n in references(self.spark, query) if (v := self.tables.version(n))}
+
+    def _over(self, run: _Run, block: Block, extra: str = "", more: dict[str, DataFrame] | None = None, **how) -> DataFrame:
+        """A block over the noted versions; `more` are frames that `extra` reads by name."""
+        with _Views(self.spark) as views:
+            for n, df in (more or {}).items():
+                extra = extra.replace(n, views.of((n,), lambda df=df: df))
+            return self.spark.sql(block.sql([self._view(views, n, run.now[str(n)]) for n in block.tables], extra, **how))
+
+    def _signed(self, run: _Run, block: Block, **how) -> list[tuple[int, DataFrame]]:
+        """(sign, rows) whose signed union is the change of a block."""
+        with _Views(self.spark) as views:
+
+            def view(name: Name, role: str) -> str | None:
+                key = str(name)
+                if role in ("new", "old"):
+                    return self._view(views, name, (run.now if role == "new" else run.old)[key])
+                if role == "none":
+                    return views.of((key, role), lambda: self.tables.read(name, run.now[key]).limit(0))
+                both = run.changes[key]
+                if role == "both":
+                    return views.of((key, role), lambda: _union([c for c in both if c is not None]))
+                df = both[role == "minus"]
+                return None if df is None else views.of((key, role), lambda: df)
+
+            return [(sign, self.spark.sql(text)) for sign, text in block.signed(set(run.changes), view, **how)]
+
+    # whole
 
     def full(self, node: Node) -> str:
-        rule = rule_for(self.spark, node.query) if node.mode != Mode.FULL else Rule("full")
-        at = self.inputs(node)
-        if rule.kind == "sums":
-            state = self._state_name(node)
-            self.tables.put(state, self.frame(self._state_query(rule)))
-            out = self.frame(node.query)
-            self.tables.put(node.name, self._from_state(rule, self.tables.read(state), out))
-        else:
-            self.tables.put(node.name, self.frame(node.query))
-        self._remember(node, at)
+        for _ in range(TRIES):
+            try:
+                return self._full(node, *self._outer(node))
+            except Conflict:
+                continue
+        raise Conflict(f"{node.name} is refreshed by others all the time")
+
+    def _full(self, node: Node, query: str, hidden: dict[str, str]) -> str:
+        since = self.tables.version(node.name)
+        now = self.inputs(query)
+        rule = rule_for(self.spark, query) if node.mode != Mode.FULL else _FULL
+        if {str(n) for n in rule.tables} - set(now):
+            rule = _FULL  # it reads something without versions
+        run = _Run(node, rule, now)
+        entry = getattr(self, f"_fill_{rule.kind}", self._fill_plain)(run, query)
+        self._commit(run, since, entry | {"full": True}, hidden)
         return "full"
 
+    def _commit(self, run: _Run, since: int, entry: dict, hidden: dict[str, str]) -> None:
+        self.tables.commit(run.node.name, since, entry | {"inputs": {"versions": run.now, "query": run.node.query, "hidden": hidden}})
+
+    def seen(self, name: Name | str) -> dict | None:
+        """Input versions and query of what a node holds."""
+        return (self.tables.entry(name) or {}).get("inputs")
+
+    def _outer(self, node: Node) -> tuple[str, dict[str, str]]:
+        """The query over hidden nodes for its derived tables and WITH entries, brought up to date, and their names."""
+        cut = blocks_of(node.query) if node.mode != Mode.FULL else None
+        if not cut or not cut[1] or shape(self.spark, node.query).volatile:
+            return node.query, {}
+        outer, blocks = cut
+        names = {Name.parse(alias): Name(node.name.schema, f"{node.name.name}__{alias}") for alias, _ in blocks}
+        place = lambda q: relocate(q, lambda n, _: str(names[n]) if n in names else None)
+        for alias, text in blocks:
+            self.refresh(Node(names[Name.parse(alias)], place(text), node.mode))
+        return place(outer), {str(n): str(h) for n, h in names.items()}
+
+    def _fill_plain(self, run: _Run, query: str) -> dict:
+        return self.tables.plain(run.node.name, self.frame(query, run.now))
+
+    def _buckets(self, run: _Run) -> int:
+        return self.tables.buckets_for(sum(self.tables.bytes_of(self.tables.entry(n, v)) for n, v in run.now.items()))
+
+    # refresh
+
     def refresh(self, node: Node) -> str:
         """Brings a node up to date; says how: none, full or the rule's kind."""
-        seen = self.tables.records.get("inputs", str(node.name))
-        now = self.inputs(node)
-        if seen is None or not self.tables.version(node.name) or seen["query"] != node.query or set(seen["versions"]) != set(now):
-            return self.full(node)
-        if any(not self.tables.version(n) for n, _ in self._uses(node.query)):
-            return self.full(node)  # it reads something without versions, whose changes are not known
+        for _ in range(TRIES):
+            try:
+                return self._refresh(node)
+            except Conflict:
+                continue
+        raise Conflict(f"{node.name} is refreshed by others all the time")
+
+    def _refresh(self, node: Node) -> str:
+        query, hidden = self._outer(node)
+        since, held = self.tables.version(node.name), self.tables.entry(node.name)
+        seen, now = (held or {}).get("inputs"), self.inputs(query)
+        whole = lambda: self._full(node, query, hidden)
+        if seen is None or seen["query"] != node.query or set(seen["versions"]) != set(now):
+            return whole()
+        if any(str(n) not in now for n in references(self.spark, query)):
+            return whole()  # it reads something without versions, whose changes are not known
         if seen["versions"] == now:
             return "none"
-        if node.mode == Mode.FULL:
-            return self.full(node)
-        rule = rule_for(self.spark, node.query)
-        changes = {n: self.tables.changes(n, v) for n, v in seen["versions"].items() if now[n] != v}
-        if rule.kind == "full" or any(c is None for c in changes.values()):
-            return self.full(node)
-        removed = any(c[1] is not None for c in changes.values())
-        kind = "groups" if rule.kind == "sums" and removed and (rule.extremes or self._inexact(node)) else rule.kind
-        if kind == "groups" and not rule.keys:
-            return self.full(node)
-        {"bag": self._bag, "sums": self._sums, "groups": self._groups}[kind](node, rule, changes, seen["versions"])
-        if kind == "groups" and rule.kind == "sums":
-            self._touched_state(node, rule, changes, seen["versions"])
-        self._remember(node, now)
+        rule = rule_for(self.spark, query) if node.mode != Mode.FULL else _FULL
+        if rule.kind == "full":
+            return whole()
+        changes = {n: self.tables.changes(n, v, now[n]) for n, v in seen["versions"].items() if now[n] != v}
+        if any(c is None for c in changes.values()) or not self._known(rule, changes):
+            return whole()
+        run = _Run(node, rule, now, seen["versions"], {n: c for n, c in changes.items() if c != (None, None)})
+        if not run.changes:
+            self._commit(run, since, held | {"plus": [], "minus": [], "touched": [], "full": False} if "at" in held else held | {"plus": [], "minus": [], "full": False}, hidden)
+            return rule.kind
+        kind = rule.kind
+        if kind == "sums" and run.removes and self._inexact(held):
+            kind = "full" if rule.grouping or not rule.keys or held.get("states") else "groups"
+        done = None if kind == "full" else getattr(self, f"_again_{kind}")(run, held)
+        if done is None:
+            return whole()
+        self._commit(run, since, done | {"full": False}, hidden)
         return kind
 
-    def _remember(self, node: Node, versions: dict[str, int]) -> None:
-        self.tables.records.put("inputs", str(node.name), {"versions": versions, "query": node.query})
-
-    def _bag(self, node, rule, changes, old) -> None:
-        parts = self._signed(node.query, changes, old)
-        plus, minus = ([df for s, df in parts if s == sign] for sign in (1, -1))
-        a, b = (_union(x) for x in (plus, minus))
+    def _known(self, rule: Rule, changes: dict) -> bool:
+        """Whether the change is what deltas.py takes it for: NOT IN is false or null for all rows once there is a null."""
+        for s in (s for b in rule.blocks if b.negated for s in b.subs if s.column):
+            column = _bare(s.select.strip())
+            for df in (df for p in s.parts for df in changes.get(str(p.name), ()) if df is not None):
+                if column not in map(str.lower, df.columns) or not df.where(F.col(column).isNull()).isEmpty():
+                    return False
+        return True
+
+    # bag
+
+    def _again_bag(self, run: _Run, held: dict) -> dict:
+        like = StructType.fromDDL(held["schema"])
+        parts = [(s, _cast(df, like)) for b in run.rule.blocks for s, df in self._signed(run, b)]
+        a, b = (_union([df for s, df in parts if s == sign]) for sign in (1, -1))
         if a is not None and b is not None:
             a, b = a.exceptAll(b), b.exceptAll(a)
-        self.tables.change(node.name, a, b)
-
-    # sums: hidden state of row counts, sums and non-null counts beside each group
-
-    @staticmethod
-    def _state_name(node: Node) -> str:
-        return f"{node.name}.state"
-
-    @staticmethod
-    def _body(rule: Rule, select: str, more: str = "") -> str:
-        c = rule.clauses
-        conditions = [f"({x})" for x in (c.get("where"), more) if x]
-        where = f" WHERE {' AND '.join(conditions)}" if conditions else ""
-        return f"SELECT {select} FROM {c['from']}{where}"
-
-    def _inexact(self, node: Node) -> bool:
-        """Whether the state has floating sums: rows cannot be taken out of those again."""
-        return any(f.name[0] == "s" and f.dataType.simpleString() in ("double", "float") for f in self.tables.read(self._state_name(node)).schema.fields)
-
-    def _state_query(self, rule: Rule, more: str = "") -> str:
-        cols = [f"{k} AS k{i}" for i, k in enumerate(rule.keys)] + ["count(*) AS n"]
-        for i, (f, x) in rule.calls.items():
+        added, removed = ([] if df is None else self._kept(run, df) for df in (a, b))
+        return self.tables.changer(str(run.node.name), added, removed)(held, held["schema"])
+
+    def _kept(self, run: _Run, df: DataFrame) -> list[str]:
+        """The folder that rows were written to; none if there are no rows."""
+        path = self.tables._write(str(run.node.name), df)
+        return [] if self.tables._read([path], _ddl(df)).isEmpty() else [path]
+
+    # sums: a wide table of keys, row counts, sums and non-null counts beside the result's own columns
+
+    def _state(self, run: _Run, calls: list[int] | None = None) -> dict[str, str]:
+        """SELECT and GROUP BY of the state."""
+        rule = run.rule
+        cols = [f"{k} AS mr_k{i}" for i, k in enumerate(rule.keys)] + ["count(*) AS mr_n"]
+        arguments = self._over(run, rule.block, select=", ".join([f"{x} AS a{i}" for i, (f, x) in rule.calls.items() if f == "avg"] or ["1"]), group="").schema
+        whole = {f.name for f in arguments if isinstance(f.dataType, (ByteType, ShortType, IntegerType, LongType))}
+        for i in rule.calls if calls is None else calls:
+            f, x = rule.calls[i]
             if f in ("min", "max"):
-                cols.append(f"{f}({x}) AS m{i}")
-            elif x != "*":
-                cols.append(f"count({x}) AS c{i}")
+                cols.append(f"{f}({x}) AS mr_m{i}")
+            elif x != "*" and f != "distinct":
+                cols.append(f"count({x}) AS mr_c{i}")
                 if f in ("sum", "avg"):
-                    cols.append(f"sum({x}) AS s{i}")
-        by = f" GROUP BY {', '.join(rule.keys)}" if rule.keys else ""
-        return self._body(rule, ", ".join(cols), more) + by
+                    cols.append(f"sum({f'CAST({x} AS DECIMAL(38,0))' if f'a{i}' in whole else x}) AS mr_s{i}")
+        return {"select": ", ".join(cols), "group": rule.grouping or ", ".join(rule.keys)}
+
+    def _values(self, run: _Run, i: int) -> dict[str, str]:
+        """SELECT and GROUP BY of how often each group has each value of an argument."""
+        x = run.rule.calls[i][1]
+        keys = [f"{k} AS mr_k{j}" for j, k in enumerate(run.rule.keys)]
+        return {"select": ", ".join([*keys, f"{x} AS mr_v", "count(*) AS mr_n"]), "group": ", ".join([*run.rule.keys, x])}
 
-    def _from_state(self, rule: Rule, state: DataFrame, like: DataFrame) -> DataFrame:
+    @staticmethod
+    def _keys(rule: Rule) -> list[str]:
+        return [f"mr_k{i}" for i in range(len(rule.keys))]
+
+    def _wide(self, run: _Run, state: DataFrame, values: dict[int, DataFrame], like: StructType) -> DataFrame:
+        """The state, with what the counts of values say, and the result's columns."""
+        rule, keys = run.rule, self._keys(run.rule)
+        for i, df in values.items():
+            f = rule.calls[i][0]
+            found = df.groupBy(*keys).agg((F.count("mr_v") if f == "distinct" else getattr(F, f)("mr_v")).alias(f"mr_m{i}"))
+            named = found.toDF(*[f"mr_o{j}" for j in range(len(keys))], f"mr_m{i}")
+            state = state.drop(f"mr_m{i}").join(named, _null_safe(state, keys, named, named.columns[:-1]), "left").drop(*named.columns[:-1])
         cols = []
-        for i, f in enumerate(like.schema.fields):
-            if i in rule.calls:
+        for i, f in enumerate(like.fields):
+            if i not in rule.calls:
+                col = F.col(f"mr_k{rule.key_at.index(i)}")
+            else:
                 call, x = rule.calls[i]
                 if call in ("min", "max"):
-                    col = F.col(f"m{i}")
+                    col = F.col(f"mr_m{i}")
+                elif call == "distinct":
+                    col = F.coalesce(F.col(f"mr_m{i}"), F.lit(0))
                 elif call == "count":
-                    col = F.coalesce(F.col("n" if x == "*" else f"c{i}"), F.lit(0))
+                    col = F.coalesce(F.col("mr_n" if x == "*" else f"mr_c{i}"), F.lit(0))
+                elif call == "sum":
+                    col = F.when(F.col(f"mr_c{i}") > 0, F.col(f"mr_s{i}"))
                 else:
-                    total = F.col(f"s{i}")
-                    col = F.when(F.col(f"c{i}") > 0, total if call == "sum" else total / F.col(f"c{i}"))
-            else:
-                col = F.col(f"k{rule.key_at.index(i)}")
+                    total = F.col(f"mr_s{i}")
+                    exact = state.schema[f"mr_s{i}"].dataType.simpleString() == "decimal(38,0)"
+                    col = F.when(F.col(f"mr_c{i}") > 0, (total.cast("double") if exact else total) / F.col(f"mr_c{i}"))
             cols.append(col.cast(f.dataType).alias(f.name))
-        return state.select(*cols)
-
-    def _sums(self, node, rule, changes, old) -> None:
-        name = self._state_name(node)
-        before = self.tables.read(name)
-        keys = [f"k{i}" for i in range(len(rule.keys))]
-        parts = []
-        for sign, df in self._signed(self._state_query(rule), changes, old):
-            parts.append(df.select(*[(F.col(c) * sign).alias(c) if c[0] in "ncs" else F.col(c) for c in df.columns]))
+        own = [c for c in state.columns if c.startswith("mr_")]
+        return state.select(*[F.col(c) for c in own], *cols)
+
+    def _visible(self, contents: dict, like: StructType | str) -> dict:
+        """Contents whose hidden columns only the refresher reads."""
+        return contents | {"wide": contents["schema"], "schema": like if isinstance(like, str) else _ddl(like)}
+
+    def _fill_sums(self, run: _Run, query: str) -> dict:
+        rule, keys, n = run.rule, self._keys(run.rule), self._buckets(run)
+        like = self.frame(query, run.now).schema
+        if any(isinstance(f.dataType, MapType) for f in like.fields):
+            return self._fill_plain(run, query)
+        states = {f"v{i}": self.tables.bucketed(run.node.name, self._over(run, rule.block, _some(rule, i), **self._values(run, i)), keys, n) for i in rule.distinct}
+        state = self._over(run, rule.block, **self._state(run))
+        wide = self._wide(run, state, {i: self.tables.frame(states[f"v{i}"]) for i in rule.distinct}, like)
+        return self._visible(self.tables.bucketed(run.node.name, wide, keys, n), like) | {"states": states}
+
+    @staticmethod
+    def _inexact(held: dict) -> bool:
+        """Whether the state has floating sums: rows cannot be taken out of those again."""
+        return any(f.name.startswith("mr_s") and isinstance(f.dataType, (DoubleType, FloatType)) for f in StructType.fromDDL(held.get("wide", held["schema"])).fields)
+
+    def _summed(self, run: _Run, **how) -> DataFrame:
+        """The change of a state, signed, summed by its keys and written; a group's other columns are as its rows have them."""
+        rule = run.rule
+        parts = [df.select(*[(F.col(c) * sign).alias(c) if c[3] in "ncs" else F.col(c) for c in df.columns]) for sign, df in self._signed(run, rule.block, **how)]
         delta = _union(parts)
-        combine = {"n": F.sum, "c": F.sum, "s": F.sum}
-        agg = [(combine[c[0]] if c[0] in combine else getattr(F, rule.calls[int(c[1:])][0]))(c).cast(before.schema[c].dataType).alias(c) for c in before.columns if c not in keys]
-        after = before.unionByName(delta).groupBy(*keys).agg(*agg)
+        return self._scratch(run, delta.groupBy(*[c for c in delta.columns if c[3] in "kv"]).agg(*self._combined(rule, delta.columns)))
+
+    def _combined(self, rule: Rule, columns: list[str], like: StructType | None = None) -> list[Column]:
+        out = []
+        for c in columns:
+            if c[3] in "ncs":
+                out.append((F.sum(c).cast(like[c].dataType) if like else F.sum(c)).alias(c))
+            elif c[3] == "m":
+                out.append(getattr(F, rule.calls[int(c[4:])][0])(c).alias(c) if rule.calls[int(c[4:])][0] != "distinct" else F.max(c).alias(c))
+        return out
+
+    def _scratch(self, run: _Run, df: DataFrame) -> DataFrame:
+        """df, written once as it is read several times; vacuum removes it."""
+        return self.tables._read([self.tables._write(f"{run.node.name}.change", df)], _ddl(df))
+
+    def _touched(self, rows: DataFrame, keys: list[str], n: int) -> list[int]:
+        """Buckets of the keys of rows, at most n numbers."""
+        return sorted(r[0] for r in rows.select(bucket_of(keys, n).alias("b")).distinct().collect())
+
+    def _merged(self, held: dict, delta: DataFrame, touched: list[int], by: list[str]) -> DataFrame:
+        """Counts of values in the touched buckets, with the change's."""
+        old = self.tables.frame(held, touched)
+        like = old.schema
+        return old.unionByName(_cast(delta, like)).groupBy(*by).agg(F.sum("mr_n").cast("long").alias("mr_n")).where("mr_n <> 0")
+
+    def _again_sums(self, run: _Run, held: dict) -> dict | None:
+        rule, keys, name = run.rule, self._keys(run.rule), run.node.name
+        if "wide" not in held:
+            return None
+        n, states, wide = len(held["at"]), dict(held.get("states", {})), StructType.fromDDL(held["wide"])
+        counted = [i for i in rule.calls if f"v{i}" in states]
+        if run.removes and rule.extremes and rule.grouping:
+            return None
+        fresh = [i for i in rule.extremes if run.removes and i not in counted]  # the first removed rows call for counts of values
+        delta = self._summed(run, **self._state(run))
+        touched = self._touched(delta, keys, n)
+        values = {}
+        for i in [*counted, *fresh]:
+            if i in fresh:
+                states[f"v{i}"] = self.tables.bucketed(name, self._over(run, rule.block, _some(rule, i), **self._values(run, i)), keys, n)
+            else:
+                change = self._summed(run, also=_some(rule, i), **self._values(run, i))
+                now = self._merged(states[f"v{i}"], change, touched, [*keys, "mr_v"])
+                states[f"v{i}"] = self.tables.bucketed(name, now, keys, n, states[f"v{i}"], touched)
+            values[i] = self.tables.frame(states[f"v{i}"], touched)
+        before = self.tables.frame(held, touched, held["wide"])
+        columns = [c for c in wide.names if c.startswith("mr_")]
+        lacking = {c for c in columns if c not in delta.columns}  # counts of values give these
+        both = before.select(*columns).unionByName(delta.select(*[F.col(c).cast(wide[c].dataType).alias(c) if c not in lacking else F.lit(None).cast(wide[c].dataType).alias(c) for c in columns]))
+        after = both.groupBy(*keys).agg(*self._combined(rule, [c for c in columns if c[3] != "k"], wide))
         if keys:
-            after = after.where("n > 0")
-        self.tables.put(name, after)
-        state = self.tables.read(name)
-        like = self.tables.read(node.name)
-        now = self._from_state(rule, state, like)
-        if not keys:
-            self.tables.change(node.name, now, like, now)
-            return
-        touched = delta.select(*keys).distinct()
-        on = lambda df, cols: _null_safe(df, cols, touched, keys)
-        named = [like.columns[i] for i in rule.key_at]
-        plus = now.join(touched, on(now, named), "left_semi")
-        minus = like.join(touched, on(like, named), "left_semi")
-        self.tables.change(node.name, plus, minus, now)
-
-    # groups: only touched groups are computed again
-
-    def _touched(self, rule, changes, old) -> DataFrame:
-        select = "DISTINCT " + ", ".join(f"{k} AS k{i}" for i, k in enumerate(rule.keys))
-        return _union([df for _, df in self._signed(self._body(rule, select), changes, old)]).distinct()
-
-    def _only(self, rule: Rule, view: str) -> str:
-        same = " AND ".join(f"mr_t.k{i} <=> ({k})" for i, k in enumerate(rule.keys))
-        return f"EXISTS (SELECT 1 FROM {view} mr_t WHERE {same})"
-
-    def _groups(self, node, rule, changes, old) -> None:
-        touched = self._touched(rule, changes, old)
-        view = self.view(touched)
-        query = self._body(rule, rule.clauses["select"], self._only(rule, view)) + f" GROUP BY {', '.join(rule.keys)}"
-        if "having" in rule.clauses:
-            query += f" HAVING {rule.clauses['having']}"
-        like = self.tables.read(node.name)
-        plus = self._cast(self.frame(query), like)
-        named = [like.columns[i] for i in rule.key_at]
-        on = _null_safe(like, named, touched, touched.columns)
-        minus, rest = like.join(touched, on, "left_semi"), like.join(touched, on, "left_anti")
-        self.tables.change(node.name, plus, minus, rest.unionByName(plus))
-
-    def _touched_state(self, node, rule, changes, old) -> None:
-        touched = self._touched(rule, changes, old)
-        view = self.view(touched)
-        name = self._state_name(node)
-        state = self.tables.read(name)
-        again = self.frame(self._state_query(rule, self._only(rule, view) if rule.keys else ""))
-        rest = state.join(touched, _null_safe(state, touched.columns, touched, touched.columns), "left_anti")
-        self.tables.put(name, rest.unionByName(self._cast(again, state)))
+            after = after.where("mr_n > 0")
+        like = StructType.fromDDL(held["schema"])
+        now = _cast_named(self._wide(run, after, values, like), wide)
+        contents = self.tables.bucketed(name, now, keys, n, held, touched)
+        return self._visible(contents, held["schema"]) | {"states": states, "touched": touched}
+
+    # sets: how often each row is on each side
+
+    _TIMES = {
+        "union": "CAST(n0 + n1 > 0 AS INT)",
+        "intersect": "CAST(n0 > 0 AND n1 > 0 AS INT)",
+        "intersect all": "CAST(least(n0, n1) AS INT)",
+        "except": "CAST(n0 > 0 AND n1 = 0 AS INT)",
+        "except all": "CAST(greatest(n0 - n1, 0) AS INT)",
+    }
+
+    def _sided(self, run: _Run, frames: list[list[tuple[int, DataFrame]]], like: StructType) -> DataFrame:
+        rows = [_cast(df, like).toDF(*_row(like)).select("*", *[F.lit(sign if k == side else 0).cast("long").alias(f"n{k}") for k in (0, 1)]) for side, parts in enumerate(frames) for sign, df in parts]
+        return _union(rows).groupBy(*_row(like)).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    def _result_of_sides(self, run: _Run, sides: DataFrame, like: StructType) -> DataFrame:
+        times = sides.withColumn("mr_times", F.expr(f"sequence(1, {self._TIMES[run.rule.op]})")).where(F.expr(f"{self._TIMES[run.rule.op]} > 0"))
+        return times.select(*[F.col(c).alias(f.name) for c, f in zip(_row(like), like.fields)], F.explode("mr_times").alias("mr_i")).drop("mr_i")
+
+    def _fill_sets(self, run: _Run, query: str) -> dict:
+        like, n = self.frame(query, run.now).schema, self._buckets(run)
+        if any(isinstance(f.dataType, MapType) for f in like.fields) or len(set(like.names)) < len(like.names):
+            return self._fill_plain(run, query)
+        sides = self._sided(run, [[(1, self._over(run, b))] for b in run.rule.blocks], like)
+        state = self.tables.bucketed(run.node.name, sides, _row(like), n)
+        result = self.tables.bucketed(run.node.name, self._result_of_sides(run, self.tables.frame(state), like), like.names, n)
+        return result | {"states": {"sides": state}}
+
+    def _again_sets(self, run: _Run, held: dict) -> dict | None:
+        state = held.get("states", {}).get("sides")
+        if state is None:
+            return None
+        like, n = StructType.fromDDL(held["schema"]), len(held["at"])
+        delta = self._scratch(run, self._sided(run, [self._signed(run, b) for b in run.rule.blocks], like))
+        touched = self._touched(delta, _row(like), n)
+        both = self.tables.frame(state, touched).unionByName(delta)
+        sides = both.groupBy(*_row(like)).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 <> 0 OR n1 <> 0")
+        state = self.tables.bucketed(run.node.name, sides, _row(like), n, state, touched)
+        result = self._result_of_sides(run, self.tables.frame(state, touched), like)
+        return self.tables.bucketed(run.node.name, result, like.names, n, held, touched) | {"states": {"sides": state}, "touched": touched}
+
+    # groups and windows: what has touched keys is computed again
+
+    def _keyed(self, run: _Run) -> str:
+        return ", ".join([run.rule.block.select, *[f"{k} AS mr_k{i}" for i, k in enumerate(run.rule.keys)]])
+
+    def _fill_groups(self, run: _Run, query: str) -> dict:
+        like = self.frame(query, run.now).schema
+        rows = self._over(run, run.rule.block, select=self._keyed(run))
+        if len(set(like.names)) < len(like.names) or any(isinstance(f.dataType, MapType) for f in like.fields):
+            return self._fill_plain(run, query)
+        return self._visible(self.tables.bucketed(run.node.name, rows, self._keys(run.rule), self._buckets(run)), like)
+
+    _fill_windows = _fill_groups
+
+    def _only(self, rule: Rule) -> str:
+        same = " AND ".join(f"mr_t.mr_k{i} <=> ({k})" for i, k in enumerate(rule.keys))
+        return f"EXISTS (SELECT 1 FROM mr_touched mr_t WHERE {same})"
+
+    def _touched_keys(self, run: _Run) -> DataFrame:
+        select = "DISTINCT " + ", ".join(f"{k} AS mr_k{i}" for i, k in enumerate(run.rule.keys))
+        return self._scratch(run, _union([df for _, df in self._signed(run, run.rule.block, select=select, group="", having="")]).distinct())
+
+    def _again_groups(self, run: _Run, held: dict) -> dict | None:
+        if "wide" not in held:
+            return None
+        rule, keys, n, wide = run.rule, self._keys(run.rule), len(held["at"]), StructType.fromDDL(held["wide"])
+        touched_keys = self._touched_keys(run)
+        touched = self._touched(_cast_named(touched_keys, StructType([wide[k] for k in keys])), keys, n)
+        before = self.tables.frame(held, touched, held["wide"])
+        rest = before.join(touched_keys, _null_safe(before, keys, touched_keys, keys), "left_anti")
+        if rule.kind == "sums":
+            state = self._over(run, rule.block, self._only(rule), {"mr_touched": touched_keys}, **self._state(run))
+            again = self._wide(run, state, {}, StructType.fromDDL(held["schema"]))
+        else:
+            again = self._over(run, rule.block, self._only(rule), {"mr_touched": touched_keys}, select=self._keyed(run))
+        now = rest.unionByName(_cast(again, wide) if rule.kind != "sums" else _cast_named(again, wide))
+        return self._visible(self.tables.bucketed(run.node.name, now, keys, n, held, touched), held["schema"]) | {"touched": touched} | ({"states": {}} if rule.kind == "sums" else {})
+
+    _again_windows = _again_groups
+
+    # top: the first rows in order and a reserve
+
+    def _ordered(self, run: _Run, df: DataFrame, n: int) -> DataFrame:
+        with _Views(self.spark) as views:
+            return self.spark.sql(f"SELECT * FROM {views.of(('rows',), lambda: df)} ORDER BY {run.rule.order} LIMIT {n}")
+
+    def _fill_top(self, run: _Run, query: str) -> dict:
+        rows = self._over(run, run.rule.block)
+        orders = {_bare(re.sub(r"(?i)\s+(asc|desc)\b.*$", "", o.strip())) for o in listed(run.rule.order)}
+        if "." in run.rule.order or not orders <= {c.lower() for c in rows.columns} or len(set(rows.columns)) < len(rows.columns):
+            return self._fill_plain(run, query)
+        m = 2 * run.rule.limit + RESERVE
+        state = self.tables.plain(run.node.name, self._ordered(run, rows, m))
+        held = self.tables.frame(state)
+        state["all"] = held.count() < m  # then it has every row there is
+        result = self.tables.plain(run.node.name, self._ordered(run, held, run.rule.limit))
+        return result | {"states": {"reserve": state}}
+
+    def _again_top(self, run: _Run, held: dict) -> dict | None:
+        """Rows beyond the last one of the reserve are not known and not taken in; they come back with a refill."""
+        state = held.get("states", {}).get("reserve")
+        if state is None:
+            return None
+        parts = self._signed(run, run.rule.block)
+        reserve, m, k = self.tables.frame(state), 2 * run.rule.limit + RESERVE, run.rule.limit
+        like = reserve.schema
+        plus, minus = (_union([_cast(df, like) for s, df in parts if s == sign]) for sign in (1, -1))
+        if plus is not None and minus is not None:
+            plus, minus = plus.exceptAll(minus), minus.exceptAll(plus)
+        rows = reserve.exceptAll(minus) if minus is not None else reserve
+        rows = rows if plus is None else rows.unionByName(self._ordered(run, plus, m))
+        if not state["all"]:
+            marked = reserve.withColumn("mr_now", F.lit(0)).unionByName(rows.withColumn("mr_now", F.lit(1)))
+            with _Views(self.spark) as views:  # over 4 * limit + 2 * RESERVE rows at most
+                rows = self.spark.sql(
+                    f"SELECT * FROM (SELECT *, max(CASE WHEN mr_now = 0 THEN mr_rank END) OVER () AS mr_edge FROM "
+                    f"(SELECT *, rank() OVER (ORDER BY {run.rule.order}) AS mr_rank FROM {views.of(('rows',), lambda: marked)})) "
+                    f"WHERE mr_now = 1 AND mr_rank <= mr_edge"
+                ).select(*like.names)
+        kept = self.tables.plain(run.node.name, self._ordered(run, rows, m))
+        n = self.tables.frame(kept).count()
+        kept["all"] = state["all"] and n < m
+        if not kept["all"] and n < k:
+            return None
+        now = self.tables.plain(run.node.name, self._ordered(run, self.tables.frame(kept), k))
+        a, b = self.tables.frame(now), self.tables.frame(held)
+        added, removed = self._kept(run, a.exceptAll(b)), self._kept(run, b.exceptAll(a))
+        return now | {"plus": added, "minus": removed, "states": {"reserve": kept}}
 
-    @staticmethod
-    def _cast(df: DataFrame, like: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f"`{a}`").cast(f.dataType).alias(f.name) for a, f in zip(df.columns, like.schema.fields)])
+    # definitions that change
 
     def evolve(self, node: Node, old_query: str) -> str:
-        """Contents for a query with columns added or removed at the end.
+        """Contents for a query with columns added or removed at the end, where the node is up to date.
 
-        Removed columns are cut off; added ones are computed with the group keys alone and joined to the
-        old rows; without keys the node is filled anew."""
+        Removed columns are no longer shown; added aggregates are computed alone and joined to the state by key."""
+        held = self.tables.entry(node.name)
+        seen, now = (held or {}).get("inputs"), self.inputs(node.query)
         rule, was = rule_for(self.spark, node.query), rule_for(self.spark, old_query)
-        seen = self.tables.records.get("inputs", str(node.name))
-        before = self.tables.read(node.name)
-        current = seen is not None and seen["versions"] == self.inputs(node)
-        new_columns = self.frame(node.query).columns
-        if current and len(new_columns) < len(before.columns):
-            self.tables.put(node.name, before.select(*before.columns[: len(new_columns)]))
-        elif current and rule.keys and rule.key_at == was.key_at and rule.kind in ("sums", "groups"):
-            items = listed(rule.clauses["select"])
-            added = items[len(before.columns) :]
-            keys = [f"{k} AS mr_k{i}" for i, k in enumerate(rule.keys)]
-            query = self._body(rule, ", ".join(keys + added)) + f" GROUP BY {', '.join(rule.keys)}" + (f" HAVING {rule.clauses['having']}" if "having" in rule.clauses else "")
-            more = self.frame(query)
-            on = _null_safe(before, [before.columns[i] for i in rule.key_at], more, [f"mr_k{i}" for i in range(len(keys))])
-            joined = before.join(more, on).drop(*[f"mr_k{i}" for i in range(len(keys))])
-            self.tables.put(node.name, joined.toDF(*new_columns))
-        else:
+        if seen is None or seen["versions"] != now or node.mode == Mode.FULL or rule.kind != "sums" or was.kind != "sums" or "wide" not in held or rule.key_at != was.key_at or rule.keys != was.keys:
             return self.full(node)
-        if rule.kind == "sums":
-            self.tables.put(self._state_name(node), self.frame(self._state_query(rule)))
-        self._remember(node, seen["versions"])
+        run = _Run(node, rule, now)
+        like, since = self.frame(node.query, now).schema, self.tables.version(node.name)
+        if len(rule.calls) <= len(was.calls):
+            gone = {f"v{i}" for i in was.calls if i not in rule.calls}
+            entry = held | {"schema": _ddl(like), "states": {k: v for k, v in held.get("states", {}).items() if k not in gone}}
+        else:
+            more = [i for i in rule.calls if i not in was.calls]
+            if set(more) & set(rule.distinct):
+                return self.full(node)
+            keys = self._keys(rule)
+            added = self._over(run, rule.block, **self._state(run, more)).drop("mr_n")
+            added = added.toDF(*[f"mr_o{c[4:]}" if c.startswith("mr_k") else c for c in added.columns])
+            state = self.tables.frame(held, schema=held["wide"])
+            state = state.select(*[c for c in state.columns if c.startswith("mr_")])
+            joined = state.join(added, _null_safe(state, keys, added, [f"mr_o{i}" for i in range(len(keys))]), "left").drop(*[f"mr_o{i}" for i in range(len(keys))])
+            wide = self._wide(run, joined, {}, like)
+            entry = self._visible(self.tables.bucketed(node.name, wide, keys, len(held["at"])), like) | {"states": held.get("states", {})}
+        self._commit(run, since, {k: v for k, v in entry.items() if k not in ("plus", "minus", "touched")} | {"full": True}, {})
         return "in-place"
 
 
+def _some(rule: Rule, i: int) -> str:
+    return f"({rule.calls[i][1]}) IS NOT NULL"
+
+
+def _row(like: StructType) -> list[str]:
+    """Names for the columns of a row that clash with none."""
+    return [f"c{i}_" for i in range(len(like.fields))]
+
+
+def _ddl(of) -> str:
+    schema = of if isinstance(of, StructType) else of.schema
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _cast(df: DataFrame, like: StructType) -> DataFrame:
+    """df with names and types of another, by place."""
+    own = [f"mr_p{i}" for i in range(len(df.columns))]
+    return df.toDF(*own).select(*[F.col(a).cast(f.dataType).alias(f.name) for a, f in zip(own, like.fields)])
+
+
+def _cast_named(df: DataFrame, like: StructType) -> DataFrame:
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.fields])
+
+
 def _union(frames: list[DataFrame]) -> DataFrame | None:
-    out = None
-    for df in frames:
-        out = df if out is None else out.unionByName(df)
-    return out
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
 
 
 def _null_safe(a: DataFrame, left: list[str], b: DataFrame, right: list[str]):

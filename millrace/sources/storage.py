@@ -36,6 +36,7 @@ class Files:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._new_path, self._rename = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
         self._text = jvm.org.apache.commons.io.IOUtils
+        self._conf = conf
         self._fs = self._path("").getFileSystem(conf)
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
@@ -43,7 +44,7 @@ class Files:
     def at(spark: SparkSession, root: str) -> Files | LocalFiles:
         """The files of a root, without a call to the JVM for each where the root is on the driver's own file system."""
         files = Files(spark, root)
-        return LocalFiles(files.root, files._path("").toUri().getPath()) if files._fs.getScheme() == "file" else files
+        return LocalFiles(files.root, files._path("").toUri().getPath(), files) if files._fs.getScheme() == "file" else files
 
     def _path(self, name: str):
         return self._new_path(f"{self.root}/{name}" if name else self.root)
@@ -100,12 +101,42 @@ class Files:
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._path(name), True)
 
+    def _at(self, path: str):
+        """Any path of Spark's file systems, with its file system."""
+        target = self._new_path(path)
+        return target.getFileSystem(self._conf), target
+
+    def size(self, path: str) -> int:
+        """Bytes below a path."""
+        fs, target = self._at(path)
+        return fs.getContentSummary(target).getLength()
+
+    def data_files(self, path: str) -> dict[str, list[int]]:
+        """Data files at or below a path: their bytes and time of change by name. Hidden and temporary ones do not count."""
+        fs, target = self._at(path)
+        if not fs.exists(target):
+            return {}
+        top, found = fs.makeQualified(target).toString(), {}
+        listed = fs.listFiles(target, True)
+        while listed.hasNext():
+            status = listed.next()
+            name = status.getPath().toString()
+            if not any(p.startswith(("_", ".")) for p in name.removeprefix(top).split("/") if p):
+                found[name] = [status.getLen(), status.getModificationTime()]
+        return found
+
 
 class LocalFiles:
     """The same on the driver's own file system."""
 
-    def __init__(self, root: str, folder: str):
-        self.root, self._folder = root, Path(folder)
+    def __init__(self, root: str, folder: str, every: Files | None = None):
+        self.root, self._folder, self._every = root, Path(folder), every
+
+    def size(self, path: str) -> int:
+        return self._every.size(path)
+
+    def data_files(self, path: str) -> dict[str, list[int]]:
+        return self._every.data_files(path)
 
     def _path(self, name: str) -> Path:
         return self._folder / name
