@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import without, working
 
 #: Chunks kept with their encoding in each Python worker.
 _CACHE = 400_000
@@ -378,6 +378,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids:
     schema, names = rows.drop("__text").withColumns(new).schema, [*new]
 
     def encoded(batches):
+        working("bpe", tokenizer)
         bpe = tokenizer(path)
         for batch in batches:
             for part in slices(batch):

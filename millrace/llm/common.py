@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -33,6 +36,23 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_owner: list = []
+
+
+def working(operator: str, *caches) -> None:
+    """Says in a Python worker which operator it works for and which functools caches that fills.
+
+    Workers live on from task to task; when one changes over to another operator, what it held for the last goes and the
+    memory goes back to the system, so that a chain of operators needs no more than the largest of them."""
+    if _owner and _owner[0] != operator:
+        for cache in _owner[1]:
+            cache.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # a C library that has no such call frees by itself
+            ctypes.CDLL(None).malloc_trim(0)
+    _owner[:] = [operator, caches]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

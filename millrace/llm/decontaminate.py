@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without, words_of
+from .common import stored, without, words_of, working
 
 WINDOW = 13
 #: Words of a block of the benchmark: what is sent to the executors at once.
@@ -116,6 +116,7 @@ def index_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     names = [*rows.columns[1:], "n_words", "__shard", "__at", "__terms", "__ends", "__postings", "__sizes"]
 
     def indexed(batches):
+        working("decontaminate")
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -152,6 +153,7 @@ def term_counts(index: DataFrame, block: Block) -> np.ndarray:
     size = len(block.terms)
 
     def counted(batches):
+        working("decontaminate")
         total = np.zeros(size, np.int64)
         for batch in batches:
             for terms, ends in zip(*(c.to_pylist() for c in batch.columns)):
@@ -233,6 +235,7 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
     close = pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def searched(batches):
+        working("decontaminate")
         block = shared.value
         windows = list(block.windows())
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import without, working
 
 PROFILE = 300
 _SLICE = 1_000_000
@@ -66,6 +66,7 @@ def top_ngrams(text: str, size: int = PROFILE) -> np.ndarray:
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("langid", _letters)
     kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     held = 0
 
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, profiles: DataFrame, keep: list[str], text: str =
     schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lead": F.lit(0.0)}).schema
 
     def predicted(batches):
+        working("langid", _letters)
         for batch in batches:
             got = [model.value.predict(t) for t in batch.column(0).to_pylist()]
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]

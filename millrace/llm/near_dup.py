@@ -38,7 +38,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, words_of
+from .common import dropped, stored, words_of, working
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, PER_BAND = 10, 4
@@ -156,6 +156,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
     """idf-weight of each cell: 1 for shingles that every text has, to 1 + IDF_SHARE for cells of no more than chance."""
 
     def counted(batches):
+        working("near_dup", _hashes)
         total, rows, waiting, size = np.zeros(CELLS), 0, [], 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -191,6 +192,7 @@ def _signatures(docs: DataFrame, idf, text: str, keep: list[str]) -> DataFrame:
     schema = rows.drop("__text").withColumn("sig", F.array(F.lit(0))).schema
 
     def signed(batches):
+        working("near_dup", _hashes)
         for batch in batches:
             sigs = []
             for data in batch.column(0).to_pylist():
@@ -241,6 +243,8 @@ def _linked(idf):
     """Batches of (band, a, b, part, key, sig, text), sorted: parts a and b of a band are searched together, or a alone if they are the same."""
 
     def linked(batches):
+        working("near_dup", _hashes)
+
         def rows():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns))

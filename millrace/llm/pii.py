@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import stored, without, working
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds in order: those of the base spans, then those found by patterns only.
@@ -167,6 +167,7 @@ class _Taken:
 
 
 def _extracted(batches):
+    working("pii")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
     for batch in batches:
@@ -270,6 +271,7 @@ def redact(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame
     at = columns.index(text)
 
     def replaced(batches):
+        working("pii")
         for batch in batches:
             texts = []
             for value, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist()):
