@@ -187,13 +187,13 @@ query("ivm_insert_sum", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total,
 query("ivm_delete_sum", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": _SUM}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("groups",), rounded=("total",)))
 query("ivm_insert_avg", "SELECT user_id, ROUND(AVG(value), 6) AS avg_value FROM events GROUP BY user_id")(changed({"q": "SELECT user_id, AVG(value) AS avg_value FROM events GROUP BY user_id"}, "events", "event_id % 2 = 0", "event_id % 2 = 1", kinds=("sums",), rounded=("avg_value",), digits=6))
 query("ivm_insert_min", "SELECT o_custkey, MIN(o_totalprice) AS low FROM orders GROUP BY o_custkey")(changed({"q": "SELECT o_custkey, MIN(o_totalprice) AS low FROM orders GROUP BY o_custkey"}, "orders", _EVEN, _ODD, kinds=("sums",)))
-query("ivm_delete_max", "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders GROUP BY o_custkey"}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("groups",)))
+query("ivm_delete_max", "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders WHERE NOT o_orderkey % 3 = 0 GROUP BY o_custkey")(changed({"q": "SELECT o_custkey, MAX(o_totalprice) AS high FROM orders GROUP BY o_custkey"}, "orders", "true", less="o_orderkey % 3 = 0", kinds=("sums",)))
 query("ivm_join", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")(changed({"q": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"}, "orders", _EVEN, _ODD, kinds=("bag",)))
 query("ivm_self_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")(changed({"q": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"}, "nation", "n_nationkey < 10", "n_nationkey >= 10", kinds=("bag",)))
 query("ivm_filter", "SELECT event_id, value FROM events WHERE event_type = 'purchase'")(changed({"q": "SELECT event_id, value FROM events WHERE event_type = 'purchase'"}, "events", "event_id % 2 = 0", "event_id % 2 = 1", kinds=("bag",)))
 query("ivm_delete_filter", "SELECT event_id, value FROM events WHERE event_type = 'purchase' AND NOT event_id % 5 = 0")(changed({"q": "SELECT event_id, value FROM events WHERE event_type = 'purchase'"}, "events", "true", less="event_id % 5 = 0", kinds=("bag",)))
 query("ivm_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")(changed({"q": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12"}, "orders", _EVEN, _ODD, kinds=("groups",)))
-query("ivm_count_distinct", "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority")(changed({"q": "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority"}, "orders", _EVEN, _ODD, kinds=("groups",)))
+query("ivm_count_distinct", "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority")(changed({"q": "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority"}, "orders", _EVEN, _ODD, kinds=("sums",)))
 query("ivm_global", "SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE NOT o_orderkey % 3 = 0")(changed({"q": "SELECT COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders"}, "orders", _EVEN, _ODD, "o_orderkey % 3 = 0", kinds=("full",), rounded=("total",)))
 query("ivm_chain", "SELECT COUNT(DISTINCT o_orderpriority) AS kinds, COUNT(*) AS n FROM orders")(changed(CHAIN, "orders", _EVEN, _ODD, read="lvl3"))
 query("ivm_diamond", "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey")(changed(DIAMOND, "orders", _EVEN, _ODD, read="d"))
@@ -204,6 +204,209 @@ query("ivm_delete_sum_long", "SELECT o_custkey, SUM(o_orderkey)::BIGINT AS total
 )
 
 
+#: Queries that follow inserts into and deletes from all tables they read, by how they do; each table has an alias.
+_SPENT = "o.o_custkey = c.c_custkey AND o.o_totalprice > 150000"
+_BIG = "SELECT o.o_custkey FROM orders o WHERE o.o_totalprice > 250000"
+FOLLOWED = {
+    "left": ("bag", f"SELECT c.c_custkey, c.c_name, o.o_orderkey FROM customer c LEFT JOIN orders o ON {_SPENT}"),
+    "right": ("bag", f"SELECT o.o_orderkey, o.o_orderstatus, c.c_name FROM customer c RIGHT JOIN orders o ON {_SPENT}"),
+    "full": ("bag", f"SELECT c.c_custkey, o.o_orderkey FROM customer c FULL OUTER JOIN orders o ON {_SPENT}"),
+    "left_group": ("sums", f"SELECT c.c_mktsegment, COUNT(o.o_orderkey) AS orders_n, COUNT(*) AS n FROM customer c LEFT JOIN orders o ON {_SPENT} GROUP BY c.c_mktsegment"),
+    "semi": ("bag", f"SELECT c.c_custkey, c.c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE {_SPENT}) AND c.c_acctbal > 0"),
+    "anti": ("bag", f"SELECT c.c_custkey, c.c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE {_SPENT})"),
+    "in": ("bag", f"SELECT c.c_custkey, c.c_mktsegment FROM customer c WHERE c.c_custkey IN ({_BIG})"),
+    "not_in": ("bag", f"SELECT c.c_custkey, c.c_mktsegment FROM customer c WHERE c.c_custkey NOT IN ({_BIG})"),
+    "distinct": ("sums", "SELECT DISTINCT o.o_custkey, o.o_orderstatus FROM orders o"),
+    "union": ("sets", "SELECT c.c_nationkey AS k, c.c_mktsegment AS s FROM customer c UNION SELECT p.s_nationkey, 'supplier' FROM supplier p"),
+    "union_all": ("bag", "SELECT c.c_nationkey AS k FROM customer c UNION ALL SELECT p.s_nationkey FROM supplier p"),
+    "intersect": ("sets", "SELECT c.c_nationkey AS k FROM customer c INTERSECT SELECT p.s_nationkey FROM supplier p"),
+    "intersect_all": ("sets", "SELECT c.c_nationkey AS k FROM customer c INTERSECT ALL SELECT p.s_nationkey FROM supplier p"),
+    "except": ("sets", f"SELECT c.c_custkey AS k FROM customer c EXCEPT {_BIG}"),
+    "except_all": ("sets", "SELECT c.c_nationkey AS k FROM customer c EXCEPT ALL SELECT p.s_nationkey FROM supplier p"),
+    "min_max": ("sums", "SELECT o.o_custkey, MIN(o.o_totalprice) AS low, MAX(o.o_orderdate) AS latest, COUNT(*) AS n FROM orders o GROUP BY o.o_custkey"),
+    "count_distincts": ("sums", "SELECT o.o_orderpriority, COUNT(DISTINCT o.o_custkey) AS customers, COUNT(DISTINCT o.o_orderstatus) AS states FROM orders o GROUP BY o.o_orderpriority"),
+    "window": ("windows", "SELECT o.o_orderkey, ROW_NUMBER() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS rn, COUNT(*) OVER (PARTITION BY o.o_custkey) AS n FROM orders o"),
+    "running": ("windows", "SELECT o.o_custkey, o.o_orderkey, COUNT(*) OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM orders o"),
+    "top": ("top", "SELECT o.o_orderkey, o.o_totalprice FROM orders o ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
+    "rollup": ("sums", "SELECT o.o_orderpriority, o.o_orderstatus, COUNT(*) AS n FROM orders o GROUP BY ROLLUP (o.o_orderpriority, o.o_orderstatus)"),
+    "cube": ("sums", "SELECT o.o_orderpriority, o.o_orderstatus, COUNT(*) AS n FROM orders o GROUP BY CUBE (o.o_orderpriority, o.o_orderstatus)"),
+    "grouping_sets": ("sums", "SELECT o.o_orderpriority, o.o_orderstatus, COUNT(*) AS n FROM orders o GROUP BY GROUPING SETS ((o.o_orderpriority), (o.o_orderstatus), ())"),
+    "derived": ("bag", f"SELECT c.c_name, d.n FROM customer c JOIN (SELECT o.o_custkey AS k, COUNT(*) AS n FROM orders o GROUP BY o.o_custkey) d ON d.k = c.c_custkey WHERE d.n > 8"),
+    "cte": ("sums", "WITH per AS (SELECT o.o_custkey AS k, COUNT(*) AS n FROM orders o GROUP BY o.o_custkey), rich AS (SELECT c.c_custkey AS k, c.c_mktsegment AS s FROM customer c WHERE c.c_acctbal > 2000) SELECT rich.s, COUNT(*) AS customers, MAX(per.n) AS most FROM rich LEFT JOIN per ON per.k = rich.k GROUP BY rich.s"),
+}
+#: Key of each table that the queries above read, and which rows go.
+_GONE = {"orders": ("o_orderkey", 3), "customer": ("c_custkey", 7), "supplier": ("s_suppkey", 5)}
+
+
+def followed(text: str, kind: str, insert: bool):
+    """The node over half of the rows of each table, then the other half appended table by table; or over all of them, then
+    some deleted. Every refresh must be from the change."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = [t for t in _GONE if f" {t} " in text]
+        p = project(spark, sf_dir, {"q": text}, tuple(f"public.{t}" for t in used))
+        rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+        half = {t: F.pmod(_GONE[t][0], F.lit(2)) for t in used}
+        for t in used:
+            p.attach(t, rows[t].where(half[t] == 0) if insert else rows[t])
+        p.apply()
+        for t in used:
+            if insert:
+                p.append(t, rows[t].where(half[t] == 1))
+            else:
+                p.delete(t, rows[t].where(F.pmod(_GONE[t][0], F.lit(_GONE[t][1])) == 0))
+            done = p.refresh()
+            if set(done.values()) != {kind}:
+                raise AssertionError(f"refreshed as {done}")
+        return p.read("q")
+
+    return run
+
+
+def left_over(text: str) -> str:
+    """The same over the rows that deletes leave."""
+    for t, (key, n) in _GONE.items():
+        text = text.replace(f" {t} ", f" (SELECT * FROM {t} WHERE {key} % {n} <> 0) ")
+    return text
+
+
+for _name, (_kind, _text) in FOLLOWED.items():
+    query(f"ivm_{_name}_insert", _text)(followed(_text, _kind, True))
+    query(f"ivm_{_name}_delete", left_over(_text))(followed(_text, _kind, False))
+
+
+class Broken(Exception):
+    """A write that was made to fail."""
+
+
+def retried(text: str, kind: str):
+    """Refreshes that fail after the first write, the second and so on, and at the commit, until one does not."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = project(spark, sf_dir, {"q": text}, ("public.orders",))
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        p.attach("orders", rows.where(_EVEN))
+        p.apply()
+        p.append("orders", rows.where(_ODD))
+        put, failed = p.tables.records.put, 0
+        while True:
+            writes = []
+
+            def written(path: str) -> None:
+                writes.append(path)
+                if len(writes) == failed:
+                    raise Broken
+
+            def commit(family: str, key, value: dict) -> None:
+                if family == "tables" and key == "public.q" and not failed:
+                    raise Broken
+                put(family, key, value)
+
+            p.tables.written, p.tables.records.put = written, commit
+            try:
+                done = p.refresh()
+                break
+            except Broken:
+                failed += 1
+            finally:
+                p.tables.written, p.tables.records.put = (lambda path: None), put
+        if failed < 2 or set(done.values()) != {kind}:
+            raise AssertionError(f"{failed} failures, then refreshed as {done}")
+        return p.read("q")
+
+    return run
+
+
+query("ivm_retry_sum", _V1 := "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")(retried(_V1, "sums"))
+query("ivm_retry_bag", FOLLOWED["left"][1])(retried(FOLLOWED["left"][1], "bag"))
+query("ivm_retry_sets", FOLLOWED["except"][1])(retried(FOLLOWED["except"][1], "sets"))
+
+
+@query("ivm_race", "SELECT o_custkey, COUNT(*) AS n, MAX(o_orderkey) AS latest FROM orders GROUP BY o_custkey")
+def ivm_race(spark, sf_dir):
+    """Rows are appended at each write of a refresh and of a whole fill; the refresh after that has each of them once."""
+    p = project(spark, sf_dir, {"q": "SELECT o_custkey, COUNT(*) AS n, MAX(o_orderkey) AS latest FROM orders GROUP BY o_custkey"}, ("public.orders",))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    left = [f"o_orderkey % 8 = {k}" for k in range(1, 8)]
+    p.attach("orders", rows.where("o_orderkey % 8 = 0"))
+
+    def written(path: str) -> None:
+        if "/public.q" in path and left:
+            p.append("orders", rows.where(left.pop()))
+
+    p.tables.written = written
+    p.apply()
+    while left:
+        p.append("orders", rows.where(left.pop()))
+        p.refresh()
+    p.tables.written = lambda path: None
+    p.refresh()
+    return p.read("q")
+
+
+def in_files(replace: bool):
+    """A source in a folder that others write to: new files are added rows, files that went or were replaced count anew."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = project(spark, sf_dir, {"q": "SELECT event_type, COUNT(*) AS n, MAX(event_id) AS latest FROM events GROUP BY event_type", "r": "SELECT event_id FROM events WHERE event_type = 'click'"}, ("public.events",))
+        rows, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{scratch(spark, 'files')}/events"
+        rows.where("event_id % 3 = 0").write.parquet(folder)
+        p.attach("events", folder)
+        p.apply()
+        rows.where("event_id % 3 = 1").write.mode("append").parquet(folder)
+        first = p.refresh()
+        if replace:
+            rows.where("event_id % 3 <> 0").write.mode("overwrite").parquet(folder)
+        else:
+            p.append("events", rows.where("event_id % 3 = 2 AND event_id % 2 = 0"))
+            rows.where("event_id % 3 = 2 AND event_id % 2 = 1").write.mode("append").parquet(folder)
+        done = p.refresh()
+        if list(first.values()) != ["sums", "bag"] or list(done.values()) != (["full", "full"] if replace else ["sums", "bag"]) or set(p.refresh().values()) != {"none"}:
+            raise AssertionError(f"refreshed as {first}, {done}")
+        return p.read("q").join(p.read("r").agg(F.count("*").alias("clicks")))
+
+    return run
+
+
+_FILES = "SELECT event_type, COUNT(*) AS n, MAX(event_id) AS latest, (SELECT COUNT(*) FROM events WHERE event_type = 'click'{}) AS clicks FROM events{} GROUP BY event_type"
+query("cdc_files", _FILES.format("", ""))(in_files(False))
+query("cdc_replaced", _FILES.format(" AND event_id % 3 <> 0", " WHERE event_id % 3 <> 0"))(in_files(True))
+
+
+@query("ivm_touched_buckets", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def ivm_touched_buckets(spark, sf_dir):
+    """One customer's order arrives last: only the bucket of that key is written anew, all others stay as they were."""
+    p = project(spark, sf_dir, {"q": _V1}, ("public.orders",))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    last = rows.agg(F.max("o_orderkey")).first()[0]
+    p.attach("orders", rows.where(F.col("o_orderkey") != last))
+    p.apply()
+    place = lambda: [e["folders"][a] if a >= 0 else None for e in [p.tables.entry("public.q")] for a in e["at"]]
+    before = place()
+    p.append("orders", rows.where(F.col("o_orderkey") == last))
+    p.refresh()
+    if sum(a != b for a, b in zip(before, place())) != 1:
+        raise AssertionError("more than one bucket was written")
+    return p.read("q")
+
+
+@query("ivm_avg_long", "SELECT o_orderpriority, ROUND(AVG(o_orderkey::DOUBLE * 1000000000000000), -12) AS mean FROM orders GROUP BY o_orderpriority")
+def ivm_avg_long(spark, sf_dir):
+    """Averages of integers whose sum is beyond 64 bits."""
+    p = project(spark, sf_dir, {"q": "SELECT o_orderpriority, AVG(big) AS mean FROM orders GROUP BY o_orderpriority"}, ("public.orders",))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", (F.col("o_orderkey") * F.lit(10**15)).alias("big"))
+    p.attach("orders", rows.where(_EVEN))
+    p.apply()
+    p.append("orders", rows.where(_ODD))
+    if set(p.refresh().values()) != {"sums"}:
+        raise AssertionError("not from the change")
+    return p.read("q").withColumn("mean", F.round("mean", -12))
+
+
+_YEARS = "SELECT EXTRACT(YEAR FROM o.o_orderdate) AS y, COUNT(*) AS n, MAX(SUBSTRING(o.o_orderpriority FROM 1 FOR 3)) AS p FROM orders o GROUP BY EXTRACT(YEAR FROM o.o_orderdate)"
+query("ivm_extract", _YEARS.replace("AS y", "AS y"))(followed(_YEARS, "sums", True))
+
+
 def swallowed(value: str):
     """Doubles of which some would swallow the others of a sum; those rows go again."""
 
@@ -274,7 +477,6 @@ def evolved(before: str, after: str, expect: str):
     return run
 
 
-_V1 = "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey"
 for _key, _before, _after, _class in (
     ("inplace_add_sum", _V1, "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey", "in-place"),
     ("inplace_drop_tail", "SELECT o_custkey, COUNT(*) AS n, MIN(o_totalprice) AS low FROM orders GROUP BY o_custkey", _V1, "in-place"),
