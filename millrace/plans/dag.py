@@ -114,18 +114,8 @@ def edges(spark: SparkSession, state: State) -> DataFrame:
 
 
 def levels(spark: SparkSession, state: State) -> DataFrame:
-    """Depth of every node: 0 for nodes that read sources only; by a recursive query over the edges."""
-    names = [(str(n.name),) for n in state.nodes]
-    spark.createDataFrame(names, "name string").createOrReplaceTempView("mr_level_nodes")
-    edges(spark, state).createOrReplaceTempView("mr_level_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE own AS (SELECT e.src, e.dst FROM mr_level_edges e JOIN mr_level_nodes n ON e.src = n.name),
-        walk(name, depth) AS (
-          SELECT name, 0 FROM mr_level_nodes WHERE name NOT IN (SELECT dst FROM own)
-          UNION ALL
-          SELECT own.dst, walk.depth + 1 FROM walk JOIN own ON own.src = walk.name
-        )
-        SELECT name, max(depth) AS depth FROM walk GROUP BY name
-        """
-    )
+    """Depth of every node: 0 for nodes that read sources only, else one more than the deepest node that it reads."""
+    depth: dict[Name, int] = {}
+    for name in topological(state):
+        depth[name] = max((depth[d] + 1 for d in state.node(name).depends_on if d in depth), default=0)
+    return spark.createDataFrame([(str(n), d) for n, d in depth.items()], "name string, depth int")

@@ -8,36 +8,59 @@ from ..model import Plan
 from .cost import StepCost
 
 
-def _s(n: int, word: str) -> str:
-    return f"{n} {word}{'' if n == 1 else 's'}"
+#: What each class of change means for the data, dearest first.
+EFFORT = {
+    "blue-green": "built beside the old table, then swapped in",
+    "rebuild": "filled anew from its inputs",
+    "in-place": "kept, with columns added or cut",
+    "free": "settings only, no data is read",
+}
 
 
-def _from(plan: Plan) -> str:
-    return f"v{plan.from_version}" if plan.from_version else "(new)"
+def _title(plan: Plan) -> str:
+    return f"{plan.project}: first version" if not plan.from_version else f"{plan.project}: version {plan.from_version} to {plan.to_version}"
+
+
+def _by_effort(plan: Plan):
+    """(class, its changes) of the classes that occur, dearest first; any other class comes last."""
+    changes = plan.summary.changes
+    for cls in [*EFFORT, *sorted({c.cls for c in changes} - set(EFFORT))]:
+        if own := [c for c in changes if c.cls == cls]:
+            yield cls, own
+
+
+def _size(cost: StepCost | None) -> str:
+    if cost is None or cost.rows is None:
+        return ""
+    return f"about {cost.rows:,} rows, {cost.duration}"
 
 
 def text(plan: Plan, costs: list[StepCost] | None = None) -> str:
-    head = f"Project  {plan.project}  {_from(plan)} → v{plan.to_version}\n\n"
+    """What happens to which table, dearest first, then the steps in order, each with its size where that is known."""
     if plan.empty:
-        return head + "No changes detected. Plan is a no-op.\n"
-    lines = [f"Changes  {_s(plan.summary.total, 'node')} affected", ""]
-    lines += [f"  {c.symbol} {c.name:30}  [{c.cls:10}]  {c.description}" for c in plan.summary.changes]
-    if costs:
-        lines += ["", f"  {'Step':<35} {'Rows (est)':<15} {'Duration (est)':<15} Class", "  " + "─" * 80]
-        quiet = ("Acquire", "Record", "Release", "Validate")
-        lines += [f"  {c.step:<35} {'—' if c.rows is None else c.rows:<15} {c.duration:<15} {c.cls}" for c in costs if not (c.cls == "free" and c.step.startswith(quiet))]
-    if plan.summary.rebuild:
-        lines += ["", f"  ⚠  {_s(plan.summary.rebuild, 'step')} will trigger a FULL refresh."]
-    return head + "\n".join(lines) + "\n"
+        return f"{plan.project} is as its files say; nothing to do.\n"
+    out = [_title(plan)]
+    for cls, changes in _by_effort(plan):
+        out += ["", f"{cls}: {EFFORT.get(cls, 'as described')}"]
+        out += [f"    {c.name}: {c.description}" for c in changes]
+    out += ["", "in this order:"]
+    digits = len(str(len(plan.steps)))
+    for k, step in enumerate(plan.steps):
+        size = _size(costs[k]) if costs and len(costs) == len(plan.steps) else ""
+        out.append(f"  {k + 1:{digits}}. {step.describe()}" + (f" ({size})" if size else ""))
+    return "\n".join(out) + "\n"
 
 
 def markdown(plan: Plan) -> str:
-    head = f"## plan\n\n**Project:** `{plan.project}`  **Version:** {_from(plan)} → v{plan.to_version}\n\n"
+    """The same for a pull request: a list for each class, the steps folded away."""
     if plan.empty:
-        return head + "_No changes detected. Plan is a no-op._\n"
-    rows = [f"| `{c.symbol}` | `{c.name}` | {c.cls} | {c.description} |" for c in plan.summary.changes]
-    tail = [f"\n> ⚠️ {_s(plan.summary.rebuild, 'rebuild step')} will trigger a FULL refresh."] if plan.summary.rebuild else []
-    return head + "\n".join([f"**{_s(plan.summary.total, 'change')}**", "", "| Symbol | Table | Class | Description |", "|---|---|---|---|", *rows, *tail]) + "\n"
+        return f"### {plan.project}\n\nThe tables are as the files say.\n"
+    out = [f"### {_title(plan)}"]
+    for cls, changes in _by_effort(plan):
+        out += ["", f"**{cls}** ({EFFORT.get(cls, 'as described')})", ""]
+        out += [f"- `{c.name}` {c.description}" for c in changes]
+    steps = [f"{k + 1}. {s.describe()}" for k, s in enumerate(plan.steps)]
+    return "\n".join([*out, "", f"<details><summary>{len(steps)} steps</summary>", "", *steps, "", "</details>"]) + "\n"
 
 
 def as_json(plan: Plan) -> str:
@@ -70,5 +93,6 @@ def yaml(plan: Plan) -> str:
 
 
 def status(report: dict) -> str:
-    rows = [("Project", report["project"]), ("Version", report["version"] or "(none)"), ("Applied at", report.get("applied_at") or "-"), ("Applied by", report.get("applied_by") or "-"), ("Nodes", report["nodes"]), ("Drift", report["drift"])]
-    return "\n".join(f"{k:<12}{v}" for k, v in rows) + "\n"
+    version = f"version {report['version']}, applied {report.get('applied_at')} by {report.get('applied_by')}" if report["version"] else "never applied"
+    waiting = f"{report['drift']} changes wait to be applied" if report["drift"] else "as its files say"
+    return f"{report['project']}: {version}; nodes: {report['nodes']}; {waiting}\n"

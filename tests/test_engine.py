@@ -98,7 +98,7 @@ def test_lifecycle(spark, tmp_path):
     p = project(spark, {"totals": TOTALS, "top": "SELECT k, s FROM totals WHERE s > 1"})
     plan = p.plan()
     assert planner.restore(planner.save(plan), p._desired).to_json() == plan.to_json()
-    assert "public.totals" in render.text(plan, p.cost(plan)) and "| `+` |" in render.markdown(plan) and "steps:" in render.yaml(plan) and json.loads(render.as_json(plan))
+    assert "rebuild: filled anew" in render.text(plan, p.cost(plan)) and "- `public.totals`" in render.markdown(plan) and "steps:" in render.yaml(plan) and json.loads(render.as_json(plan))
     assert p.apply(dry_run=True)["status"] == "dry-run" and p.catalog.latest("proj") is None
     p.apply(plan)
     assert p.plan().empty and p.apply()["status"] == "empty"
