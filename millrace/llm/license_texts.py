@@ -72,16 +72,24 @@ NOTICES += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the
 
 #: (digest of the canonical form, licence) of long texts, as distributions ship them.
 DIGESTS = [
-    ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),
+    ("e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", "Apache-2.0"),
+    ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2", "Artistic-1.0"),
+    ("4dd2d8faa991a43111f73718974d1a9133ba1453cd76d174da75d163e35fa974", "CC-BY-SA-4.0"),
     ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+    ("5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71", "GFDL-1.2"),
+    ("93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6", "GFDL-1.3"),
     ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "GPL-1.0"),
-    ("b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "GPL-2.0"),
-    ("f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f", "GPL-3.0"),
-    ("9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", "LGPL-2.0"),
-    ("cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345", "LGPL-2.1"),
+    ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "GPL-2.0"),
+    ("a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", "GPL-3.0"),
+    ("78d12b012407f04494ad9447817157c702f9bc389600604ae4e0d6a025f6d32f", "ISC"),
+    ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "LGPL-2.0"),
+    ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "LGPL-2.1"),
     ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
-    ("fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354", "MPL-1.1"),
-    ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", "MPL-2.0"),
+    ("3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1", "MPL-1.1"),
+    ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", "MPL-2.0"),
+    ("bb6c44416437f5ab412ca9d762d4bdae1dc4e6a9c5afc9ac0965eb5e57b4e055", "NCSA"),
+    ("a4915a2dcd67c648b73ad8364858cba28bbfb700e62ca5847e2c30544066e01a", "OFL-1.1"),
+    ("53113a39b79251016cf92b8348f303cee44e4faee1f232536754abc669dd32c8", "Unicode-3.0"),
     ("7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd", "Unlicense"),
 ]
 

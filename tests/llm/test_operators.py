@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -145,6 +146,23 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none, ["doc_id"]).count() == 0 and licenses.scan(docs, ["doc_id"]).count() == len(TEXTS_)
 
 
+def test_licenses_at_every_width(spark):
+    """Wrapped anywhere, with titles and notices of one and of several lines."""
+    known = dict(licenses.known())
+    digest = lambda t: known.get(hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest())
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(" ".join(p.split()), w) for p in t.split("\n\n"))
+    texts = []
+    for name, title, body in TEXTS:
+        for width in range(30, 130):
+            text = wrap(body, width)
+            assert digest(text) == name, (name, width)
+            if width % 25 == 5:
+                heads = [f"The {title} ({name})\n\nCopyright (c) 2020, 2021 A. Person\n", f"{title}\n\nCopyright 2019 A. Person,\n  B. Person and others\nfor Some Company\n", "(C) 2001 by A. Person\nAll rights reserved.\n", f"/* {title}\n * Copyright © 2020 A\n */\n"]
+                texts += [(name, f"{h}\n{text}") for h in heads]
+    got = {r["text"]: r["license_id"] for r in licenses.scan(frame(spark, [t for _, t in texts]), ["text"]).collect()}
+    assert [(n, got[t]) for n, t in texts] == [(n, n) for n, _ in texts]
+
+
 def test_long_licenses(spark):
     folder = "/usr/share/common-licenses"
     named = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
