@@ -236,6 +236,42 @@ def set_operation(query: str) -> tuple[str, str, str] | None:
     return op + (" all" if word == "all" else ""), "".join(toks[: cuts[0]]).strip(), right.strip()
 
 
+_RECURSION = re.compile(r"(?is)\s*with\s+recursive\s+([a-z_]\w*)\s*(\([\w\s,]*\))?\s*as\s*\(")
+
+
+def _recursion_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
+    """The query over one recursive WITH entry, and that entry alone; None if it is that alone, or has others."""
+    m = _RECURSION.match(query)
+    if not m:
+        return None
+    depth, end, rest = 1, 0, tokens(query[m.end() :])
+    for end, t in enumerate(rest):
+        depth += (t == "(") - (t == ")")
+        if not depth:
+            break
+    outer = "".join(rest[end + 1 :]).strip().rstrip(";").strip()
+    name = m[1].lower()
+    if not outer.lower().startswith("select") or re.fullmatch(rf"(?is)select\s+\*\s+from\s+{name}", outer):
+        return None
+    return outer, [(name, f"{query[: m.end()].strip()}{''.join(rest[:end])}) SELECT * FROM {name}")]
+
+
+def recursion(query: str) -> tuple[Name, list[str], Block, Block] | None:
+    """(own name, column names, start, step) of WITH RECURSIVE r AS (start UNION step) SELECT * FROM r, where step reads r once."""
+    m = _RECURSION.match(query)
+    body = re.fullmatch(rf"(?is)(.*)\)\s*select\s+\*\s+from\s+{re.escape(m[1])}\s*;?\s*", query[m.end() :]) if m else None
+    cut = set_operation(body[1]) if body else None
+    if not cut or cut[0] != "union":
+        return None
+    start, step = block_of(cut[1]), block_of(cut[2])
+    own = Name.parse(m[1])
+    if start is None or step is None or own in start.tables or step.tables.count(own) != 1 or any(b.group or b.having for b in (start, step)):
+        return None
+    if not all(b.linear(i) for b in (start, step) for i in range(len(b.tables))):
+        return None
+    return own, listed(m[2][1:-1]) if m[2] else [], start, step
+
+
 def blocks_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
     """The query over its derived tables and WITH entries by name, and these (name, query); None if they cannot be taken out."""
     found: list[tuple[str, str]] = []
@@ -255,7 +291,9 @@ def blocks_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
         i = skip(i + 1)
         while True:
             name, at = toks[i], skip(i + 1)
-            if name.lower() == "recursive" or at >= len(toks) or toks[at].lower() != "as":
+            if name.lower() == "recursive":
+                return _recursion_of(query)
+            if at >= len(toks) or toks[at].lower() != "as":
                 return None
             begin = skip(at + 1)
             end = close(begin)

@@ -14,6 +14,8 @@ sets     UNION, INTERSECT, EXCEPT (ALL): how often each row is on each side
 groups   HAVING, expressions over aggregates, floating sums after deletes: groups that the change touches, again
 windows  partitions that the change touches, again
 top      ORDER BY and LIMIT: the first rows and a reserve, refilled when deletes exhaust it
+closure  WITH RECURSIVE .. UNION ..: round by round, only the rows of the last round are joined again; added rows start from
+         what they add, removed ones take back what may rest on them, and what has another ground comes again
 full     anything else
 
 Derived tables and WITH entries are hidden nodes of their own, whose changes feed the query around them.
@@ -33,7 +35,7 @@ from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, Long
 from ..model import Mode, Name, Node
 from ..plans.shape import Shape, listed, references, relocate, shape
 from ..sources.tables import Conflict, Tables, bucket_of
-from .deltas import Block, block_of, blocks_of, set_operation
+from .deltas import Block, block_of, blocks_of, recursion, set_operation
 
 _ALIAS = re.compile(r"^(.*?)(?:\s+AS\s+(\w+|`[^`]+`)|(?<=[\w)'`])\s+(?!(?:end|null|true|false)$)(\w+))?$", re.I | re.S)
 _CALL = re.compile(r"^\s*(sum|count|avg|mean|min|max)\s*\((.*)\)\s*$", re.I | re.S)
@@ -72,7 +74,7 @@ class Rule:
 
     @property
     def tables(self) -> list[Name]:
-        return [n for b in self.blocks for n in b.tables]
+        return [n for b in self.blocks for n in b.tables if str(n) != self.op]
 
 
 _FULL = Rule("full")
@@ -82,8 +84,11 @@ _bare = lambda x: re.sub(r"\s+", "", x.lower()).rsplit(".", 1)[-1] if re.fullmat
 
 def rule_for(spark: SparkSession, query: str) -> Rule:
     s: Shape = shape(spark, query)
-    if s.command or s.volatile or not s.relations or "with" in s.clauses:
+    if s.command or s.volatile or not s.relations:
         return _FULL
+    if "with" in s.clauses:
+        found = recursion(query)
+        return Rule("closure", list(found[2:]), found[1], op=str(found[0])) if found else _FULL
     if s.set_op:
         return _set_rule(spark, query)
     if s.clauses.get("globallimit") or s.clauses.get("sort"):
@@ -219,7 +224,20 @@ class Refresher:
     # queries over versions
 
     def frame(self, query: str, versions: dict[str, int] | None = None) -> DataFrame:
-        """The query over current (or given) versions of what it reads; other names are left to the session."""
+        """The query over current (or given) versions of what it reads; other names are left to the session.
+
+        A recursion of UNION, which Spark's SQL does not have, is closed first."""
+        cut = blocks_of(query) if re.match(r"(?i)\s*with\s+recursive\b", query) else None
+        if rule_for(self.spark, cut[1][0][1] if cut else query).kind == "closure":
+            name, text = cut[1][0] if cut else ("", query)
+            run = _Run(Node(Name("public", "mr_closure"), text), rule_for(self.spark, text), versions or self.inputs(query))
+            whole = self.tables.frame(self._fill_closure(run, text))
+            if not cut:
+                return whole
+            with _Views(self.spark) as views:
+                own = views.of((name,), lambda: whole)
+                rename = lambda n, _: f"{own}" if n == Name.parse(name) else self._view(views, n, (versions or {}).get(str(n)))
+                return self.spark.sql(relocate(cut[0], rename))
         with _Views(self.spark) as views:
             return self.spark.sql(self._placed(query, lambda n: self._view(views, n, (versions or {}).get(str(n)))))
 
@@ -642,6 +660,69 @@ class Refresher:
         added, removed = self._kept(run, a.exceptAll(b)), self._kept(run, b.exceptAll(a))
         return now | {"plus": added, "minus": removed, "states": {"reserve": kept}}
 
+    # closure: rounds of a recursion, each from the rows that the last one found
+
+    def _round(self, run: _Run, rows: DataFrame, versions: dict[str, int], like: StructType) -> DataFrame:
+        """What the step makes of rows."""
+        step = run.rule.blocks[1]
+        with _Views(self.spark) as views:
+            names = [views.of(("rows",), lambda: rows) if str(n) == run.rule.op else self._view(views, n, versions[str(n)]) for n in step.tables]
+            return _cast(self.spark.sql(step.sql(names)), like)
+
+    def _closed(self, run: _Run, have: list[str], first: DataFrame, versions: dict[str, int], like: StructType, within: DataFrame | None = None) -> list[str]:
+        """Folders of the rows that follow from the first ones, these included, and are not in `have`; each round is written."""
+        out: list[str] = []
+        while True:
+            new = first.distinct() if within is None else first.intersect(within)
+            kept = self._kept(run, new.subtract(self.tables._read(have + out, _ddl(like))) if have or out else new)
+            if not kept:
+                return out
+            out += kept
+            first = self._round(run, self.tables._read(kept, _ddl(like)), versions, like)
+
+    def _start(self, run: _Run, like: StructType | None = None) -> DataFrame:
+        df = self._over(run, run.rule.blocks[0])
+        return _cast(df, like) if like else df.toDF(*run.rule.keys) if run.rule.keys else df
+
+    def _fill_closure(self, run: _Run, query: str) -> dict:
+        first = self._start(run)
+        like = first.schema
+        return {"paths": self._closed(run, [], first, run.now, like), "schema": _ddl(like)}
+
+    def _moved(self, run: _Run, rows: DataFrame, like: StructType) -> dict[int, DataFrame | None]:
+        """What the changes add (1) and take away (-1) at the start and in one step from rows."""
+        start, step = run.rule.blocks
+        parts = self._signed(run, start)
+        with _Views(self.spark) as views:
+
+            def view(name: Name, role: str) -> str | None:
+                key = str(name)
+                if key == run.rule.op:
+                    return views.of((key,), lambda: rows)
+                if role in ("new", "old"):
+                    return self._view(views, name, (run.now if role == "new" else run.old)[key])
+                df = run.changes[key][role == "minus"]
+                return None if df is None else views.of((key, role), lambda: df)
+
+            parts += [(sign, self.spark.sql(text)) for sign, text in step.signed(set(run.changes), view)]
+        return {s: _union([_cast(df, like) for sign, df in parts if sign == s]) for s in (1, -1)}
+
+    def _again_closure(self, run: _Run, held: dict) -> dict:
+        like, paths = StructType.fromDDL(held["schema"]), held["paths"]
+        rows = self.tables.frame(held)
+        moved = self._moved(run, rows, like)
+        if moved[-1] is None:
+            added = self._closed(run, paths, moved[1], run.now, like) if moved[1] is not None else []
+            return {"paths": paths + added, "schema": held["schema"], "plus": added, "minus": [], "full": False}
+        doubtful = self.tables._read(self._closed(run, [], moved[-1], run.old, like, within=rows), _ddl(like))
+        stay = self._kept(run, rows.subtract(doubtful))
+        left = self.tables._read(stay, _ddl(like))
+        again = self._start(run, like).unionByName(self._round(run, left, run.now, like))
+        found = self._closed(run, stay, again, run.now, like)
+        now = self.tables._read(stay + found, _ddl(like))
+        added, removed = self._kept(run, now.subtract(rows)), self._kept(run, doubtful.subtract(now))
+        return {"paths": stay + found, "schema": held["schema"], "plus": added, "minus": removed, "full": False}
+
     # definitions that change
 
     def evolve(self, node: Node, old_query: str) -> str:

@@ -234,6 +234,11 @@ FOLLOWED = {
     "derived": ("bag", f"SELECT c.c_name, d.n FROM customer c JOIN (SELECT o.o_custkey AS k, COUNT(*) AS n FROM orders o GROUP BY o.o_custkey) d ON d.k = c.c_custkey WHERE d.n > 8"),
     "cte": ("sums", "WITH per AS (SELECT o.o_custkey AS k, COUNT(*) AS n FROM orders o GROUP BY o.o_custkey), rich AS (SELECT c.c_custkey AS k, c.c_mktsegment AS s FROM customer c WHERE c.c_acctbal > 2000) SELECT rich.s, COUNT(*) AS customers, MAX(per.n) AS most FROM rich LEFT JOIN per ON per.k = rich.k GROUP BY rich.s"),
 }
+FOLLOWED["closure"] = (
+    "bag",
+    "WITH RECURSIVE r(root, reached) AS (SELECT c.c_custkey, c.c_custkey FROM customer c WHERE c.c_acctbal > 9900 "
+    "UNION SELECT r.root, o.o_orderkey % 1500 + 1 FROM r JOIN orders o ON o.o_custkey = r.reached AND o.o_totalprice > 250000) SELECT root, reached FROM r WHERE reached <> root",
+)
 #: Key of each table that the queries above read, and which rows go.
 _GONE = {"orders": ("o_orderkey", 3), "customer": ("c_custkey", 7), "supplier": ("s_suppkey", 5)}
 
@@ -319,6 +324,7 @@ def retried(text: str, kind: str):
 
 query("ivm_retry_sum", _V1 := "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")(retried(_V1, "sums"))
 query("ivm_retry_bag", FOLLOWED["left"][1])(retried(FOLLOWED["left"][1], "bag"))
+query("ivm_retry_closure", FOLLOWED["closure"][1])(retried(FOLLOWED["closure"][1], "bag"))
 query("ivm_retry_sets", FOLLOWED["except"][1])(retried(FOLLOWED["except"][1], "sets"))
 
 

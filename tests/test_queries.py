@@ -1,6 +1,7 @@
-"""Registered queries against DuckDB over the smallest tables."""
+"""Registered queries against DuckDB over the smallest tables; several run side by side, as each only reads the tables."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -8,23 +9,42 @@ import pytest
 from millrace import queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["node_window", "ivm_delete_max", "inplace_add_sum", "classify_matrix", "plan_steps", "diff_rows", "query_checks", "lint_rules", "dag_levels", "stream_events", "preview_sample", "node_json", "node_map", "node_arrays", "node_date_parts"]
+#: Names to compare, all by default.
+SOME = os.environ.get("QUERIES", "").split()
 
 
 def plain(rows):
     return sorted((tuple(round(float(x), 4) if isinstance(x, float) else x for x in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", SOME if os.environ.get("FEW", "1") == "1" else sorted(queries.SQL))
-def test_query(spark, name):
+@pytest.fixture(scope="module")
+def results(spark):
+    """Columns and rows of every query, or what it raised."""
+
+    def run(name):
+        try:
+            got = queries.Q[name](spark, SF)
+            order = sorted(got.columns)
+            return order, plain(got.select(*order).collect())
+        except Exception as e:  # shown by the query's own test
+            return e
+
+    names = SOME or sorted(queries.SQL)
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(names, pool.map(run, names)))
+
+
+@pytest.mark.parametrize("name", SOME or sorted(queries.SQL))
+def test_query(results, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    got = queries.Q[name](spark, SF)
+    order, rows = results[name]
     want = con.sql(queries.SQL[name])
-    order = sorted(got.columns)
     assert order == sorted(want.columns)
-    assert plain(got.select(*order).collect()) == plain(want.select(*order).fetchall())
+    assert rows == plain(want.select(*order).fetchall())
 
 
 def test_entry(spark):
