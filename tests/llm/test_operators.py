@@ -319,6 +319,7 @@ def test_rules(spark, none):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_metrics(t), t
     assert got[4]["kept"] and not got[0]["kept"]
     order = rules.rule_order(frame(spark, texts), rules.rules())
+    assert all(rules.rule_order(frame(spark, texts[::-1]).repartition(k), rules.rules()) == order for k in (1, 3, 7))
     assert sorted(order) == sorted(rules.rules())
     other = {r["doc_id"]: r["kept"] for r in rules.apply_rules(frame(spark, texts), ["doc_id"], order=order[::-1]).collect()}
     assert other == {k: r["kept"] for k, r in got.items()}
