@@ -1,5 +1,6 @@
 """Each operator on a small table with every awkward case, against a plain version."""
 
+import collections
 import hashlib
 import itertools
 import os
@@ -65,6 +66,37 @@ def test_language(spark, docs, none):
     assert langid.identify(none, profiles, ["doc_id"]).count() == 0
 
 
+def test_language_by_plain_distances(spark):
+    """Predictions and scores against out-of-place distances counted one by one, ties between languages included."""
+    rng = random.Random(6)
+    speak = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    kinds = {"aa": "abcde", "bb": "cdefg", "cc": "éàçxyz", "dd": "абвгд", "zz": "abcde"}
+    train = [(lang, speak(letters, 40)) for lang, letters in kinds.items() if lang != "zz" for _ in range(5)]
+    train += [("zz", t) for lang, t in train if lang == "aa"]  # the same profile twice: the language that sorts first wins
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+
+    def grams(text):
+        padded = " " + re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+        return [padded[i : i + k] for k in (1, 2, 3) for i in range(len(padded) - k + 1) if padded[i : i + k] != " "] if padded.strip() else []
+
+    def ranked(all_grams):
+        counts = collections.Counter(all_grams)
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.PROFILE]
+
+    profiles = {lang: {g: i for i, g in enumerate(ranked([g for own, t in train if own == lang for g in grams(t)]))} for lang in kinds}
+    texts = [speak(rng.choice(list(kinds.values())), rng.randint(1, 60)) + rng.choice(["", " 12!", "\n\n"]) for _ in range(60)] + ["ghij", "a", "1 2", "qqq www", "Ab  aB\tab"]
+    learned = langid.learn_profiles(frame(spark, [t for _, t in train]).drop("lang").join(spark.createDataFrame([(t, lang) for lang, t in train], "text string, lang string").distinct(), "text"))
+    got = {r["text"]: r for r in langid.identify(frame(spark, texts).withColumn("t", F.col("text")), learned, ["text"], "t").collect()}
+    for t in texts:
+        top = ranked(grams(t))
+        if not top:
+            assert (got[t]["lang_pred"], got[t]["score"]) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert got[t]["lang_pred"] == best and abs(got[t]["score"] - (1 - far[best] / (langid.PROFILE * len(top)))) < 1e-9, t
+
+
 def plain_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
