@@ -505,6 +505,43 @@ def test_segments():
         assert sum(s for _, _, s in got) == pytest.approx(sum(x[i:j].sum() for i, j in split(0, len(x))))
 
 
+def test_token_scores_and_calibration(spark):
+    """Log-odds against counts by hand; the extreme-value law against scores drawn from one."""
+    rng = random.Random(8)
+    texts, ys = [], []
+    for _ in range(300):
+        y = int(rng.random() < 0.4)
+        own = ["vileness", "grimly"] if y else ["kindness", "calm"]
+        texts.append(" ".join(rng.choice(own) if rng.random() < 0.3 else words(1, rng) for _ in range(12)))
+        ys.append(y)
+    sample = spark.createDataFrame(list(zip(texts, ys)), "text string, y int").repartition(3)
+    count = [collections.Counter(), collections.Counter()]
+    for t, y in zip(texts, ys):
+        w = set(t.encode().split())
+        count[y].update(w | {b"^" + x[:k] for x in w for k in (5, 4) if len(x) > k})
+    n_b, n_a = (sum(c.values()) for c in count)
+    want = {}
+    for token in set(count[0]) | set(count[1]):
+        a, b = count[1][token], count[0][token]
+        prior = toxicity.PRIOR * (a + b) / (n_a + n_b)
+        odds = np.log((a + prior) / (n_a + toxicity.PRIOR - a - prior)) - np.log((b + prior) / (n_b + toxicity.PRIOR - b - prior))
+        ratio = 2 * sum(k * np.log(k * (n_a + n_b) / ((a + b) * n)) for k, n in ((a, n_a), (b, n_b)) if k)
+        if a + b >= toxicity.LEAST_COUNT and ratio >= toxicity.RATIO and abs(odds) >= toxicity.LEAST_ODDS:
+            want[token] = odds
+    got = toxicity.token_scores(sample)
+    assert set(got) == set(want) and b"vileness" in got and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    few = sorted(toxicity.token_scores(sample, 3).values())
+    assert len(few) == 3 and set(few) <= set(got.values())
+    draw = np.random.default_rng(1)
+    n, lam, log_k = draw.integers(20, 2_000, 20_000), 1.7, -2.0
+    best = (np.log(n) + log_k + draw.gumbel(size=n.size)) / lam
+    model = toxicity.Model({})
+    model.calibrate(n, best, np.zeros(n.size))
+    assert abs(model.lam - lam) < 0.15 and abs(model.log_k - log_k) < 0.5
+    chance = np.exp([model.expected(int(k), 6.0) for k in n])  # expected number of scores of 6 or more
+    assert 0.6 < (1 - np.exp(-chance)).mean() / (best >= 6.0).mean() < 1.6
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(8)
     texts = []
