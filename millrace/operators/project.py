@@ -283,7 +283,8 @@ class Project:
         return order
 
     def vacuum(self, grace: float = 3600.0) -> dict:
-        """Drops blue/green leftovers whose time has come, then files that no version names and no refresh can be writing."""
+        """Drops blue/green leftovers whose time has come, merges tables of many folders, then removes files that no version
+        names and no refresh can be writing."""
         gone = []
         d = self.catalog.records.get("deployments", self.name)
         if d and d["status"] == "swapped" and d["retire_at"] and d["retire_at"] <= self.clock():
@@ -293,6 +294,8 @@ class Project:
                     self.tables.drop(n)
                     gone.append(n)
             self.catalog.records.put("deployments", self.name, d | {"status": "retired"})
+        for n in self.tables.known():
+            self.tables.merge(n)
         return {"tables": gone, "folders": self.tables.vacuum(grace)}
 
     def promote(self, to: Project, allow_rebuild: bool = True) -> dict:

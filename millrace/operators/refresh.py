@@ -227,8 +227,9 @@ class Refresher:
         """The query over current (or given) versions of what it reads; other names are left to the session.
 
         A recursion of UNION, which Spark's SQL does not have, is closed first."""
-        cut = blocks_of(query) if re.match(r"(?i)\s*with\s+recursive\b", query) else None
-        if rule_for(self.spark, cut[1][0][1] if cut else query).kind == "closure":
+        recursive = re.match(r"(?i)\s*with\s+recursive\b", query)
+        cut = blocks_of(query) if recursive else None
+        if recursive and rule_for(self.spark, cut[1][0][1] if cut else query).kind == "closure":
             name, text = cut[1][0] if cut else ("", query)
             run = _Run(Node(Name("public", "mr_closure"), text), rule_for(self.spark, text), versions or self.inputs(query))
             whole = self.tables.frame(self._fill_closure(run, text))
