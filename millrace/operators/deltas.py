@@ -2,7 +2,9 @@
 
 The tables of a query change one after the other, those before one are new already, those after it still old.  A query is
 linear in a table whose rows each make rows of their own (FROM, inner joins, the kept side of an outer join): its change is
-the query over the added rows less that over the removed ones.  A table that only decides about rows of others (the other
+the query over the added rows less that over the removed ones.  The one row of a scalar subquery (a table by the name of
+ONE, which only WHERE reads) changes the rows that its new value lets through and its old one did not, or the other way
+round: one pass over the rest, without a shuffle.  A table that only decides about rows of others (the other
 side of an outer join, a semi or anti join, EXISTS, IN) changes the rows that match one of its changed rows, and no others:
 the query is run for those alone, once with the new table and once with the old.  A full outer join also has the changed
 rows that match nothing.
@@ -21,6 +23,9 @@ _JOIN = {"inner", "left", "right", "full", "cross", "outer", "semi", "anti", "na
 _RELATION = re.compile(r"(?:(\w+)\s*\.\s*)?(\w+)(?:\s+(?:as\s+)?(\w+))?", re.I)
 _KINDS = (("natural", None), ("semi", "LEFT SEMI"), ("anti", "LEFT ANTI"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("cross", "CROSS"))
 _DECIDES = ("LEFT", "LEFT SEMI", "LEFT ANTI")
+_AGGREGATE = r"(?i)\b(count|sum|min|max|avg|mean)\s*\("
+#: Names of hidden nodes: a scalar subquery's one row, and its column; a side of a set operation.
+ONE, VALUE, SIDE = "mr_one", "mr_value", "mr_side"
 
 
 @dataclass
@@ -74,13 +79,16 @@ class Block:
     def negated(self) -> bool:
         return any(t.lower() == "not" for w in self.where if isinstance(w, str) for t in tokens(w))
 
-    def sql(self, names: list[str], extra: str = "", select: str | None = None, group: str | None = None, having: str | None = None, joins: list[str] | None = None, also: str = "") -> str:
+    def sql(self, names: list[str], extra: str = "", select: str | None = None, group: str | None = None, having: str | None = None, joins: list[str] | None = None, also: str = "", was: tuple[str, str] | None = None) -> str:
+        """was: an alias and another table for it, with which the rows do not pass WHERE."""
         at = iter(names[len(self.parts) :])
         where = "".join(w if isinstance(w, str) else w.text([next(at) for _ in w.parts]) for w in self.where)
-        conditions = " AND ".join(f"({c})" for c in (where, extra, also) if c)
+        before = f"NOT coalesce(({re.sub(rf'\b{was[0]}\.', 'mr_was.', where)}), false)" if was else ""
+        conditions = " AND ".join(f"({c})" for c in (where, extra, also, before) if c)
         group, having = self.group if group is None else group, self.having if having is None else having
         return (
             f"SELECT {self.select if select is None else select} FROM {from_text(self.parts, names, joins)}"
+            + (f" CROSS JOIN {was[1]} AS mr_was" if was else "")
             + (f" WHERE {conditions}" if conditions else "")
             + (f" GROUP BY {group}" if group else "")
             + (f" HAVING {having}" if having else "")
@@ -116,6 +124,10 @@ class Block:
             base = [view(n, "new" if j < i else "old") for j, n in enumerate(self.tables)]
             put = lambda role, at=i, name=name, base=base: [*base[:at], view(name, role), *base[at + 1 :]]
             signs = [(s, r) for s, r in ((1, "plus"), (-1, "minus")) if view(name, r)]
+            if i < len(self.parts) and self.parts[i].alias.startswith(ONE):
+                for s, now, was in ((1, "new", "old"), (-1, "old", "new")):
+                    yield s, self.sql(put(now), was=(self.parts[i].alias, view(name, was)), **how)
+                continue
             if self.linear(i):
                 yield from ((s, self.sql(put(r), **how)) for s, r in signs)
                 continue
@@ -200,7 +212,7 @@ def where_of(text: str) -> list[str | Sub] | None:
         inside = "".join(toks[i + 1 : end])
         if word not in ("exists", "in") or word == "in" and not re.fullmatch(r"[\w.]+", column or "") or not plain:
             return None
-        if re.search(r"(?i)\(\s*(select|with)\b|\b(union|intersect|except|over|distinct)\b|\b(count|sum|min|max|avg)\s*\(", inside):
+        if re.search(r"(?i)\(\s*(select|with)\b|\b(union|intersect|except|over|distinct)\b", inside) or re.search(_AGGREGATE, inside):
             return None
         out += ["".join(now), Sub(column, c["select"], parts, c.get("where", ""))]
         now, i = [], end + 1
@@ -218,22 +230,78 @@ def block_of(query: str) -> Block | None:
     return Block(c["select"], parts, where, c.get("group by", ""), c.get("having", ""))
 
 
+def set_sides(query: str) -> tuple[list[str], list[str]] | None:
+    """(operations, sides) of set operations outside brackets; None if there are none or something follows them all."""
+    toks, depth, ops, sides = tokens(query.strip().rstrip(";")), 0, [], [[]]
+    for t in toks:
+        low = t.lower()
+        depth += (t == "(") - (t == ")")
+        if depth == 0 and low in ("union", "intersect", "except", "minus"):
+            ops.append(low.replace("minus", "except"))
+            sides.append([])
+        elif depth == 0 and low in ("all", "distinct") and ops and not "".join(sides[-1]).strip():
+            ops[-1] += " all" if low == "all" else ""
+        elif depth == 0 and low in ("order", "limit", "offset", "sort", "cluster", "distribute") and ops:
+            return None
+        else:
+            sides[-1].append(t)
+    return (ops, [_unwrapped("".join(s)) for s in sides]) if ops else None
+
+
+def _unwrapped(text: str) -> str:
+    """A query without brackets around all of it."""
+    text = text.strip()
+    while text.startswith("("):
+        depth = 0
+        for k, t in enumerate(toks := tokens(text)):
+            depth += (t == "(") - (t == ")")
+            if not depth:
+                break
+        if k < len(toks) - 1:
+            return text
+        text = "".join(toks[1:-1]).strip()
+    return text
+
+
 def set_operation(query: str) -> tuple[str, str, str] | None:
     """(operation, left, right) of two queries; None if there are more or fewer."""
-    toks, depth, cuts = tokens(query.strip().rstrip(";")), 0, []
-    for k, t in enumerate(toks):
-        depth += (t == "(") - (t == ")")
-        if depth == 0 and t.lower() in ("union", "intersect", "except", "minus"):
-            cuts.append(k)
-    if len(cuts) != 1:
-        return None
-    rest = toks[cuts[0] + 1 :]
-    word = next((t.lower() for t in rest if not t.isspace()), "")
-    right = "".join(rest)
-    if word in ("all", "distinct"):
-        right = re.sub(r"(?is)^\s*(all|distinct)\b", "", right)
-    op = toks[cuts[0]].lower().replace("minus", "except")
-    return op + (" all" if word == "all" else ""), "".join(toks[: cuts[0]]).strip(), right.strip()
+    cut = set_sides(query)
+    return (cut[0][0], *cut[1]) if cut and len(cut[0]) == 1 else None
+
+
+def _plain(text: str) -> bool:
+    """Whether a query is one SELECT whose rows each come from one row of each table."""
+    b = None if set_sides(text) else block_of(text)
+    return b is not None and not (b.group or b.having or re.search(r"(?i)\bover\b|^\s*distinct\b", b.select) or re.search(_AGGREGATE, b.select))
+
+
+def _folded(ops: list[str], sides: list[str]) -> tuple[str, list[tuple[str, str]]]:
+    """One set operation (or UNION ALL of any number) of plain sides by names, and the other sides as (name, query).
+
+    INTERSECT binds first, the rest from left to right."""
+    found: list[tuple[str, str]] = []
+
+    def taken(text: str) -> str:
+        if _plain(text):
+            return text
+        found.append((f"{SIDE}{len(found)}", text))
+        return f"SELECT * FROM {found[-1][0]}"
+
+    join = lambda a, op, b: f"({a}) {op.upper()} ({b})"
+    left, rest = sides[0], []
+    terms = [left]
+    for op, side in zip(ops, sides[1:]):
+        if op.startswith("intersect") and set(ops) - {"intersect", "intersect all"}:
+            terms[-1] = join(terms[-1], op, side)
+        else:
+            rest.append(op)
+            terms.append(side)
+    if set(rest) == {"union all"}:
+        return " UNION ALL ".join(taken(t) for t in terms), found
+    left = terms[0]
+    for op, side in zip(rest[:-1], terms[1:-1]):
+        left = join(left, op, side)
+    return f"{taken(left)} {rest[-1].upper()} {taken(terms[-1])}", found
 
 
 _RECURSION = re.compile(r"(?is)\s*with\s+recursive\s+([a-z_]\w*)\s*(\([\w\s,]*\))?\s*as\s*\(")
@@ -272,8 +340,49 @@ def recursion(query: str) -> tuple[Name, list[str], Block, Block] | None:
     return own, listed(m[2][1:-1]) if m[2] else [], start, step
 
 
+def _scalars(query: str) -> tuple[str, list[tuple[str, str]]]:
+    """The query with the one row of each scalar subquery of WHERE joined by name, and these subqueries (name, query).
+
+    Only aggregates without GROUP BY, which have one row whatever they read; whether they read outer columns is seen when
+    they are run alone."""
+    c = clause_texts(query)
+    if not {"select", "from", "where"} <= set(c) or any(i.endswith("*") for i in listed(c["select"])) or set_sides(query):
+        return query, []
+    toks, out, found, i = tokens(c["where"]), [], [], 0
+    while i < len(toks):
+        first = next((t.lower() for t in toks[i + 1 :] if not t.isspace()), "")
+        if toks[i] != "(" or first != "select":
+            out.append(toks[i])
+            i += 1
+            continue
+        depth, end = 0, i
+        while True:
+            depth += (toks[end] == "(") - (toks[end] == ")")
+            if not depth:
+                break
+            end += 1
+        inside = "".join(toks[i + 1 : end])
+        word = next((t.lower() for t in reversed(out) if not t.isspace()), "")
+        own = clause_texts(inside)
+        items = listed(own.get("select", ""))
+        one = len(items) == 1 and re.match(r"(?is)(count|sum|min|max|avg|mean)\s*\(", items[0]) and set(own) <= {"select", "from", "where"} and "from" in own
+        if word in ("in", "exists", "any", "some", "all") or not one or set_sides(inside) or re.search(r"(?i)\bover\b|\)\s*(as\s+)?\w+$", items[0]):
+            out.append("".join(toks[i : end + 1]))
+        else:
+            name = f"{ONE}{len(found)}"
+            found.append((name, f"SELECT {items[0]} AS {VALUE} FROM {own['from']}" + (f" WHERE {own['where']}" if "where" in own else "")))
+            out.append(f"{name}.{VALUE}")
+        i = end + 1
+    if not found or parts_of(f"{c['from']} CROSS JOIN {ONE}") is None:
+        return query, []
+    c["from"] += "".join(f" CROSS JOIN {n}" for n, _ in found)
+    c["where"] = "".join(out)
+    return " ".join(f"{k.upper()} {v}" for k, v in c.items()), found
+
+
 def blocks_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
-    """The query over its derived tables and WITH entries by name, and these (name, query); None if they cannot be taken out."""
+    """The query over its derived tables, WITH entries, scalar subqueries and sides of set operations by name, and these
+    (name, query); None if they cannot be taken out."""
     found: list[tuple[str, str]] = []
     toks, i = tokens(query.strip().rstrip(";")), 0
     skip = lambda k: next((j for j in range(k, len(toks)) if not toks[j].isspace()), len(toks))
@@ -304,6 +413,10 @@ def blocks_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
                 continue
             break
         toks, i = toks[i:], 0
+    cut = set_sides("".join(toks))
+    if cut:
+        outer, sides = _folded(*cut)
+        return (outer, found + sides) if sides else ("".join(toks).strip(), found)
     out, in_from, depth = [], False, 0
     while i < len(toks):
         t = toks[i]
@@ -323,6 +436,6 @@ def blocks_of(query: str) -> tuple[str, list[tuple[str, str]]] | None:
         depth += (t == "(") - (t == ")")
         out.append(t)
         i += 1
-    if len({n for n, _ in found}) < len(found):
-        return None
-    return "".join(out).strip(), found
+    outer, ones = _scalars("".join(out).strip())
+    found += ones
+    return (outer, found) if len({n for n, _ in found}) == len(found) else None

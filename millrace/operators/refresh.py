@@ -18,7 +18,8 @@ closure  WITH RECURSIVE .. UNION ..: round by round, only the rows of the last r
          what they add, removed ones take back what may rest on them, and what has another ground comes again
 full     anything else
 
-Derived tables and WITH entries are hidden nodes of their own, whose changes feed the query around them.
+Derived tables, WITH entries, scalar subqueries that are aggregates, and sides of set operations that are more than plain
+SELECTs are hidden nodes of their own, whose changes feed the query around them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StructType
 
 from ..model import Mode, Name, Node
-from ..plans.shape import Shape, listed, references, relocate, shape
+from ..plans.shape import Shape, clause_texts, listed, references, relocate, shape, tokens
 from ..sources.tables import Conflict, Tables, bucket_of
-from .deltas import Block, block_of, blocks_of, recursion, set_operation
+from .deltas import Block, block_of, blocks_of, recursion, set_sides
 
 _ALIAS = re.compile(r"^(.*?)(?:\s+AS\s+(\w+|`[^`]+`)|(?<=[\w)'`])\s+(?!(?:end|null|true|false)$)(\w+))?$", re.I | re.S)
 _CALL = re.compile(r"^\s*(sum|count|avg|mean|min|max)\s*\((.*)\)\s*$", re.I | re.S)
@@ -139,13 +141,13 @@ def rule_for(spark: SparkSession, query: str) -> Rule:
 
 
 def _set_rule(spark: SparkSession, query: str) -> Rule:
-    cut = set_operation(query)
-    if not cut:
+    ops, texts = set_sides(query) or ([], [])
+    if len(ops) != 1 and set(ops) != {"union all"}:
         return _FULL
-    sides = [rule_for(spark, q) for q in cut[1:]]
+    sides = [rule_for(spark, q) for q in texts]
     if any(r.kind != "bag" or len(r.blocks) != 1 for r in sides):
         return _FULL
-    return Rule("bag" if cut[0] == "union all" else "sets", [r.block for r in sides], op=cut[0])
+    return Rule("bag" if ops[0] == "union all" else "sets", [r.block for r in sides], op=ops[0])
 
 
 def _window_rule(b: Block) -> Rule:
@@ -160,13 +162,13 @@ def _window_rule(b: Block) -> Rule:
 
 
 def _top_rule(spark: SparkSession, query: str, s: Shape) -> Rule:
-    m = re.fullmatch(r"(?is)(.*?)\border\s+by\b([^()]*?)\blimit\s+(\d+)\s*;?\s*", query)
-    if not m or s.grouped or s.distinct or "offset" in s.clauses:
+    c = clause_texts(query)
+    if not {"order by", "limit"} <= set(c) or not c["limit"].isdigit() or s.grouped or s.distinct or "offset" in s.clauses:
         return _FULL
-    b = block_of(m[1].strip())
-    if b is None or re.search(r"(?i)\bover\b", b.select):
+    b = block_of(" ".join(f"{k.upper()} {v}" for k, v in c.items() if k not in ("order by", "limit")))
+    if b is None or re.search(r"(?i)\bover\b|\(\s*(select|with)\b", b.select + c["order by"]):
         return _FULL
-    return Rule("top", [b], order=m[2].strip(), limit=int(m[3]))
+    return Rule("top", [b], order=c["order by"], limit=int(c["limit"]))
 
 
 def _one_call(text: str) -> bool:
@@ -318,9 +320,20 @@ class Refresher:
         names = {Name.parse(alias): Name(node.name.schema, f"{node.name.name}__{alias}") for alias, _ in blocks}
         place = lambda q: relocate(q, lambda n, _: str(names[n]) if n in names else None)
         for alias, text in blocks:
-            self.refresh(Node(names[Name.parse(alias)], place(text), node.mode))
+            hidden = names[Name.parse(alias)]
+            if self.tables.entry(hidden) is None and not self._alone(place(text)):
+                return node.query, {}
+            self.refresh(Node(hidden, place(text), node.mode))
         return place(outer), {str(n): str(h) for n, h in names.items()}
 
+    def _alone(self, query: str) -> bool:
+        """Whether a block can be a table: it reads no columns of the query around it, and its own have different names."""
+        try:
+            columns = [c.lower() for c in self.frame(query).columns]
+        except AnalysisException:
+            return False
+        return len(set(columns)) == len(columns)
+
     def _fill_plain(self, run: _Run, query: str) -> dict:
         return self.tables.plain(run.node.name, self.frame(query, run.now))
 
@@ -413,9 +426,10 @@ class Refresher:
 
     def _values(self, run: _Run, i: int) -> dict[str, str]:
         """SELECT and GROUP BY of how often each group has each value of an argument."""
-        x = run.rule.calls[i][1]
-        keys = [f"{k} AS mr_k{j}" for j, k in enumerate(run.rule.keys)]
-        return {"select": ", ".join([*keys, f"{x} AS mr_v", "count(*) AS mr_n"]), "group": ", ".join([*run.rule.keys, x])}
+        rule, x = run.rule, run.rule.calls[i][1]
+        # the value is the last of what is grouped by, so its bit of grouping_id() is the lowest, and always 0
+        keys = [f"{'CAST(shiftright(grouping_id(), 1) AS BIGINT)' if rule.grouping and k == 'grouping_id()' else k} AS mr_k{j}" for j, k in enumerate(rule.keys)]
+        return {"select": ", ".join([*keys, f"{x} AS mr_v", "count(*) AS mr_n"]), "group": ", ".join([*([rule.grouping] if rule.grouping else rule.keys), x])}
 
     @staticmethod
     def _keys(rule: Rule) -> list[str]:
@@ -506,8 +520,8 @@ class Refresher:
             return None
         n, states, wide = len(held["at"]), dict(held.get("states", {})), StructType.fromDDL(held["wide"])
         counted = [i for i in rule.calls if f"v{i}" in states]
-        if run.removes and rule.extremes and rule.grouping:
-            return None
+        if run.removes and any(rule.grouping and _reads(rule.calls[i][1], rule.keys[:-1]) for i in rule.extremes):
+            return None  # an argument that is null where the grouping leaves a key out
         fresh = [i for i in rule.extremes if run.removes and i not in counted]  # the first removed rows call for counts of values
         delta = self._summed(run, **self._state(run))
         touched = self._touched(delta, keys, n)
@@ -614,20 +628,42 @@ class Refresher:
 
     # top: the first rows in order and a reserve
 
-    def _ordered(self, run: _Run, df: DataFrame, n: int) -> DataFrame:
+    @staticmethod
+    def _order(rule: Rule, visible: list[str]) -> tuple[str, str]:
+        """SELECT of the rows with what they are ordered by, and ORDER BY in terms of that.
+
+        A name or place in the SELECT list is that column; anything else is a hidden column."""
+        select, order, names = [rule.block.select], [], {c.lower(): c for c in visible}
+        for i, item in enumerate(listed(rule.order)):
+            text, way = re.fullmatch(r"(?is)(.*?)((?:\s+(?:asc|desc))?(?:\s+nulls\s+(?:first|last))?)", item.strip()).groups()
+            text = text.replace("`", "") if re.fullmatch(r"`\w+`", text) else text
+            if text.isdigit() and 0 < int(text) <= len(visible):
+                text = visible[int(text) - 1]
+            if text.lower() in names:
+                order.append(f"`{names[text.lower()]}`{way}")
+            else:
+                select.append(f"{text} AS mr_o{i}")
+                order.append(f"mr_o{i}{way}")
+        return ", ".join(select), ", ".join(order)
+
+    def _ordered(self, df: DataFrame, order: str, n: int) -> DataFrame:
         with _Views(self.spark) as views:
-            return self.spark.sql(f"SELECT * FROM {views.of(('rows',), lambda: df)} ORDER BY {run.rule.order} LIMIT {n}")
+            return self.spark.sql(f"SELECT * FROM {views.of(('rows',), lambda: df)} ORDER BY {order} LIMIT {n}")
 
     def _fill_top(self, run: _Run, query: str) -> dict:
-        rows = self._over(run, run.rule.block)
-        orders = {_bare(re.sub(r"(?i)\s+(asc|desc)\b.*$", "", o.strip())) for o in listed(run.rule.order)}
-        if "." in run.rule.order or not orders <= {c.lower() for c in rows.columns} or len(set(rows.columns)) < len(rows.columns):
+        visible = self._over(run, run.rule.block).columns
+        select, order = self._order(run.rule, visible)
+        try:
+            rows = self._over(run, run.rule.block, select=select)
+        except AnalysisException:  # ordered by an expression over names of the SELECT list
+            return self._fill_plain(run, query)
+        if len({c.lower() for c in visible}) < len(visible):
             return self._fill_plain(run, query)
         m = 2 * run.rule.limit + RESERVE
-        state = self.tables.plain(run.node.name, self._ordered(run, rows, m))
+        state = self.tables.plain(run.node.name, self._ordered(rows, order, m))
         held = self.tables.frame(state)
         state["all"] = held.count() < m  # then it has every row there is
-        result = self.tables.plain(run.node.name, self._ordered(run, held, run.rule.limit))
+        result = self.tables.plain(run.node.name, self._ordered(held, order, run.rule.limit).select(*_quoted(visible)))
         return result | {"states": {"reserve": state}}
 
     def _again_top(self, run: _Run, held: dict) -> dict | None:
@@ -635,28 +671,30 @@ class Refresher:
         state = held.get("states", {}).get("reserve")
         if state is None:
             return None
-        parts = self._signed(run, run.rule.block)
+        visible = StructType.fromDDL(held["schema"]).names
+        select, order = self._order(run.rule, visible)
+        parts = self._signed(run, run.rule.block, select=select)
         reserve, m, k = self.tables.frame(state), 2 * run.rule.limit + RESERVE, run.rule.limit
         like = reserve.schema
         plus, minus = (_union([_cast(df, like) for s, df in parts if s == sign]) for sign in (1, -1))
         if plus is not None and minus is not None:
             plus, minus = plus.exceptAll(minus), minus.exceptAll(plus)
         rows = reserve.exceptAll(minus) if minus is not None else reserve
-        rows = rows if plus is None else rows.unionByName(self._ordered(run, plus, m))
+        rows = rows if plus is None else rows.unionByName(self._ordered(plus, order, m))
         if not state["all"]:
             marked = reserve.withColumn("mr_now", F.lit(0)).unionByName(rows.withColumn("mr_now", F.lit(1)))
             with _Views(self.spark) as views:  # over 4 * limit + 2 * RESERVE rows at most
                 rows = self.spark.sql(
                     f"SELECT * FROM (SELECT *, max(CASE WHEN mr_now = 0 THEN mr_rank END) OVER () AS mr_edge FROM "
-                    f"(SELECT *, rank() OVER (ORDER BY {run.rule.order}) AS mr_rank FROM {views.of(('rows',), lambda: marked)})) "
+                    f"(SELECT *, rank() OVER (ORDER BY {order}) AS mr_rank FROM {views.of(('rows',), lambda: marked)})) "
                     f"WHERE mr_now = 1 AND mr_rank <= mr_edge"
                 ).select(*like.names)
-        kept = self.tables.plain(run.node.name, self._ordered(run, rows, m))
+        kept = self.tables.plain(run.node.name, self._ordered(rows, order, m))
         n = self.tables.frame(kept).count()
         kept["all"] = state["all"] and n < m
         if not kept["all"] and n < k:
             return None
-        now = self.tables.plain(run.node.name, self._ordered(run, self.tables.frame(kept), k))
+        now = self.tables.plain(run.node.name, self._ordered(self.tables.frame(kept), order, k).select(*_quoted(visible)))
         a, b = self.tables.frame(now), self.tables.frame(held)
         added, removed = self._kept(run, a.exceptAll(b)), self._kept(run, b.exceptAll(a))
         return now | {"plus": added, "minus": removed, "states": {"reserve": kept}}
@@ -756,10 +794,19 @@ class Refresher:
         return "in-place"
 
 
+def _reads(text: str, keys: list[str]) -> bool:
+    """Whether an expression has one of the names."""
+    return bool({_bare(t) for t in tokens(text)} & {_bare(k) for k in keys})
+
+
 def _some(rule: Rule, i: int) -> str:
     return f"({rule.calls[i][1]}) IS NOT NULL"
 
 
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
 def _row(like: StructType) -> list[str]:
     """Names for the columns of a row that clash with none."""
     return [f"c{i}_" for i in range(len(like.fields))]

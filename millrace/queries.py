@@ -239,6 +239,16 @@ FOLLOWED["closure"] = (
     "WITH RECURSIVE r(root, reached) AS (SELECT c.c_custkey, c.c_custkey FROM customer c WHERE c.c_acctbal > 9900 "
     "UNION SELECT r.root, o.o_orderkey % 1500 + 1 FROM r JOIN orders o ON o.o_custkey = r.reached AND o.o_totalprice > 250000) SELECT root, reached FROM r WHERE reached <> root",
 )
+#: Sides that are more than plain SELECTs, scalar subqueries, orders by hidden columns, extremes of grouping sets.
+FOLLOWED |= {
+    "union_three": ("sets", "SELECT c.c_nationkey AS k FROM customer c UNION SELECT p.s_nationkey FROM supplier p UNION SELECT o.o_custkey FROM orders o WHERE o.o_totalprice > 300000"),
+    "union_all_groups": ("bag", "SELECT c.c_custkey AS k, 1 AS n FROM customer c UNION ALL SELECT p.s_suppkey, 2 FROM supplier p UNION ALL SELECT o.o_custkey, COUNT(*) FROM orders o GROUP BY o.o_custkey"),
+    "except_intersect": ("sets", f"SELECT c.c_custkey AS k FROM customer c EXCEPT {_BIG} INTERSECT SELECT p.s_suppkey FROM supplier p"),
+    "scalar": ("bag", "SELECT c.c_custkey, c.c_mktsegment FROM customer c WHERE c.c_custkey > 10 * (SELECT COUNT(*) FROM supplier p ) OR c.c_custkey < (SELECT MAX(p.s_suppkey) FROM supplier p )"),
+    "scalar_group": ("sums", "SELECT o.o_orderpriority, COUNT(*) AS n, MAX(o.o_orderkey) AS latest FROM orders o WHERE o.o_custkey <= (SELECT MAX(p.s_suppkey) FROM supplier p ) GROUP BY o.o_orderpriority"),
+    "top_hidden": ("top", "SELECT o.o_orderkey, o.o_orderstatus FROM orders o ORDER BY o.o_custkey % 10 DESC, o.o_totalprice, 1 LIMIT 40"),
+    "cube_extremes": ("sums", "SELECT o.o_orderpriority, o.o_orderstatus, MIN(o.o_totalprice) AS low, MAX(o.o_orderkey) AS latest FROM orders o GROUP BY CUBE (o.o_orderpriority, o.o_orderstatus)"),
+}
 #: Key of each table that the queries above read, and which rows go.
 _GONE = {"orders": ("o_orderkey", 3), "customer": ("c_custkey", 7), "supplier": ("s_suppkey", 5)}
 
