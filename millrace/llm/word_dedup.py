@@ -27,6 +27,7 @@ taken whole; the empty table gives no rows; a kept column may have the name of a
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _first_least(values: np.ndarray, length: int) -> np.ndarray:
+    """Of each run of a length, the place of its first least value; without a copy of all runs."""
+    n = len(values) - length + 1
+    least, place = values[:n].copy(), np.zeros(n, np.int8)
+    for j in range(1, length):
+        less = values[j : j + n] < least
+        np.copyto(least, values[j : j + n], where=less)
+        place[less] = j
+    return place
+
+
 class _Hashes:
     """Hashes of the sequences of a length that start at each word, by differences of running sums modulo 2^64."""
 
@@ -103,8 +115,7 @@ class _Block:
         self.start = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
         self.at = self.start + np.repeat(np.cumsum(sizes) - sizes, windows)
         runs = _mixed(hashes.of(self.words[:, 0], ANCHOR, 0))
-        least = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - ANCHOR + 1).argmin(axis=1)
-        self.place = self.at + least[self.at]
+        self.place = self.at + _first_least(runs, WINDOW - ANCHOR + 1)[self.at]
         self.anchor = runs[self.place]
 
     def anchors(self) -> np.ndarray:
@@ -128,11 +139,12 @@ def _blocks(batches):
     numbers of its words, and the hashes of the words by number."""
     vocabulary, rows, texts, size = _Vocabulary(), [], [], 0
     for batch in batches:
-        for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (text or "").encode().split()
+        *others, column = batch.columns
+        for row, text in zip(zip(*(c.to_pylist() for c in others)) if others else repeat(()), column):  # one text at a time
+            words = (text.as_py() or "").encode().split()
             if len(words) < WINDOW:
                 continue
-            rows.append(tuple(row))
+            rows.append(row)
             texts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             size += len(words)
             if size >= BLOCK:
@@ -287,12 +299,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     def removed(batches):
         for batch in batches:
             n, gone, kept = [], [], []
-            for t, later, settled in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = (t or "").encode().split()
+            for t, later, settled in zip(*(batch.column(i) for i in range(3))):
+                words = (t.as_py() or "").encode().split()
                 stay = words
-                if later or settled:
+                if later.is_valid:  # null: no window of the text goes
                     edges = np.zeros(len(words) + 1, np.int32)
-                    for starts in (np.array(later, np.int64), *(np.frombuffer(s, np.int32) for s in settled)):
+                    for starts in (later.values.to_numpy(zero_copy_only=False), *(np.frombuffer(s, np.int32) for s in settled.as_py())):
                         edges[starts] += 1
                         edges[starts + WINDOW] -= 1
                     stay = [w for w, c in zip(words, np.cumsum(edges).tolist()) if not c]
