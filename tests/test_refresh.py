@@ -134,7 +134,7 @@ def test_rules(spark):
 def test_every_kind_follows_inserts_and_deletes(spark):
     """One long history over one query of each way to follow, so that no way depends on what hypothesis finds."""
     rng = random.Random(1)
-    for query in [q for q in FOLLOWED if any(w in q for w in ("FULL OUTER", "COUNT(DISTINCT j)", "EXCEPT ALL", "ROWS BETWEEN", "LIMIT", "RECURSIVE r AS", "MAX(v + 1)", "UNION SELECT 'x'", "UNION ALL SELECT k, COUNT", "INTERSECT SELECT j", "(SELECT M", "(SELECT AVG"))]:
+    for query in [q for q in FOLLOWED if any(w in q for w in ("FULL OUTER", "COUNT(DISTINCT j)", "EXCEPT ALL", "ROWS BETWEEN", "LIMIT", "RECURSIVE r AS", "MAX(v + 1)", "UNION SELECT 'x'", "(SELECT AVG"))]:
         s = Store(spark, query, [(rng.choice("abc"), rng.randint(1, 3), 1) for _ in range(8)], [("a", 1), ("d", 2)])
         s.refresher.full(s.node)
         for what, change in (("t", [("b", 9, 1), (None, None, 2)]), ("u", [("b", 3), (None, 1)]), ("less t", 3), ("less u", 2), ("t", [("a", 2, 2)])):
