@@ -319,11 +319,18 @@ class Refresher:
         outer, blocks = cut
         names = {Name.parse(alias): Name(node.name.schema, f"{node.name.name}__{alias}") for alias, _ in blocks}
         place = lambda q: relocate(q, lambda n, _: str(names[n]) if n in names else None)
+        new = {alias for alias, _ in blocks if self.tables.entry(names[Name.parse(alias)]) is None}
+        if any(alias in new and not set(references(self.spark, text)) & set(names) and not self._alone(text) for alias, text in blocks):
+            return node.query, {}
+        made: list[str] = []
         for alias, text in blocks:
             hidden = names[Name.parse(alias)]
-            if self.tables.entry(hidden) is None and not self._alone(place(text)):
+            if alias in new and not self._alone(place(text)):
+                for h in made:
+                    self.tables.drop(h)
                 return node.query, {}
             self.refresh(Node(hidden, place(text), node.mode))
+            made += [str(hidden)] if alias in new else []
         return place(outer), {str(n): str(h) for n, h in names.items()}
 
     def _alone(self, query: str) -> bool:
