@@ -323,6 +323,24 @@ def test_a_refresh_writes_the_buckets_it_touches(spark):
     assert rows(a) == [(7, 2)] and rows(b) == [(7, 1)]
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, monkeypatch):
+    """All rows of one key lie in one bucket, but no task has to hold them all."""
+    monkeypatch.setattr(tables_module, "FEWEST", 2)
+    s = Store(spark, "SELECT k, v, ROW_NUMBER() OVER (PARTITION BY k ORDER BY v) AS r FROM raw.t", [], [])
+    s.tables.put("raw.t", spark.range(30_000).selectExpr("'a' AS k", "id AS v", "id AS j"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    for key, size in small.items():
+        spark.conf.set(key, size)
+    try:
+        s.refresher.full(s.node)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    held = s.tables.entry(s.node.name)
+    (path,) = s.tables._paths(held)
+    assert spark.read.parquet(path).count() == 30_000 and len(spark.read.parquet(path).inputFiles()) > 1
+
+
 def test_late_committer_loses_its_claim(spark, monkeypatch):
     """Who sleeps beyond the lease finds the claim in other hands and starts again from the new record."""
     s = Store(spark, FAILED[0], [("a", 1, 1)], [])
