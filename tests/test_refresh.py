@@ -341,6 +341,18 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, monkeypatch):
     assert spark.read.parquet(path).count() == 30_000 and len(spark.read.parquet(path).inputFiles()) > 1
 
 
+def test_values_of_grouping_sets_are_counted_once(spark):
+    """Extremes of the coarser sets come from the counts of the finest groups, which have each row once."""
+    s = Store(spark, "SELECT k, j, MIN(v) AS lo, MAX(v) AS hi FROM raw.t GROUP BY CUBE (k, j)", [("a", v, v % 2 + 1) for v in range(9)] + [(None, 4, None)], [])
+    s.refresher.full(s.node)
+    for what, change in (("less t", 2), ("t", [("b", 70, 1), (None, -3, 2)]), ("less t", 3), ("t", [("a", 5, None)])):
+        s.step(what, change)
+        assert s.refresher.refresh(s.node) == "sums" and s.right(), what
+    states = s.tables.entry(s.node.name)["states"]
+    n = s.tables.read("raw.t").count()
+    assert len(states) == 2 and all(s.tables.frame(x).agg({"mr_n": "sum"}).first()[0] == n for x in states.values())
+
+
 def test_late_committer_loses_its_claim(spark, monkeypatch):
     """Who sleeps beyond the lease finds the claim in other hands and starts again from the new record."""
     s = Store(spark, FAILED[0], [("a", 1, 1)], [])
