@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, langid, near_dup, pii
-from millrace.llm.common import dropped, held_out, live, read, ship, stored
+from millrace.llm.common import dropped, held_out, live, read, ship, small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose n-grams are no nearer to its language than this share of the largest distance is rejected.
@@ -74,10 +74,13 @@ _left: list[DataFrame] = []
 
 
 def _tidy(stage):
-    """The stage, which first deletes what earlier stages stored on their way, unless its input still reads it."""
+    """The stage, which first deletes what earlier stages stored on their way, unless its input still reads it.
+
+    Python workers get small batches in it."""
 
     @wraps(stage)
     def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         files = docs.inputFiles() if _left else []
         gone = [t for t in _left if not any(t.stored_at.rsplit("/", 1)[1] in f for f in files)]
         dropped(*gone)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import without, working
 
 #: Chunks kept with their encoding in each Python worker.
-_CACHE = 400_000
+_CACHE = 200_000
 #: Words of more symbols are walked one by one, shorter ones side by side.
 _LONG = 96
 #: str.split takes these as white space, the splitter's pattern does not.
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids:
     return rows.mapInArrow(encoded, schema)
 
 
-def slices(batch: pa.RecordBatch, size: int = 4_000_000):
+def slices(batch: pa.RecordBatch, size: int = 1_000_000):
     """Parts of a batch with about `size` bytes of its first column, a row at least."""
     lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
     at = 0

@@ -614,6 +614,35 @@ def repaired_plainly(rows, limit=4):
     return best
 
 
+def test_pipeline_batches_are_small(spark, monkeypatch):
+    """Stages hand long texts to Python workers a few megabytes at a time, whatever number of rows that is."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from millrace.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "_left", [])
+    try:
+        spark.conf.unset(name)
+        docs = spark.range(0, 300, 1, 1).select(F.col("id").cast("string").alias("doc_id"), F.expr("repeat('word ', 20000)").alias("text"))
+        stage = corpus_pipeline._tidy(lambda spark, docs, sf_dir: docs)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+        got = stage(spark, docs, "").mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 300
+        assert max(r["bytes"] for r in got) <= common.BATCH_BYTES + 200_000
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_conversations(spark):
     rng = random.Random(11)
     texts, roles = ["Fine.", "Well!", "cut", "", " \n", "Why?", None], ["system", "user", "assistant", "user", "assistant", "tool", "", None]
